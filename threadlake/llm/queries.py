@@ -1,8 +1,10 @@
 """Queries and oracle SQL of this subpackage, picked up by __spark_entry__.py."""
 
 from threadlake.llm.mixing import op7_mix_sources
+from threadlake.llm.token_ids import op2_token_binary
 
 QUERIES = {
+    "op2_token_binary": op2_token_binary,
     "op7_mix_sources": op7_mix_sources,
 }
 
