@@ -1,9 +1,11 @@
 """Queries and oracle SQL of this subpackage, picked up by __spark_entry__.py."""
 
 from threadlake.llm.mixing import op7_mix_sources
+from threadlake.llm.token_counts import op6_token_counts
 from threadlake.llm.token_ids import op2_token_binary
 
 QUERIES = {
+    "op6_token_counts": op6_token_counts,
     "op2_token_binary": op2_token_binary,
     "op7_mix_sources": op7_mix_sources,
 }
