@@ -3,11 +3,15 @@
 from threadlake.llm.mixing import op7_mix_sources
 from threadlake.llm.token_counts import op6_token_counts
 from threadlake.llm.token_ids import op2_token_binary
+from threadlake.llm.warc import OP8_SQL, op8_warc
 
 QUERIES = {
+    "op8_warc": op8_warc,
     "op6_token_counts": op6_token_counts,
     "op2_token_binary": op2_token_binary,
     "op7_mix_sources": op7_mix_sources,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_warc": OP8_SQL,
+}

@@ -24,7 +24,7 @@ def create(uri: str) -> Iterator[BinaryIO]:
     """Open a file for writing; its folder is made."""
     store, path = _open(uri)
     store.create_dir(path.rpartition("/")[0], recursive=True)
-    with store.open_output_stream(path) as out:
+    with store.open_output_stream(path, compression=None) as out:
         yield out
 
 
