@@ -1,11 +1,13 @@
 """Queries and oracle SQL of this subpackage, picked up by __spark_entry__.py."""
 
 from threadlake.llm.mixing import op7_mix_sources
+from threadlake.llm.quality import OP3_SQL, op3_quality_ledger
 from threadlake.llm.token_counts import op6_token_counts
 from threadlake.llm.token_ids import op2_token_binary
 from threadlake.llm.warc import OP8_SQL, op8_warc
 
 QUERIES = {
+    "op3_quality_ledger": op3_quality_ledger,
     "op8_warc": op8_warc,
     "op6_token_counts": op6_token_counts,
     "op2_token_binary": op2_token_binary,
@@ -13,5 +15,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_quality_ledger": OP3_SQL,
     "op8_warc": OP8_SQL,
 }
