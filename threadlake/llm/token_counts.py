@@ -17,9 +17,6 @@ table gives none; extra columns are ignored.
 from __future__ import annotations
 
 import os
-import re
-import sys
-import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -27,34 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadlake.llm.unicode_tables import SPACE, byte_alphabet, stand_in, unassigned
+
 TOKEN_LIMIT = 1024
 CACHE_PIECES = 300_000
-SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
 
-def unassigned() -> re.Pattern:
-    """Code points that this Python's Unicode tables leave unassigned. Later
-    versions of Unicode class them, and libraries differ in which they know."""
-    ranges, start = [], None
-    for c in range(sys.maxunicode + 2):
-        free = c <= sys.maxunicode and unicodedata.category(chr(c)) == "Cn"
-        if free and start is None:
-            start = c
-        elif not free and start is not None:
-            ranges.append(f"\\U{start:08x}-\\U{c - 1:08x}")
-            start = None
-    return re.compile(f"[{''.join(ranges)}]")
-
-
-def byte_alphabet() -> dict[int, str]:
-    """The printable stand-in of each byte: printable Latin-1 bytes stand for
-    themselves, the others for code points from 256 on, in order."""
-    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-    others = [b for b in range(256) if b not in set(own)]
-    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(others)}
-
-
 class PieceCounter:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -66,7 +42,6 @@ class PieceCounter:
         self.merge = tokenizer.model.tokenize
         self.unassigned = unassigned()
         self.split = regex.compile(PATTERN).findall
-        self.table = byte_alphabet()
         special = sorted((t.content for t in tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.whole = self._whole_tokens(tokenizer)
@@ -74,14 +49,14 @@ class PieceCounter:
 
     def _whole_tokens(self, tokenizer) -> frozenset[str]:
         """Strings of the vocabulary that the merges leave as one token."""
-        back = {c: b for b, c in self.table.items()}
+        back = {c: b for b, c in byte_alphabet().items()}
         found = []
-        for stand_in in tokenizer.get_vocab(with_added_tokens=False):
+        for token in tokenizer.get_vocab(with_added_tokens=False):
             try:
-                string = bytes(back[c] for c in stand_in).decode()
+                string = bytes(back[c] for c in token).decode()
             except (KeyError, UnicodeDecodeError):  # not a whole number of characters: no pre-token is that
                 continue
-            if len(self.merge(stand_in)) == 1:
+            if len(self.merge(token)) == 1:
                 found.append(string)
         return frozenset(found)
 
@@ -90,7 +65,7 @@ class PieceCounter:
         if n is None:
             if len(self.merged) >= CACHE_PIECES:
                 self.merged.clear()
-            n = self.merged[piece] = len(self.merge(piece.encode().decode("latin-1").translate(self.table)))
+            n = self.merged[piece] = len(self.merge(stand_in(piece)))
         return n
 
     def count(self, text: str | None) -> int:
