@@ -1,5 +1,6 @@
 """Queries and oracle SQL of this subpackage, picked up by __spark_entry__.py."""
 
+from threadlake.llm.decontaminate import OP1_SQL, op1_decontamination
 from threadlake.llm.mixing import op7_mix_sources
 from threadlake.llm.quality import OP3_SQL, op3_quality_ledger
 from threadlake.llm.token_counts import op6_token_counts
@@ -7,6 +8,7 @@ from threadlake.llm.token_ids import op2_token_binary
 from threadlake.llm.warc import OP8_SQL, op8_warc
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op3_quality_ledger": op3_quality_ledger,
     "op8_warc": op8_warc,
     "op6_token_counts": op6_token_counts,
@@ -15,6 +17,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": OP1_SQL,
     "op3_quality_ledger": OP3_SQL,
     "op8_warc": OP8_SQL,
 }
