@@ -3,11 +3,13 @@
 from threadlake.llm.decontaminate import OP1_SQL, op1_decontamination
 from threadlake.llm.mixing import op7_mix_sources
 from threadlake.llm.quality import OP3_SQL, op3_quality_ledger
+from threadlake.llm.secrets_scan import op10_secret_scan
 from threadlake.llm.token_counts import op6_token_counts
 from threadlake.llm.token_ids import op2_token_binary
 from threadlake.llm.warc import OP8_SQL, op8_warc
 
 QUERIES = {
+    "op10_secret_scan": op10_secret_scan,
     "op1_decontamination": op1_decontamination,
     "op3_quality_ledger": op3_quality_ledger,
     "op8_warc": op8_warc,
