@@ -1,6 +1,7 @@
 """Queries and oracle SQL of this subpackage, picked up by __spark_entry__.py."""
 
 from threadlake.llm.decontaminate import OP1_SQL, op1_decontamination
+from threadlake.llm.jaccard import op4_jaccard_join
 from threadlake.llm.mixing import op7_mix_sources
 from threadlake.llm.quality import OP3_SQL, op3_quality_ledger
 from threadlake.llm.secrets_scan import op10_secret_scan
@@ -9,6 +10,7 @@ from threadlake.llm.token_ids import op2_token_binary
 from threadlake.llm.warc import OP8_SQL, op8_warc
 
 QUERIES = {
+    "op4_jaccard_join": op4_jaccard_join,
     "op10_secret_scan": op10_secret_scan,
     "op1_decontamination": op1_decontamination,
     "op3_quality_ledger": op3_quality_ledger,
