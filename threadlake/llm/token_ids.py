@@ -20,7 +20,6 @@ empty table gives no shard; extra columns are ignored.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -42,7 +41,8 @@ HEADER = "<8s4Q"
 HEADER_BYTES = struct.calcsize(HEADER)
 BLOCK_TOKENS = 1 << 20
 SHARD_TOKENS = 1 << 24
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_200_000
+SLICE_BYTES = 1 << 20
 
 #: Bytes each of a control byte's four values takes.
 LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], dtype=np.uint8)
@@ -78,50 +78,41 @@ class WordEncoder:
     """Encodes texts word by word with a bounded memory of words seen.
 
     The tokenizer drops white space and never joins across it, so a text's ids
-    are those of its space-separated pieces. Printable ASCII pieces without a
-    special string are lower-cased and split here and only merged by the
-    tokenizer's model; every other piece goes through the whole tokenizer.
+    are those of its space-separated words. The words that a slice of texts
+    brings anew are encoded in one call of the tokenizer.
     """
 
-    PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.merge = self.tokenizer.model.tokenize
-        self.words: dict[bytes, list[int]] = {}
-        self.pieces: dict[str, list[int]] = {}
-
-    def _piece(self, piece: str) -> list[int]:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            if len(self.pieces) >= CACHE_WORDS:
-                self.pieces.clear()
-            ids = self.pieces[piece] = [t.id for t in self.merge(piece)]
-        return ids
-
-    def _word(self, raw: bytes) -> list[int]:
-        word = raw.decode()
-        if word.isascii() and word.isprintable() and "<|" not in word:
-            ids: list[int] = []
-            for piece in self.PIECES.findall(word.lower()):
-                ids += self._piece(piece)
-        else:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        if len(self.words) >= CACHE_WORDS:
+        self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.words: dict[bytes, bytes] = {}
+
+    def _learn(self, new: list[bytes]) -> None:
+        found = self.tokenizer.encode([w.decode() for w in new], is_pretokenized=True, add_special_tokens=False)
+        packed = np.array(found.ids, dtype=self.width).tobytes()
+        ends = np.searchsorted(np.array(found.word_ids, dtype=np.int64), np.arange(len(new)), side="right")
+        start = 0
+        for word, end in zip(new, (ends * np.dtype(self.width).itemsize).tolist()):
+            self.words[word] = packed[start:end]
+            start = end
+
+    def packed(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text, end to end in ``width``."""
+        # Bytes split at space and \t..\r alone, and lower-case A-Z alone. The
+        # tokenizer lower-cases too, but knows its special strings before that.
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        fresh = set().union(*split)
+        missing = fresh.difference(self.words)
+        if len(self.words) + len(missing) > CACHE_WORDS:
             self.words.clear()
-        self.words[raw] = ids
-        return ids
-
-    def ids(self, text: str | None) -> list[int]:
-        out: list[int] = []
-        seen = self.words
-        for raw in (text or "").encode().split():  # bytes split at space and \t..\r alone
-            ids = seen.get(raw)
-            out += self._word(raw) if ids is None else ids
-        return out
+            missing = fresh
+        if missing:
+            self._learn(list(missing))
+        seen = self.words.__getitem__
+        return [b"".join(map(seen, words)) for words in split]
 
 
 @lru_cache(maxsize=2)
@@ -134,12 +125,16 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer_path)
+        mark, end = (b"\2", struct.pack("<H", end_id)) if encoder.width == "<u2" else (b"\4", struct.pack("<I", end_id))
         for batch in batches:
-            packed, counts = [], []
-            for text in batch.column(1):
-                ids = np.array([*encoder.ids(text.as_py()), end_id], dtype="<u4")
-                counts.append(len(ids))
-                packed.append((b"\2" + ids.astype("<u2").tobytes()) if ids.max() < 65536 else b"\4" + ids.tobytes())
+            texts = batch.column(1).cast(pa.large_binary()).fill_null(b"")
+            bounds = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+            at, packed = 0, []
+            while at < len(texts):
+                to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + SLICE_BYTES, side="right")) - 1)
+                packed += [mark + ids + end for ids in encoder.packed(texts[at:to].to_pylist())]
+                at = to
+            counts = [(len(p) - 1) // len(end) for p in packed]
             yield pa.record_batch([batch.column(0), pa.array(counts, pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
