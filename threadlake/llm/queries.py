@@ -4,6 +4,7 @@ from threadlake.llm.decontaminate import OP1_SQL, op1_decontamination
 from threadlake.llm.jaccard import op4_jaccard_join
 from threadlake.llm.language import op5_language_id
 from threadlake.llm.mixing import op7_mix_sources
+from threadlake.llm.pii import op9_pii
 from threadlake.llm.quality import OP3_SQL, op3_quality_ledger
 from threadlake.llm.secrets_scan import op10_secret_scan
 from threadlake.llm.token_counts import op6_token_counts
@@ -11,6 +12,7 @@ from threadlake.llm.token_ids import op2_token_binary
 from threadlake.llm.warc import OP8_SQL, op8_warc
 
 QUERIES = {
+    "op9_pii": op9_pii,
     "op5_language_id": op5_language_id,
     "op4_jaccard_join": op4_jaccard_join,
     "op10_secret_scan": op10_secret_scan,
