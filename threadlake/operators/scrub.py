@@ -1,0 +1,108 @@
+"""Redaction of transcript lines: whole events, or what matches a pattern."""
+
+from __future__ import annotations
+
+import json
+import re
+from collections.abc import Iterable
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+PLACEHOLDER = "[redacted]"
+
+# Keys that name or link a record and are kept when its event goes.
+STRUCTURE_KEYS = frozenset(
+    "type role id uuid parentId parentUuid logicalParentUuid leafUuid sessionId timestamp cwd version name toolName tool_use_id toolCallId call_id callID is_error isError model".split()
+)
+
+
+def parse_drops(spec: str) -> set[int]:
+    """Event numbers from a list such as ``3,7-9``."""
+    out: set[int] = set()
+    for part in (p.strip() for p in spec.split(",") if p.strip()):
+        m = re.fullmatch(r"([0-9]+)(?:-([0-9]+))?", part)
+        if not m or (m[2] and int(m[2]) < int(m[1])):
+            raise ValueError(f"not an event or a range: {part}")
+        out |= set(range(int(m[1]), int(m[2] or m[1]) + 1))
+    return out
+
+
+def redact(node, placeholder: str = PLACEHOLDER, key: str | None = None):
+    """The same structure with every text outside the kept keys replaced."""
+    if isinstance(node, dict):
+        return {k: redact(v, placeholder, k) for k, v in node.items()}
+    if isinstance(node, list):
+        return [redact(v, placeholder, key) for v in node]
+    if isinstance(node, str) and key not in STRUCTURE_KEYS:
+        return placeholder
+    return node
+
+
+def mask(node, patterns: list[re.Pattern], placeholder: str = PLACEHOLDER):
+    """The structure with the lines of its texts that match a pattern replaced,
+    and matching keys renamed; and how many lines that were."""
+    if isinstance(node, dict):
+        out, n = {}, 0
+        for k, v in node.items():
+            hit = any(p.search(k) for p in patterns)
+            v, m = mask(v, patterns, placeholder)
+            name, tries = placeholder if hit else k, 1
+            while name in out:
+                tries += 1
+                name = f"{placeholder} {tries}"
+            out[name] = v
+            n += m + hit
+        return out, n
+    if isinstance(node, list):
+        pairs = [mask(v, patterns, placeholder) for v in node]
+        return [v for v, _ in pairs], sum(m for _, m in pairs)
+    if isinstance(node, str):
+        lines = node.split("\n")
+        hits = [any(p.search(line) for p in patterns) for line in lines]
+        return "\n".join(placeholder if h else line for h, line in zip(hits, lines)), sum(hits)
+    return node, 0
+
+
+SCRUBBED = "path string, line long, value string, changed boolean, pattern_lines long"
+
+
+def scrub_lines(lines: DataFrame, drop_lines: DataFrame | None = None, patterns: list[str] = (), placeholder: str = PLACEHOLDER) -> DataFrame:
+    """Transcript lines (path, line, value) with dropped events and patterns
+    masked. ``drop_lines`` names (path, line). Lines that are not JSON are kept
+    and count as not changed; writing back is left to the caller."""
+    marked = lines.select(F.col("path").cast("string").alias("path"), F.col("line").cast("long").alias("line"), "value")
+    if drop_lines is None:
+        marked = marked.withColumn("drop", F.lit(False))
+    else:
+        dropped = drop_lines.select(F.col("path").cast("string").alias("path"), F.col("line").cast("long").alias("line")).distinct().withColumn("drop", F.lit(True))
+        marked = marked.join(dropped, ["path", "line"], "left").withColumn("drop", F.coalesce("drop", F.lit(False)))
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        compiled = [re.compile(p) for p in patterns]
+        for frame in frames:
+            rows = []
+            for path, line, value, drop in frame[["path", "line", "value", "drop"]].itertuples(index=False):
+                hits, out = 0, value
+                try:
+                    node = json.loads(value)
+                except (ValueError, TypeError):
+                    node = None
+                if node is not None:
+                    if drop:
+                        node = redact(node, placeholder)
+                    if compiled:
+                        node, hits = mask(node, compiled, placeholder)
+                    if drop or hits:
+                        out = json.dumps(node, ensure_ascii=False, separators=(",", ":"))
+                rows.append((path, line, out, out != value, hits))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCRUBBED.split(", ")])
+
+    return marked.mapInPandas(run, SCRUBBED)
+
+
+def pattern_lines(texts: DataFrame, pattern: str) -> DataFrame:
+    """path, lines: lines of plain texts that match."""
+    hits = F.filter(F.split("text", "\n", -1), lambda line: line.rlike(pattern))
+    return texts.select("path", F.size(hits).cast("long").alias("lines")).filter("lines > 0")
