@@ -7,6 +7,7 @@ from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from threadlake.functions import text as T
 from threadlake.operators.search import visible
@@ -142,7 +143,7 @@ def recall(messages: DataFrame, description: str, extra: list[str] = (), limit:
 def judged(candidates: DataFrame, judge, threshold: float = 0.2, limit: int = 5, batch: int = 10) -> DataFrame:
     """Relevance from a pluggable judge: ``judge(rows) -> list of floats`` over
     batches of candidate rows; candidates are few by construction."""
-    schema = candidates.schema.add("relevance", "double")
+    schema = StructType([*candidates.schema.fields, StructField("relevance", DoubleType())])
 
     def run(frames):
         for frame in frames:

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from threadlake.functions import text as T
 
@@ -232,7 +233,7 @@ def chunk_notes(notes: DataFrame) -> DataFrame:
 
 def embed(chunks: DataFrame, embedder: Callable[[list[str]], list[list[float]]]) -> DataFrame:
     """Vectors from a pluggable embedder; withheld chunks are never sent."""
-    schema = chunks.schema.add("vec", "array<float>")
+    schema = StructType([*chunks.schema.fields, StructField("vec", ArrayType(FloatType()))])
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         for frame in frames:

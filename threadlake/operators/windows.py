@@ -109,7 +109,11 @@ def clip(text: str, terms: list[str], cap: int) -> tuple[str, int]:
     return excerpt_of(text, terms, cap) or (prefix(text, max(0, cap - 1)) + "…", 0)
 
 
-PAGE = "path long, idx long, body string, original_chars long, start_char long, clipped boolean, next_event long"
+def _path_type(df: DataFrame) -> str:
+    return dict(df.dtypes)["path"]
+
+
+PAGE = "path {}, idx long, body string, original_chars long, start_char long, clipped boolean, next_event long"
 
 
 def pages(events: DataFrame, start: int = 0, limit: int | None = None, cap: int | None = None, budget: int | None = None, focus: list[str] = ()) -> DataFrame:
@@ -139,7 +143,7 @@ def pages(events: DataFrame, start: int = 0, limit: int | None = None, cap: int
         out = pd.DataFrame(rows, columns=["path", "idx", "body", "original_chars", "start_char", "clipped"])
         return out.assign(next_event=pd.array([following] * len(out), dtype="Int64"))
 
-    return events.select("path", F.col("idx").cast("long").alias("idx"), F.coalesce("text", F.lit("")).alias("text")).groupBy("path").applyInPandas(fold, PAGE)
+    return events.select("path", F.col("idx").cast("long").alias("idx"), F.coalesce("text", F.lit("")).alias("text")).groupBy("path").applyInPandas(fold, PAGE.format(_path_type(events)))
 
 
 def choose(neighbourhoods: list[tuple[int, list[int]]], budget: int, max_chars: int) -> list[int]:
@@ -186,7 +190,7 @@ def pack(messages: DataFrame, terms: list[str], budget: int = 12000, max_chars:
                 rows.append((path, seq, body, size))
         return pd.DataFrame(rows, columns=["path", "idx", "body", "original_chars"])
 
-    return joined.groupBy("path").applyInPandas(fold, "path long, idx long, body string, original_chars long")
+    return joined.groupBy("path").applyInPandas(fold, f"path {_path_type(messages)}, idx long, body string, original_chars long")
 
 
 def question_window(messages: DataFrame, words: list[str], limit: int) -> DataFrame:
@@ -212,4 +216,4 @@ def question_window(messages: DataFrame, words: list[str], limit: int) -> DataFr
             frame = frame.loc[sorted(keep)]
         return frame[["path", "seq"]]
 
-    return visible(messages).select("path", "seq", "text").groupBy("path").applyInPandas(fold, "path long, seq long")
+    return visible(messages).select("path", "seq", "text").groupBy("path").applyInPandas(fold, f"path {_path_type(messages)}, seq long")
