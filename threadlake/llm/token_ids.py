@@ -19,12 +19,12 @@ empty table gives no shard; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadlake.llm import shared_files
+from threadlake.llm import shared_files, worker
 from threadlake.session import materialize, shared_path
 
 END_ID = 2
@@ -41,7 +41,7 @@ HEADER = "<8s4Q"
 HEADER_BYTES = struct.calcsize(HEADER)
 BLOCK_TOKENS = 1 << 20
 SHARD_TOKENS = 1 << 24
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 1_000_000
 SLICE_BYTES = 1 << 20
 
 #: Bytes each of a control byte's four values takes.
@@ -79,19 +79,26 @@ class WordEncoder:
 
     The tokenizer drops white space and never joins across it, so a text's ids
     are those of its space-separated words. The words that a slice of texts
-    brings anew are encoded in one call of the tokenizer.
+    brings anew are encoded in two calls of the tokenizer. Words of small ASCII
+    letters need no normalizing or splitting, and punctuation behind them is a
+    piece of its own, so they are merged as they are and share their memory with
+    the same word elsewhere; all other words go through the whole tokenizer.
     """
 
+    TAIL = b".,;:!?*$%&#|"
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        bare = json.loads(self.tokenizer.to_str()) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+        self.merger = Tokenizer.from_str(json.dumps(bare))
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.words: dict[bytes, bytes] = {}
 
-    def _learn(self, new: list[bytes]) -> None:
-        found = self.tokenizer.encode([w.decode() for w in new], is_pretokenized=True, add_special_tokens=False)
+    def _encode(self, tokenizer, new: list[bytes]) -> None:
+        found = tokenizer.encode([w.decode() for w in new], is_pretokenized=True, add_special_tokens=False)
         packed = np.array(found.ids, dtype=self.width).tobytes()
         ends = np.searchsorted(np.array(found.word_ids, dtype=np.int64), np.arange(len(new)), side="right")
         start = 0
@@ -99,6 +106,28 @@ class WordEncoder:
             self.words[word] = packed[start:end]
             start = end
 
+    def _learn(self, new: Iterable[bytes]) -> None:
+        words = self.words
+        plain, other, joined = set(), set(), []
+        for word in new:
+            stem = word.rstrip(self.TAIL)
+            if stem.isalpha() and stem.islower():
+                if stem not in words:
+                    plain.add(stem)
+                if len(stem) < len(word):
+                    tail = word[len(stem) :]
+                    joined.append((word, stem, tail))
+                    if tail not in words:
+                        other.add(tail)
+            else:
+                other.add(word)
+        if plain:
+            self._encode(self.merger, list(plain))
+        if other:
+            self._encode(self.tokenizer, list(other))
+        for word, stem, tail in joined:
+            words[word] = words[stem] + words[tail]
+
     def packed(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, end to end in ``width``."""
         # Bytes split at space and \t..\r alone, and lower-case A-Z alone. The
@@ -110,14 +139,13 @@ class WordEncoder:
             self.words.clear()
             missing = fresh
         if missing:
-            self._learn(list(missing))
+            self._learn(missing)
         seen = self.words.__getitem__
         return [b"".join(map(seen, words)) for words in split]
 
 
-@lru_cache(maxsize=2)
 def word_encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+    return worker.hold(("words", path), lambda: WordEncoder(path))
 
 
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
