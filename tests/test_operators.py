@@ -177,3 +177,18 @@ def test_scrub(spark):
 def test_secret_shapes(spark):
     d = rows(spark, [("AKIA" + "A" * 16,), ("AKIA",), ("-----BEGIN RSA PRIVATE KEY-----",)], "t string")
     assert [r[0] for r in d.select(T.looks_secret(F.col("t"))).collect()] == [True, False, True]
+
+
+def test_scrub_writes_back(spark, tmp_path):
+    log = tmp_path / "a.jsonl"
+    log.write_text('{"text":"secret"}\n{"text":"b"}')
+    lines = rows(spark, [(str(log), 1, '{"text":"secret"}'), (str(log), 2, '{"text":"b"}')], "path string, line long, value string")
+    backup = scrub.write_back(str(log), scrub.scrub_lines(lines, None, ["secret"]))
+    assert log.read_text() == '{"text":"[redacted]"}\n{"text":"b"}' and "secret" in open(backup).read()
+
+
+def test_index_search_agrees(spark):
+    m = rows(spark, [("a", 0, "user", "Straße und Auto"), ("a", 1, "user", "AUTO auto"), ("b", 0, "user", "au to"), ("c", 0, "user", "")], MESSAGES)
+    index_rows = search.trigram_index(m)
+    for term in ("auto", "au", "straße"):
+        assert search.rank_indexed(m, index_rows, term).collect() == search.rank(m, term).collect()

@@ -126,6 +126,13 @@ def opening_prompts(messages: DataFrame) -> DataFrame:
     return prompts.groupBy("path").agg(F.min_by("text", "seq").alias("text")).select("path", T.preview(T.trim(F.col("text"))).alias("opening"))
 
 
+def last_requests(messages: DataFrame) -> DataFrame:
+    """path, seq, request: the newest prompt a person wrote, as a preview."""
+    prompts = messages.filter((F.col("role") == "user") & T.is_prompt(F.col("text")))
+    newest = prompts.groupBy("path").agg(F.max("seq").alias("seq"), F.max_by("text", "seq").alias("text"))
+    return newest.select("path", "seq", T.preview(T.trim(F.col("text"))).alias("request"))
+
+
 def activity(messages: DataFrame) -> DataFrame:
     """path, date: newest date; a session whose newest is unknown has none."""
     newest = messages.groupBy("path").agg(F.max("date").alias("date"))

@@ -119,6 +119,11 @@ def store_vectors(queue: DataFrame, results: DataFrame) -> DataFrame:
     return joined.withColumn("vec", F.when(landed, F.col("new_vec")).otherwise(F.col("vec"))).withColumn("status", F.when(landed, "done").otherwise(F.col("status"))).drop("new_vec")
 
 
+def match_batch(queue: DataFrame, results: DataFrame) -> DataFrame:
+    """Results of a batch (batch_id, pos, vec) to the chunks they were sent for."""
+    return queue.select("id", "sha", "batch_id", "pos").join(results, ["batch_id", "pos"]).select("id", "sha", "vec")
+
+
 def invalidate(queue: DataFrame, model: str, dims: int) -> DataFrame:
     """Chunks of another model or size go back to pending, without their vectors."""
     stale = (F.col("status") != "withheld") & ((F.col("model") != model) | (F.col("dims") != dims))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import os
 import re
+import shutil
 from collections.abc import Iterable
 
 import pandas as pd
@@ -102,6 +104,26 @@ def scrub_lines(lines: DataFrame, drop_lines: DataFrame | None = None, patterns:
     return marked.mapInPandas(run, SCRUBBED)
 
 
+def write_back(path: str, scrubbed: DataFrame) -> str:
+    """Replace one log file by its scrubbed lines; returns the backup's path.
+
+    One user's file is rewritten here, on the driver: the lines go to a
+    temporary file next to it that then takes its place, mode kept, after a copy
+    has been put aside. A file with a line that is not JSON is refused.
+    """
+    lines = [r.value for r in scrubbed.filter(F.col("path") == path).orderBy("line").select("value").toLocalIterator()]
+    for line in lines:
+        if line.strip():
+            json.loads(line)
+    backup, fresh = f"{path}.bak", f"{path}.tmp"
+    shutil.copy2(path, backup)
+    with open(fresh, "w", encoding="utf-8", newline="") as out:
+        out.write("\n".join(lines))
+    shutil.copymode(path, fresh)
+    os.replace(fresh, path)
+    return backup
+
+
 def pattern_lines(texts: DataFrame, pattern: str) -> DataFrame:
     """path, lines: lines of plain texts that match."""
     hits = F.filter(F.split("text", "\n", -1), lambda line: line.rlike(pattern))

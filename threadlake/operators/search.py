@@ -60,3 +60,22 @@ def rows_with_words(messages: DataFrame, words: list[str], limit: int, role: str
     needed = [w for w in words if len(w) >= MIN_TERM]
     kept = messages.filter(F.col("role") == role).filter(T.all_of(T.has(F.col("text"), w) for w in needed))
     return kept.orderBy(F.desc("seq"), F.asc("path")).limit(limit)
+
+
+def trigram_index(messages: DataFrame) -> DataFrame:
+    """(trigram, path, seq): the inverted form of a text column, to be stored."""
+    low = F.lower("text")
+    starts = F.sequence(F.lit(1), F.length(low) - 2)
+    grams = F.when(F.length(low) >= MIN_TERM, F.array_distinct(F.transform(starts, lambda k: F.substring(low, k, F.lit(3)))))
+    return messages.select("path", "seq", F.explode(grams).alias("trigram"))
+
+
+def rank_indexed(messages: DataFrame, index: DataFrame, term: str, limit: int = 10) -> DataFrame:
+    """``rank`` through the index: rows that hold every trigram of the term, then
+    the literal itself. Terms under three characters have no trigram and scan."""
+    low = term.lower()
+    grams = sorted({low[k : k + 3] for k in range(len(low) - 2)})
+    if not grams:
+        return rank(messages, term, limit)
+    met = index.filter(F.col("trigram").isin(*grams)).groupBy("path", "seq").agg(F.count("*").alias("n")).filter(F.col("n") == len(grams))
+    return rank(messages.join(met, ["path", "seq"], "left_semi"), term, limit)

@@ -574,3 +574,32 @@ def match_excerpts(spark, sf_dir):
 def chunk_notes(spark, sf_dir):
     rows = A.notes(spark, sf_dir).select(F.col("path").cast("string").alias("path"), F.concat(F.lit("note-"), F.col("path").cast("string")).alias("name"), "text")
     return notes.chunk_notes(rows).select("path", "chunk_no", "sha", "withheld")
+
+
+@query(ORACLE_SQL["search_rank"])
+def search_indexed(spark, sf_dir):
+    rows = search.visible(A.messages(spark, sf_dir))
+    return search.rank_indexed(rows, search.trigram_index(rows), TERM)
+
+
+@query(f"""
+WITH p AS (SELECT conv_id AS path, max(turn) AS seq, arg_max(trim(text), turn) AS t FROM conversations WHERE role = 'user' AND trim(text) <> '' AND NOT ({_PREFIX_SQL}) GROUP BY conv_id)
+SELECT path, seq, CASE WHEN length(t) <= 300 THEN t ELSE substr(t, 1, 299) || '…' END AS request FROM p
+""")
+def last_requests(spark, sf_dir):
+    return find.last_requests(A.messages(spark, sf_dir))
+
+
+@query("SELECT vec_id AS id, sha256(vec_id::VARCHAR) AS sha FROM embeddings WHERE vec_id % 50 < 40")
+def queue_match_batch(spark, sf_dir):
+    queue = _queue(spark, sf_dir).withColumn("sha", F.sha2(F.col("id").cast("string"), 256)).withColumn("pos", F.col("id") % 50)
+    results = queue.filter("pos < 40").select("batch_id", "pos", "vec")  # a batch that came back in part
+    return notes.match_batch(queue, results).select("id", "sha")
+
+
+@query()
+def scrub_events(spark, sf_dir):
+    """Every tenth turn dropped, lines that name an address masked."""
+    rows = A.messages(spark, sf_dir)
+    lines = rows.select("path", F.col("seq").alias("line"), F.to_json(F.struct("role", "text")).alias("value"))
+    return scrub.scrub_lines(lines, lines.filter("line % 10 = 9").select("path", "line"), [r"[0-9]{4}"])
