@@ -16,12 +16,17 @@ bound under further orders before their texts are fetched and compared.
    shingles for its prefix is safe: whatever links to it shares one of them.
 3. Second index, only among the other (short or boilerplate-ridden) classes:
    all their shingles in order of exact frequency, rarest first, cut to prefixes.
-4. In every list of an index all members meet the smallest one. Found links
-   are joined to components; lists within one component are done. What is
-   left meets all-to-all where that is no more than ``ROOM`` rows per listing,
-   else in further rounds with twice the meeting members. So a group of G near
-   copies costs some G pairs per shared shingle, and no link between different
-   components is missed.
+4. In every list of an index all members meet the one that shares most with
+   others (of a group of copies mostly their original). Found links are joined
+   to components; lists within one component are done. What is left meets
+   across components where that is no more than ``ROOM`` meetings per listing, else
+   in further rounds with twice the meeting members. So a group of G near copies
+   costs some G pairs per shared shingle, and no link between different
+   components is missed. When all meet, the number of lists a pair shares is
+   known in full and bounds its intersection, which drops most pairs at once.
+   Shingles of a single class count towards no intersection, which bounds what a
+   set can share at all (its reach) and takes hopeless members off the lists;
+   two sets compared with the same third are bounded by what they share with it.
 5. Pairs are first held against two more orders (hash descending; a second
    hash), whose prefixes every class carries as 16-bit values: equal values may
    be different shingles, which lets pairs pass but never drops one.
@@ -42,14 +47,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadlake.llm import worker
 from threadlake.llm.components import components
 from threadlake.llm.textgrid import grids, mix
 from threadlake.session import materialize
 
 THETA = np.uint64((1 << 64) // 100 * 26)
 HOT = 64
-ROOM = 16
+ROOM = 256
 MAX_BROADCAST_IDS = 1_000_000
+MAX_BROADCAST_PAIRS = 100_000
 _SECOND_ORDER = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -84,6 +91,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     names = [part.split()[0] for part in SIGNATURES.split(", ")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.release()
         for batch in batches:
             for at, g in grids(batch.column(1), lower=True):
                 doc, code = g.shingle_sets()
@@ -141,7 +149,8 @@ def _fingerprint(code: np.ndarray) -> tuple[int, int]:
 
 
 def _frequency_index(docs: DataFrame, rest: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(token, row_id): prefixes under exact frequency among the given classes."""
+    """(token, row_id, reach): prefixes under exact frequency among the given
+    classes; reach counts the members that another of these classes has too."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,7 +166,8 @@ def _frequency_index(docs: DataFrame, rest: DataFrame, id_col: str, text_col: st
     tokens = tokens.repartition("token").dropDuplicates(["token", "row_id"])
     counted = tokens.withColumn("df", F.count("*").over(Window.partitionBy("token")))
     place = F.row_number().over(Window.partitionBy("row_id").orderBy("df", "token"))
-    return counted.withColumn("place", place).filter("place <= size and df > 1").select("token", "row_id")
+    reach = F.count_if(F.col("df") > 1).over(Window.partitionBy("row_id"))
+    return counted.withColumn("place", place).withColumn("reach", reach).filter("place <= size and df > 1").select("token", "row_id", "reach")
 
 
 def _passes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,79 +192,135 @@ def _passes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _same_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Compare the full sets; rows whose text is another row's of that id go."""
+    """Intersections of the full sets; rows whose text is another row's of that id go."""
     for batch in batches:
         cols = {c: batch.column(c).to_pylist() for c in ("a", "b", "fa1", "fa2", "fb1", "fb2")}
         left, right = _sets(batch.column("text_a")), _sets(batch.column("text_b"))
-        keep = []
+        keep, common, linked = [], [], []
         for k, (x, y) in enumerate(zip(left, right)):
             shared = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(
-                100 * shared >= 80 * (len(x) + len(y) - shared)
-                and _fingerprint(x) == (cols["fa1"][k], cols["fa2"][k])
-                and _fingerprint(y) == (cols["fb1"][k], cols["fb2"][k])
-            )
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            common.append(shared)
+            linked.append(100 * shared >= 80 * (len(x) + len(y) - shared))
+            keep.append(_fingerprint(x) == (cols["fa1"][k], cols["fa2"][k]) and _fingerprint(y) == (cols["fb1"][k], cols["fb2"][k]))
+        yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), pa.array(linked, pa.bool_())], ["a", "b", "shared", "linked"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _within_bounds(counted: DataFrame, shape: DataFrame) -> DataFrame:
+    """Pairs whose full counts of shared listings allow a link.
+
+    In the first index both sets list all their cold members below the same
+    hash, so what they share elsewhere is at most what either has elsewhere. In
+    the second the shorter prefix in frequency order bounds it likewise.
+    """
+    size = lambda s: shape.select(F.col("row_id").alias(s), F.col("n").alias("n" + s), F.col("cold").alias("c" + s))
+    tail = lambda s: F.floor((80 * F.col("n" + s) + 99) / 100) - 1
+    needed = 80 * (F.col("na") + F.col("nb"))
+    first = 180 * (F.col("shared1") + F.least(F.col("na") - F.col("ca"), F.col("nb") - F.col("cb"))) >= needed
+    second = (F.col("shared2") == 0) | (180 * (F.col("shared2") + F.greatest(tail("a"), tail("b"))) >= needed)
+    return counted.join(size("a"), "a").join(size("b"), "b").filter(first & second).select("a", "b")
 
 
 def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Links among distinct pairs (a, b): orders two and three, then the sets."""
+    """(a, b, shared, linked) of the pairs that pass orders two and three."""
     info = classes.select("row_id", "n", "second", "third")
     side = lambda s: info.select(F.col("row_id").alias(s), F.col("n").alias("n" + s), F.col("second").alias("second_" + s), F.col("third").alias("third_" + s))
-    sized = pairs.distinct().join(side("a"), "a").filter("na > 0").join(side("b"), "b")
+    few = pairs.count() <= MAX_BROADCAST_PAIRS
+    sized = side("a").join(F.broadcast(pairs) if few else pairs, "a")
+    sized = side("b").join(F.broadcast(sized) if few else sized, "b")
     sized = sized.filter("100 * least(na, nb) >= 80 * greatest(na, nb)")
     near = materialize(sized.mapInArrow(_passes, "a long, b long"), "jaccard-near")
     wanted = near.select(F.col("a").alias("row_id")).union(near.select("b")).distinct().join(classes.select("row_id", "doc_id", "fp1", "fp2"), "row_id")
     texts = materialize(_texts(docs, materialize(wanted, "jaccard-wanted"), id_col, text_col), "jaccard-texts")
     named = lambda s: texts.select(F.col("row_id").alias(s), F.col("fp1").alias(f"f{s}1"), F.col("fp2").alias(f"f{s}2"), F.col("text").alias("text_" + s))
-    return materialize(near.join(named("b"), "b").join(named("a"), "a").mapInArrow(_same_sets, "a long, b long").distinct(), "jaccard-links")
+    return materialize(near.join(named("b"), "b").join(named("a"), "a").mapInArrow(_same_sets, "a long, b long, shared long, linked boolean").distinct(), "jaccard-compared")
+
+
+def _centers(compared: DataFrame, allowed: DataFrame) -> DataFrame:
+    """(row_id, center, common): of the allowed sets that each set was compared
+    with, the one that most were compared with, and what they share."""
+    both = compared.select(F.col("a").alias("row_id"), F.col("b").alias("center"), F.col("shared").alias("common"))
+    both = both.unionByName(compared.select(F.col("b").alias("row_id"), F.col("a").alias("center"), F.col("shared").alias("common")))
+    degree = both.groupBy("center").agg(F.count("*").alias("degree")).join(allowed.select(F.col("row_id").alias("center")), "center", "left_semi")
+    best = both.join(degree, "center").groupBy("row_id").agg(F.max_by(F.struct("center", "common"), F.struct("degree", "center")).alias("best"))
+    return best.select("row_id", "best.center", "best.common")
+
+
+def _hopeful(lists: DataFrame) -> DataFrame:
+    """Drop members that no member of their list can link to, by size and reach."""
+    smallest = F.min("n").over(Window.partitionBy("list"))
+    least = F.greatest(F.floor((80 * F.col("n") + 99) / 100), smallest)
+    return lists.withColumn("least", least).filter("180 * reach >= 80 * (n + least)").drop("least")
 
 
 def link_classes(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(node, label) of the linked classes."""
     listing = classes.select("row_id", F.explode("listed").alias("token")).withColumn("df", F.count("*").over(Window.partitionBy("token"))).filter("df > 1")
     listing = materialize(listing, "jaccard-listing")
-    hot = listing.filter(F.col("df") > HOT).groupBy("row_id").agg(F.count("*").alias("hot"))
-    unsafe = (
+    held = listing.groupBy("row_id").agg(F.count("*").alias("held"), F.count_if(F.col("df") > HOT).alias("hot"))
+    # reach: the most that any other set can share; single shingles are shared with none
+    shape = materialize(
         classes.filter("n > 0")
         .select("row_id", "doc_id", "fp1", "fp2", "n", F.size("listed").alias("found"))
-        .join(hot, "row_id", "left")
-        .filter("found - coalesce(hot, 0) < n - floor((80 * n + 99) / 100) + 1")
-        .select("row_id", "doc_id", "fp1", "fp2")
+        .join(held, "row_id", "left")
+        .withColumn("cold", F.col("found") - F.coalesce("hot", F.lit(0)))
+        .withColumn("reach", F.col("n") - F.col("found") + F.coalesce("held", F.lit(0)))
+        .drop("found", "hot", "held"),
+        "jaccard-shape",
     )
-    rest = _frequency_index(docs, materialize(unsafe, "jaccard-unsafe"), id_col, text_col)
-    lists = listing.filter(F.col("df") <= HOT).select(F.struct(F.lit(1).alias("index"), F.col("token").alias("token")).alias("list"), "row_id")
-    lists = materialize(lists.unionByName(rest.select(F.struct(F.lit(2).alias("index"), F.col("token").alias("token")).alias("list"), "row_id")), "jaccard-lists")
-
-    links: DataFrame | None = None
-    meeting = 1
+    unsafe = materialize(
+        shape.filter("cold < n - floor((80 * n + 99) / 100) + 1 and 100 * reach >= 80 * n").select("row_id", "doc_id", "fp1", "fp2"), "jaccard-unsafe"
+    )
+    rest = _frequency_index(docs, unsafe, id_col, text_col)
+    key = lambda k: F.struct(F.lit(k).alias("index"), F.col("token").alias("token")).alias("list")
+    lists = listing.filter(F.col("df") <= HOT).select(key(1), "row_id", F.lit(None).cast("long").alias("seen")).unionByName(rest.select(key(2), "row_id", F.col("reach").alias("seen")))
+    # Members that share most with most others come first: an original before its copies.
+    lists = lists.join(shape.select("row_id", "n", "reach"), "row_id").withColumn("reach", F.least("reach", "seen")).drop("seen")
+    lists = materialize(_hopeful(lists).withColumn("size", F.count("*").over(Window.partitionBy("list"))), "jaccard-lists")
+    score = lists.groupBy("row_id").agg(F.sum("size").alias("score"))
+    lists = materialize(lists.drop("size").join(score, "row_id"), "jaccard-lists")
+
+    place = F.row_number().over(Window.partitionBy("list").orderBy(F.desc("score"), "row_id"))
+    other = [F.col("row_id").alias("x"), F.col("n").alias("nx"), F.col("reach").alias("rx")]
+    may = "100 * least(n, nx) >= 80 * greatest(n, nx) and 180 * least(reach, rx) >= 80 * (n + nx)"
+    pair = [F.least("x", "row_id").alias("a"), F.greatest("x", "row_id").alias("b")]
+    ranked = lists.withColumn("place", place)
+    firsts = ranked.filter("place = 1").select("list", *other)
+    pairs = ranked.filter("place > 1").join(firsts, "list").filter(may).select(*pair).distinct()
+    # With a center c, x and y share min(|x & c|, |y & c|) inside it at most, and
+    # outside it no more than either reaches there.
+    other += [F.col("center").alias("cx"), F.col("common").alias("sx")]
+    may += " and (center is null or cx is null or center <> cx or 180 * (least(common, sx) + least(reach - common, rx - sx)) >= 80 * (n + nx))"
+    links, meeting, met = None, 1, 1
     while True:
-        # Members of a list in order; the first ``meeting`` of them meet all later ones.
-        ranked = lists.withColumn("place", F.row_number().over(Window.partitionBy("list").orderBy("row_id")))
-        firsts = ranked.filter(F.col("place") <= meeting).select("list", F.col("row_id").alias("a"), F.col("place").alias("first"), *(["label"] if links is not None else []))
-        if links is not None:
-            firsts = firsts.withColumnRenamed("label", "label_a")
-        met = ranked.join(firsts, "list").filter("place > first")
-        if links is not None:
-            met = met.filter("label <> label_a")
-        found = _verify(met.select("a", F.col("row_id").alias("b")), classes, docs, id_col, text_col)
+        compared = _verify(materialize(pairs, "jaccard-pairs"), classes, docs, id_col, text_col)
+        found = compared.filter("linked").select("a", "b")
+        if links is None:
+            ranked = ranked.join(_centers(compared, unsafe), "row_id", "left")
         links = found if links is None else links.unionByName(found)
         labels = components(links)
-        # Those that met everyone leave; lists within one component are done.
-        later = ranked.filter(F.col("place") > meeting).select("list", "row_id")
+        # Those that met everyone leave; lists within one component are done. In
+        # the others all members but those of the largest component are minor.
+        later = _hopeful(ranked.filter(F.col("place") > met).select("list", "row_id", "n", "reach", "score", "center", "common"))
         labelled = later.join(labels.withColumnRenamed("node", "row_id"), "row_id", "left").withColumn("label", F.coalesce("label", "row_id"))
-        spread = Window.partitionBy("list")
-        lists = materialize(
-            labelled.withColumn("low", F.min("label").over(spread)).withColumn("high", F.max("label").over(spread)).filter("low < high").select("list", "row_id", "label"),
-            "jaccard-lists",
-        )
-        rows, pairs = (
-            lists.groupBy("list").agg(F.count("*").cast("double").alias("m")).agg(F.coalesce(F.sum("m"), F.lit(0.0)), F.coalesce(F.sum(F.expr("m * (m - 1) / 2")), F.lit(0.0))).first()
-        )
+        share = labelled.groupBy("list", "label").agg(F.count("*").alias("k"))
+        whole = share.groupBy("list").agg(F.max_by("label", F.struct("k", "label")).alias("major"), F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("squares")).filter("m * m > squares")
+        lists = materialize(labelled.join(whole, "list"), "jaccard-lists")
+        rows, apart = lists.agg(F.count("*"), F.coalesce(F.sum(F.expr("(double(m) * m - squares) / (2 * m)")), F.lit(0.0))).first()
         if not rows:
             return labels
-        longest = lists.groupBy("list").count().agg(F.max("count")).first()[0]
-        meeting = longest if pairs <= ROOM * rows + 100_000 else 2 * meeting
+        if apart <= ROOM * rows + 100_000:
+            minor = lists.filter("label <> major").select("list", *other, F.col("label").alias("label_x"))
+            every = minor.join(lists, "list").filter(f"label <> label_x and (label = major or x < row_id) and {may}")
+            counted = every.groupBy(*pair).agg(F.count_if(F.col("list.index") == 1).alias("shared1"), F.count_if(F.col("list.index") == 2).alias("shared2"))
+            # A pair not yet compared meets in every list it shares, so its counts are full.
+            pairs = materialize(_within_bounds(counted, shape), "jaccard-pairs")
+            compared = _verify(pairs, classes, docs, id_col, text_col)
+            return components(links.unionByName(compared.filter("linked").select("a", "b")))
+        meeting *= 2
+        met = meeting
+        ranked = lists.withColumn("place", place)
+        firsts = ranked.filter(F.col("place") <= meeting).select("list", *other, F.col("label").alias("label_x"), F.col("place").alias("first"))
+        pairs = ranked.join(firsts, "list").filter(f"place > first and label <> label_x and {may}").select(*pair).distinct()
 
 
 def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
