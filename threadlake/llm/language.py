@@ -24,13 +24,14 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadlake.llm import worker
+
 SAMPLE_DOCS = 64
 SAMPLE_LETTERS = 24_000
 MAX_LANGUAGES = 500
@@ -175,9 +176,8 @@ class CrossParser:
         return per_text, letters
 
 
-@lru_cache(maxsize=1)
 def parser(samples: tuple[tuple[str, str], ...]) -> CrossParser:
-    return CrossParser(samples)
+    return worker.hold(("languages", samples), lambda: CrossParser(samples))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

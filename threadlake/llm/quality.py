@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from threadlake.llm import worker
 from threadlake.llm.textgrid import grids, seen_before
 from threadlake.session import materialize
 
@@ -96,6 +97,7 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     names = ["doc_id", *(m.split()[0] for m in MEASURES.split(", "))]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.release()
         for batch in batches:
             yield pa.record_batch([batch.column(0), *(pa.array(v, pa.int64()) for v in _measure(batch.column(1)))], names)
 
@@ -131,6 +133,7 @@ def filter_documents(docs: DataFrame, policy: str = "v1", text_col: str = "text"
     at = docs.columns.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.release()
         for batch in batches:
             values = pa.StructArray.from_arrays([pa.array(v, pa.int64()) for v in _measure(batch.column(at))], inner.fieldNames())
             yield pa.RecordBatch.from_arrays([*batch.columns, values], [*batch.schema.names, name])

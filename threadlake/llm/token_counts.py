@@ -18,12 +18,12 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadlake.llm import worker
 from threadlake.llm.unicode_tables import SPACE, byte_alphabet, stand_in, unassigned
 
 TOKEN_LIMIT = 1024
@@ -87,9 +87,8 @@ class PieceCounter:
         return total
 
 
-@lru_cache(maxsize=2)
 def piece_counter(path: str) -> PieceCounter:
-    return PieceCounter(path)
+    return worker.hold(("pieces", path), lambda: PieceCounter(path))
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = TOKEN_LIMIT) -> DataFrame:
