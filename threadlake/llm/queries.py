@@ -1,31 +1,33 @@
 """Queries and oracle SQL of this subpackage, picked up by __spark_entry__.py."""
 
 from threadlake.llm.decontaminate import OP1_SQL, op1_decontamination
-from threadlake.llm.jaccard import op4_jaccard_join
+from threadlake.llm.jaccard import OP4_SQL, op4_jaccard_join
 from threadlake.llm.language import op5_language_id
 from threadlake.llm.mixing import op7_mix_sources
 from threadlake.llm.pii import op9_pii
 from threadlake.llm.quality import OP3_SQL, op3_quality_ledger
-from threadlake.llm.secrets_scan import op10_secret_scan
+from threadlake.llm.secrets_scan import OP10_SQL, op10_secret_scan
 from threadlake.llm.token_counts import op6_token_counts
 from threadlake.llm.token_ids import op2_token_binary
 from threadlake.llm.warc import OP8_SQL, op8_warc
 
 QUERIES = {
-    "op9_pii": op9_pii,
-    "op5_language_id": op5_language_id,
-    "op4_jaccard_join": op4_jaccard_join,
-    "op10_secret_scan": op10_secret_scan,
     "op1_decontamination": op1_decontamination,
+    "op2_token_binary": op2_token_binary,
     "op3_quality_ledger": op3_quality_ledger,
-    "op8_warc": op8_warc,
+    "op4_jaccard_join": op4_jaccard_join,
+    "op5_language_id": op5_language_id,
     "op6_token_counts": op6_token_counts,
-    "op2_token_binary": op2_token_binary,
     "op7_mix_sources": op7_mix_sources,
+    "op8_warc": op8_warc,
+    "op9_pii": op9_pii,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": OP1_SQL,
     "op3_quality_ledger": OP3_SQL,
+    "op4_jaccard_join": OP4_SQL,
     "op8_warc": OP8_SQL,
+    "op10_secret_scan": OP10_SQL,
 }

@@ -154,3 +154,30 @@ def describe(found: DataFrame) -> DataFrame:
 
 def op10_secret_scan(spark, sf_dir: str) -> DataFrame:
     return describe(scan(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+def _rule_sql(k: int, rule: Rule) -> str:
+    pattern = rule.java.replace("'", "''")
+    return f"""
+  SELECT doc_id, {k} AS k, '{rule.kind}' AS kind, g[i] AS held, length(m[i]) AS n,
+    list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS start
+  FROM (
+    SELECT doc_id, m, g, p, unnest(range(1, len(m) + 1)) AS i FROM (
+      SELECT doc_id, regexp_extract_all(text, '{pattern}') AS m, regexp_extract_all(text, '{pattern}', {rule.group}) AS g, regexp_split_to_array(text, '{pattern}') AS p
+      FROM t WHERE regexp_matches(text, '{pattern}')))
+  WHERE length(held) >= {rule.least}"""
+
+
+_ALL_RULES = (*BASE_RULES, *MORE_RULES)
+OP10_SQL = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+s AS ({" UNION ALL ".join(_rule_sql(k, r) for k, r in enumerate(_ALL_RULES))}),
+w AS (SELECT doc_id, k, start, kind || ':' || start::BIGINT || ':' || (start + n)::BIGINT AS span FROM s),
+a AS (
+  SELECT doc_id, {", ".join(f"count(*) FILTER (k = {k}) AS n_{r.kind}" for k, r in enumerate(BASE_RULES))},
+    string_agg(span, ',' ORDER BY start, k) FILTER (k < {len(BASE_RULES)}) AS base, string_agg(span, ',' ORDER BY start, k) AS spans
+  FROM w GROUP BY doc_id
+)
+SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE_RULES)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN a USING (doc_id)
+"""
