@@ -129,7 +129,7 @@ def test_measures(texts):
 def test_ledger_policies_and_ablation(odd):
     rows = quality.ledger(odd)
     assert {r.doc_id for r in rows.filter(quality.passes("base")).collect()} == set()
-    kept = quality.filter_documents(odd.selectExpr("doc_id", "concat_ws(' ', transform(sequence(1, 20), x -> concat('w', x * (doc_id + 1)))) as text", "size as quality"))
+    kept = quality.filter_documents(odd.selectExpr("doc_id", "concat_ws(' ', transform(sequence(1, 20), x -> concat('w', x * (coalesce(doc_id, 0) + 1)))) as text", "size as quality"))
     assert kept.columns == ["doc_id", "text", "quality"] and kept.count() == len(ODD) + 2
     found = {r.rule: (r.n_failed, r.n_alone) for r in quality.ablation(rows, "base").collect()}
     assert found["few_words"][0] >= found["few_words"][1] > 0
