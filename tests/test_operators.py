@@ -192,3 +192,28 @@ def test_index_search_agrees(spark):
     index_rows = search.trigram_index(m)
     for term in ("auto", "au", "straße"):
         assert search.rank_indexed(m, index_rows, term).collect() == search.rank(m, term).collect()
+
+
+def test_nested_calls(spark):
+    script = "// tools.no()\nawait tools.read({p: 'tools.no('}); /* tools.no() */ tools . write (1); x.tools.no(); `tools.no(` ; /tools.no\\(/g.test(s)"
+    e = rows(spark, [("p", 0, "tool_call", "exec", script), ("p", 1, "tool_call", "read", "tools.a()"), ("p", 2, "tool_call", "exec", None)], "path string, idx long, kind string, tool string, input string")
+    assert [(r.idx, list(r.names)) for r in profile.nested_sites(e).collect()] == [(0, ["read", "write"])]
+    assert profile.without_observations(rows(spark, [("p", 0, "tool_call", "shell.wait"), ("p", 1, "tool_call", "await")], "path string, idx long, kind string, tool string")).count() == 1
+
+
+def test_cited_calls():
+    found = [{"path": "p", "call_idx": 3, "tool": "t", "output": 1.0}]
+    assert "[p#3]" in profile.explanation_prompt([{"path": "p", "tool_calls": 1, "repeated_calls": 0, "error_results": 0}], found)
+    assert profile.cited("see [p#3] and [p#3]", found) == ["p#3"]
+    with pytest.raises(ValueError):
+        profile.cited("see [q#1]", found)
+
+
+def test_resolve_and_exclude(spark):
+    a, b = "aaaaaaaa-1111-2222-3333-444444444444", "aaaaaaaa-9999-2222-3333-444444444444"
+    s = rows(spark, [(f"/l/{a}.jsonl",), (f"/l/{b}.jsonl",), ("opencode:///d/o.db#ses_1",)], "path string")
+    assert index.resolve(s, a) == f"/l/{a}.jsonl" and index.resolve(s, "aaaaaaaa-9") == f"/l/{b}.jsonl"
+    assert index.resolve(s, f"lake://claude/{b}#event-3") == f"/l/{b}.jsonl" and index.resolve(s, "/some/path") == "/some/path"
+    with pytest.raises(ValueError, match="ambiguous"):
+        index.resolve(s, "aaaaaaaa")
+    assert [r.path for r in index.exclude(s, [a, "ses_1"]).collect()] == [f"/l/{b}.jsonl"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,3 +64,39 @@ def parse_address(column):
     pattern = r"^[a-z]+://([^/]+)/([^/#]+)(?:/([^#]+))?(?:#event-([0-9]+))?$"
     part = lambda k: F.nullif(F.regexp_extract(column, pattern, k), F.lit(""))
     return F.struct(part(1).alias("source"), part(2).alias("id"), part(3).alias("part"), part(4).cast("long").alias("event"))
+
+
+UUID = r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
+MIN_PREFIX = 8
+
+
+def session_id(path):
+    """The UUID in a path, else what follows # in a locator, else the file's stem."""
+    uuid = F.regexp_extract(path, f"({UUID})", 1)
+    virtual = F.regexp_extract(path, "#([^#]+)$", 1)
+    stem = F.regexp_replace(F.regexp_extract(path, r"([^/\\]+)$", 1), r"\.jsonl$", "")
+    return F.when(uuid != "", uuid).when(virtual != "", virtual).otherwise(stem)
+
+
+def exclude(sessions: DataFrame, names: list[str]) -> DataFrame:
+    """Sessions whose path, stem or id is not among the names."""
+    path = F.col("path").cast("string")
+    unwanted = sessions.sparkSession.createDataFrame([(n,) for n in dict.fromkeys(names)], "name string")
+    return sessions.join(F.broadcast(unwanted), (path == F.col("name")) | (session_id(path) == F.col("name")), "left_anti") if names else sessions
+
+
+def resolve(sessions: DataFrame, argument: str) -> str:
+    """The path that an address, an id or a unique prefix of one names; anything
+    else is a path already. ValueError lists the ids of an ambiguous prefix."""
+    if m := re.match(r"^[a-z]+://[^/#]+/([^/#]+)", argument):
+        argument = m[1]
+    elif not re.fullmatch(f"[0-9a-f-]{{{MIN_PREFIX},36}}", argument):
+        return argument
+    found = sessions.select("path").distinct().withColumn("id", session_id(F.col("path"))).filter(F.startswith(F.col("id"), F.lit(argument)))
+    rows = found.orderBy("id", "path").limit(20).collect()
+    ids = list(dict.fromkeys(r.id for r in rows))
+    if len(ids) > 1 and argument not in ids:
+        raise ValueError(f"ambiguous: {', '.join(ids)}")
+    if not rows:
+        raise ValueError(f"no session with id {argument}")
+    return next((r.path for r in rows if r.id == argument), rows[0].path)

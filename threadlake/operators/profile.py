@@ -8,9 +8,13 @@ more than its rows.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadlake.functions import text as T
+
 OVERSIZED = 10_000
 
 
@@ -20,6 +24,51 @@ def fingerprint(tool, payload):
     return F.sha2(F.concat(tool, F.lit("\x00"), F.coalesce(canonical, F.lit(""))), 256)
 
 
+#: Comments, strings and regex literals of a script, in the order they are tried.
+LITERALS = (
+    r"/\*(?s:.*?)\*/",
+    r"//[^\n]*+",
+    r'"(?:[^"\\]++|\\(?s:.))*+"',
+    r"'(?:[^'\\]++|\\(?s:.))*+'",
+    r"`(?:[^`\\]++|\\(?s:.))*+`",
+    r"/(?:[^/\n\\]++|\\.)++/[dgimsuvy]*+",
+)
+
+
+def nested_calls(payload):
+    """Names called as ``tools.name(`` in a script, outside comments and literals."""
+    bare = F.regexp_replace(payload, "|".join(LITERALS), " ")
+    return F.regexp_extract_all(bare, F.lit(r"(?<![A-Za-z0-9_.$])tools\s*\.\s*([A-Za-z_][A-Za-z0-9_]*)\s*\("), F.lit(1))
+
+
+def nested_sites(events: DataFrame) -> DataFrame:
+    """path, idx, names of the calls inside wrapper calls."""
+    wrapped = events.filter((F.col("kind") == "tool_call") & T.is_wrapper(F.col("tool")))
+    return wrapped.select("path", "idx", nested_calls(F.col("input")).alias("names")).filter(F.size("names") > 0)
+
+
+def without_observations(events: DataFrame) -> DataFrame:
+    """Calls that act, not those that only wait for or read from another."""
+    return events.filter((F.col("kind") != "tool_call") | ~T.is_observation(F.col("tool")))
+
+
+def explanation_prompt(sessions: list[dict], found: list[dict]) -> str:
+    """The text a pluggable answerer explains a profile from."""
+    lines = ["Explain these tool-activity measures. Cite calls as [path#idx]; cite none that is not listed.", "Sessions:"]
+    lines += [f"- {s['path']}: {s['tool_calls']} calls, {s['repeated_calls']} repeated, {s['error_results']} errors" for s in sessions]
+    lines += ["Calls:", *(f"- [{c['path']}#{c['call_idx']}] {c['tool']}, output {c['output']}" for c in found)]
+    return "\n".join(lines)
+
+
+def cited(answer: str, found: list[dict]) -> list[str]:
+    """The calls an answer cites; ValueError if it cites one it was not given."""
+    known = {f"{c['path']}#{c['call_idx']}" for c in found}
+    named = list(dict.fromkeys(re.findall(r"\[([^\]\s]+#[0-9]+)\]", answer)))
+    if wrong := [n for n in named if n not in known]:
+        raise ValueError(f"cites calls it was not given: {', '.join(wrong)}")
+    return named
+
+
 def paired(events: DataFrame) -> DataFrame:
     """Results with the call they belong to: call_idx, call_tool, call_ms, nth."""
     upto = Window.partitionBy("path", "call_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)

@@ -28,8 +28,12 @@ def probes(texts: DataFrame, min_words: int = KEY_WORDS) -> DataFrame:
 
 def wrote(texts: DataFrame, probe_lines: DataFrame) -> DataFrame:
     """probe, path, lines: texts that hold two of a probe's lines (or its only one)."""
-    worded = texts.select("path", T.words(F.col("text")).alias("w")).filter(F.size("w") >= KEY_WORDS)
-    keyed = worded.select("path", F.array_join("w", " ").alias("all"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - KEY_WORDS + 1), lambda k: F.array_join(F.slice("w", k, KEY_WORDS), " ")))).alias("key"))
-    met = keyed.join(probe_lines, "key").filter(F.contains(F.concat(F.lit(" "), F.col("all"), F.lit(" ")), F.concat(F.lit(" "), F.col("run"), F.lit(" "))))
+    worded = texts.select("path", F.explode(F.array(T.words(F.col("text")))).alias("w")).filter(F.size("w") >= KEY_WORDS)
+    # Keys first, without the texts: only pairs that share a key look at a text again.
+    runs = F.transform(F.sequence(F.lit(1), F.size("w") - KEY_WORDS + 1), lambda k: F.array_join(F.slice("w", k, KEY_WORDS), " "))
+    keys = worded.select("path", F.explode(F.array_distinct(runs)).alias("key"))
+    candidates = keys.join(probe_lines, "key").select("path", "probe", "line_no", "run")
+    spaced = worded.select("path", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("all"))
+    met = spaced.join(candidates, "path").filter(F.contains(F.col("all"), F.concat(F.lit(" "), F.col("run"), F.lit(" "))))
     needed = probe_lines.groupBy("probe").agg(F.least(F.lit(2), F.count("*")).alias("needed"))
     return met.groupBy("probe", "path").agg(F.count_distinct("line_no").alias("lines")).join(needed, "probe").filter("lines >= needed").select("probe", "path", "lines")

@@ -603,3 +603,8 @@ def scrub_events(spark, sf_dir):
     rows = A.messages(spark, sf_dir)
     lines = rows.select("path", F.col("seq").alias("line"), F.to_json(F.struct("role", "text")).alias("value"))
     return scrub.scrub_lines(lines, lines.filter("line % 10 = 9").select("path", "line"), [r"[0-9]{4}"])
+
+
+@query("SELECT DISTINCT conv_id AS path FROM conversations WHERE conv_id NOT IN (3, 5, 8)")
+def session_exclude(spark, sf_dir):
+    return index.exclude(A.messages(spark, sf_dir).select("path").distinct(), ["3", "5", "8", "none"])

@@ -42,6 +42,15 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/threadlake/{label}-{uuid.uuid4().hex}"
 
 
+def bound_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Send texts to Python in batches of at most so many rows: a batch is held
+    by the task and by its Python worker, and texts are long. Only ever lowers
+    the session's setting."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write to the shared folder and read again: later stages start from the
     table, so a lost executor costs no more than the stage at hand."""
