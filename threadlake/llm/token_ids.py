@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadlake.llm import shared_files, worker
-from threadlake.session import materialize, shared_path
+from threadlake.session import bound_batches, materialize, shared_path
 
 END_ID = 2
 MAGIC = b"TLIDBLK1"
@@ -41,7 +41,7 @@ HEADER = "<8s4Q"
 HEADER_BYTES = struct.calcsize(HEADER)
 BLOCK_TOKENS = 1 << 20
 SHARD_TOKENS = 1 << 24
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 1_500_000
 SLICE_BYTES = 1 << 20
 
 #: Bytes each of a control byte's four values takes.
@@ -87,7 +87,8 @@ class WordEncoder:
 
     TAIL = b".,;:!?*$%&#|"
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+        self.cache_words = cache_words
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -135,7 +136,7 @@ class WordEncoder:
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
         fresh = set().union(*split)
         missing = fresh.difference(self.words)
-        if len(self.words) + len(missing) > CACHE_WORDS:
+        if len(self.words) + len(missing) > self.cache_words:
             self.words.clear()
             missing = fresh
         if missing:
@@ -144,27 +145,31 @@ class WordEncoder:
         return [b"".join(map(seen, words)) for words in split]
 
 
-def word_encoder(path: str) -> WordEncoder:
-    return worker.hold(("words", path), lambda: WordEncoder(path))
+def word_encoder(path: str, cache_words: int) -> WordEncoder:
+    return worker.hold(("words", path, cache_words), lambda: WordEncoder(path, cache_words))
 
 
-def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
-    """doc_id, n_tokens and ids (unsigned 32-bit, packed to 16 bits where all fit)."""
+def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, cache_words: int = CACHE_WORDS) -> DataFrame:
+    """doc_id, n_tokens and ids (unsigned 32-bit, packed to 16 bits where all fit).
+
+    ``cache_words`` trades a worker's memory, some 200 bytes a word, for time.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_encoder(tokenizer_path)
+        encoder = word_encoder(tokenizer_path, cache_words)
         mark, end = (b"\2", struct.pack("<H", end_id)) if encoder.width == "<u2" else (b"\4", struct.pack("<I", end_id))
         for batch in batches:
             texts = batch.column(1).cast(pa.large_binary()).fill_null(b"")
             bounds = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
-            at, packed = 0, []
+            at = 0
             while at < len(texts):
                 to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + SLICE_BYTES, side="right")) - 1)
-                packed += [mark + ids + end for ids in encoder.packed(texts[at:to].to_pylist())]
+                packed = [mark + ids + end for ids in encoder.packed(texts[at:to].to_pylist())]
+                counts = [(len(p) - 1) // len(end) for p in packed]
+                yield pa.record_batch([batch.column(0)[at:to], pa.array(counts, pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "n_tokens", "ids"])
                 at = to
-            counts = [(len(p) - 1) // len(end) for p in packed]
-            yield pa.record_batch([batch.column(0), pa.array(counts, pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
+    bound_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return slim.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
@@ -281,10 +286,10 @@ def read_digests(manifest: DataFrame, folder: str) -> DataFrame:
     return based.select("file", "base").repartition(n, "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def binary_corpus(docs: DataFrame, tokenizer_path: str, **names) -> DataFrame:
+def binary_corpus(docs: DataFrame, tokenizer_path: str, **options) -> DataFrame:
     """Encode, write in the file format, read back: doc_id, start, n_tokens, ids_crc32."""
     folder = shared_path(docs.sparkSession, "token-files")
-    encoded = materialize(encode(docs, tokenizer_path, **names), "token-ids")
+    encoded = materialize(encode(docs, tokenizer_path, **options), "token-ids")
     return read_digests(write_shards(encoded, folder), folder)
 
 
