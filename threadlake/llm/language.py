@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadlake.llm import worker
+from threadlake.session import bound_batches
 
 SAMPLE_DOCS = 64
 SAMPLE_LETTERS = 24_000
@@ -208,6 +209,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                 at = to
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
+    bound_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     return slim.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 

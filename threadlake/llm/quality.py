@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from threadlake.llm import worker
 from threadlake.llm.textgrid import grids, seen_before
-from threadlake.session import materialize
+from threadlake.session import bound_batches, materialize
 
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -101,6 +101,7 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         for batch in batches:
             yield pa.record_batch([batch.column(0), *(pa.array(v, pa.int64()) for v in _measure(batch.column(1)))], names)
 
+    bound_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     bits = " | ".join(f"if({condition}, {BIT[name]}L, 0L)" for name, condition in RULES.items())
     return slim.mapInArrow(run, f"doc_id long, {MEASURES}").withColumn("failed", F.expr(bits))
@@ -126,6 +127,7 @@ def filter_documents(docs: DataFrame, policy: str = "v1", text_col: str = "text"
     The measurements ride along as one more column of the row, so each row is
     judged by itself and no text is shuffled.
     """
+    bound_batches(docs.sparkSession)
     name = "quality"
     while name in docs.columns:
         name += "_"

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from threadlake.llm import worker
 from threadlake.llm.unicode_tables import SPACE, byte_alphabet, stand_in, unassigned
+from threadlake.session import bound_batches
 
 TOKEN_LIMIT = 1024
 CACHE_PIECES = 300_000
@@ -101,6 +102,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     text = F.col(text_col).cast("string")
+    bound_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), text.alias("text"))
     counted = slim.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
