@@ -50,13 +50,12 @@ from pyspark.sql import functions as F
 from threadlake.llm import worker
 from threadlake.llm.components import components
 from threadlake.llm.textgrid import grids, mix
-from threadlake.session import materialize
+from threadlake.session import bound_batches, materialize
 
 THETA = np.uint64((1 << 64) // 100 * 26)
 HOT = 64
 ROOM = 256
 MAX_BROADCAST_IDS = 1_000_000
-MAX_BROADCAST_PAIRS = 100_000
 _SECOND_ORDER = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -115,6 +114,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 ids = batch.column(0).slice(at, g.n_docs)
                 yield pa.record_batch([ids, pa.array(n, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), second, third, listed], names)
 
+    bound_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return slim.mapInArrow(run, SIGNATURES)
 
@@ -224,9 +224,7 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
     """(a, b, shared, linked) of the pairs that pass orders two and three."""
     info = classes.select("row_id", "n", "second", "third")
     side = lambda s: info.select(F.col("row_id").alias(s), F.col("n").alias("n" + s), F.col("second").alias("second_" + s), F.col("third").alias("third_" + s))
-    few = pairs.count() <= MAX_BROADCAST_PAIRS
-    sized = side("a").join(F.broadcast(pairs) if few else pairs, "a")
-    sized = side("b").join(F.broadcast(sized) if few else sized, "b")
+    sized = pairs.join(side("a"), "a").join(side("b"), "b")
     sized = sized.filter("100 * least(na, nb) >= 80 * greatest(na, nb)")
     near = materialize(sized.mapInArrow(_passes, "a long, b long"), "jaccard-near")
     wanted = near.select(F.col("a").alias("row_id")).union(near.select("b")).distinct().join(classes.select("row_id", "doc_id", "fp1", "fp2"), "row_id")
