@@ -148,6 +148,33 @@ def test_jaccard_edges(spark):
     assert jaccard.one_of_each(d.unionByName(d)).count() == 1
 
 
+def test_jaccard_one_id_for_many_texts(spark, monkeypatch):
+    """Rows that share an id, or have none, meet their own text only; of repeated rows one."""
+    written = {}
+    keep = jaccard.materialize
+
+    def counted(df, label):
+        out = keep(df, label)
+        written.setdefault(label, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", counted)
+    rng = random.Random(11)
+    texts = []
+    for _ in range(15):
+        base = words(rng, 60, 4000)
+        texts += [" ".join(base), " ".join([*base, "end"]), " ".join([*base, "end"])]
+    rows = [((None, 7)[k % 2], t) for k, t in enumerate(texts)] + [(100 + k, t + " more") for k, t in enumerate(texts[::3])]
+    want = _plain_groups([t for _, t in rows])
+    smallest = {}
+    for (key, _), (_, group) in zip(rows, want):
+        smallest[group] = min((k for k in (smallest.get(group), key) if k is not None), default=None)
+    got = jaccard.group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    by = lambda r: (r[0] is None, r)
+    assert sorted(map(tuple, got), key=by) == sorted(((key, n, smallest[group]) for (key, _), (n, group) in zip(rows, want)), key=by)
+    assert written["jaccard-texts"] and max(written["jaccard-texts"]) <= len(rows)
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (5, 4), (6, 5), (9, 9), (3, 1)] + [(100 + k, 101 + k) for k in range(40)]
     got = {r.node: r.label for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}

@@ -82,12 +82,12 @@ def _binary(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * 2).astype(np.int64).tobytes()), pa.py_buffer(raw)]).cast(pa.binary())
 
 
-SIGNATURES = "doc_id long, n long, fp1 long, fp2 long, second binary, third binary, listed array<bigint>"
+SIGNATURES = "doc_id long, n long, fp1 long, fp2 long, h1 long, h2 long, second binary, third binary, listed array<bigint>"
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: set size, set fingerprint, prefixes under the second and third
-    order, and the shingles listed in the first index."""
+    """Per row: set size, set fingerprint, hash of the raw text, prefixes under
+    the second and third order, and the shingles listed in the first index."""
     names = [part.split()[0] for part in SIGNATURES.split(", ")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,12 +112,17 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 low = code < THETA
                 where, values = _list_of(doc[low], code[low].view(np.int64), g.n_docs)
                 listed = pa.ListArray.from_arrays(pa.array(where, pa.int32()), pa.array(values, pa.int64()))
-                ids = batch.column(0).slice(at, g.n_docs)
-                yield pa.record_batch([ids, pa.array(n, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), second, third, listed], names)
+                ids, h1, h2 = (batch.column(c).slice(at, g.n_docs) for c in (0, 2, 3))
+                yield pa.record_batch([ids, pa.array(n, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), h1, h2, second, third, listed], names)
 
     bound_batches(docs.sparkSession)
+    return _hashed(docs, id_col, text_col).mapInArrow(run, SIGNATURES)
+
+
+def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text and 128 bits of hash of the raw text."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(run, SIGNATURES)
+    return slim.withColumn("h1", F.xxhash64("text")).withColumn("h2", F.xxhash64(F.lit("second"), "text"))
 
 
 def _only(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
@@ -125,12 +130,15 @@ def _only(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
     return rows.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids, key, how)
 
 
-def _texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(row_id, fp1, fp2, text) of the wanted (row_id, doc_id, fp1, fp2); rows
-    that share an id come with each text and are told apart by fingerprint."""
-    small = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_IDS else wanted
-    slim = docs.select(F.col(id_col).cast("long").alias("id__"), F.col(text_col).cast("string").alias("text"))
-    return slim.join(small, slim["id__"].eqNullSafe(small["doc_id"])).select("row_id", "fp1", "fp2", "text")
+def _texts(docs: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
+    """(row_id, text) of the wanted (row_id, doc_id, h1, h2), each once. ``docs``
+    are hashed: a row meets the wanted one of its own id and text only. One
+    class has one wanted row, so none but repeated rows meet the same."""
+    small = wanted.select("row_id", F.col("doc_id").alias("id__"), "h1", "h2")
+    small = F.broadcast(small) if wanted.count() <= MAX_BROADCAST_IDS else small
+    same = (docs["h1"] == small["h1"]) & (docs["h2"] == small["h2"]) & docs["doc_id"].eqNullSafe(small["id__"])
+    found = docs.join(small, same).select("row_id", "text")
+    return found.dropDuplicates(["row_id"]) if repeated else found
 
 
 def _sets(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -141,30 +149,20 @@ def _sets(texts: pa.Array) -> Iterator[np.ndarray]:
             yield code[bounds[k] : bounds[k + 1]]
 
 
-def _fingerprint(code: np.ndarray) -> tuple[int, int]:
-    out = []
-    for salt in (np.uint64(0x51ED270B9F8A3C11), np.uint64(0x2545F4914F6CDD1D)):
-        total = np.array([mix(code ^ salt).sum(dtype=np.uint64) + np.uint64(len(code))], dtype=np.uint64)
-        out.append(int(mix(total).view(np.int64)[0]))
-    return out[0], out[1]
-
-
-def _frequency_index(docs: DataFrame, rest: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _frequency_index(docs: DataFrame, rest: DataFrame, repeated: bool) -> DataFrame:
     """(token, row_id, reach): prefixes under exact frequency among the given
     classes; reach counts the members that another of these classes has too."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, marks = batch.column(0).to_pylist(), list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()))
-            for k, code in enumerate(_sets(batch.column(3))):
-                if _fingerprint(code) == marks[k]:
-                    yield pa.record_batch(
-                        [pa.array(np.full(len(code), rows[k])), pa.array(code.view(np.int64)), pa.array(np.full(len(code), prefix_size(np.int64(len(code)))))],
-                        ["row_id", "token", "size"],
-                    )
-
-    tokens = _texts(docs, rest, id_col, text_col).mapInArrow(run, "row_id long, token long, size long")
-    tokens = tokens.repartition("token").dropDuplicates(["token", "row_id"])
+            rows = batch.column(0).to_pylist()
+            for k, code in enumerate(_sets(batch.column(1))):
+                yield pa.record_batch(
+                    [pa.array(np.full(len(code), rows[k])), pa.array(code.view(np.int64)), pa.array(np.full(len(code), prefix_size(np.int64(len(code)))))],
+                    ["row_id", "token", "size"],
+                )
+
+    tokens = _texts(docs, rest, repeated).mapInArrow(run, "row_id long, token long, size long").repartition("token")
     counted = tokens.withColumn("df", F.count("*").over(Window.partitionBy("token")))
     place = F.row_number().over(Window.partitionBy("row_id").orderBy("df", "token"))
     reach = F.count_if(F.col("df") > 1).over(Window.partitionBy("row_id"))
@@ -193,17 +191,15 @@ def _passes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _same_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Intersections of the full sets; rows whose text is another row's of that id go."""
+    """Intersections of the full sets."""
     for batch in batches:
-        cols = {c: batch.column(c).to_pylist() for c in ("a", "b", "fa1", "fa2", "fb1", "fb2")}
         left, right = _sets(batch.column("text_a")), _sets(batch.column("text_b"))
-        keep, common, linked = [], [], []
-        for k, (x, y) in enumerate(zip(left, right)):
+        common, linked = [], []
+        for x, y in zip(left, right):
             shared = len(np.intersect1d(x, y, assume_unique=True))
             common.append(shared)
             linked.append(100 * shared >= 80 * (len(x) + len(y) - shared))
-            keep.append(_fingerprint(x) == (cols["fa1"][k], cols["fa2"][k]) and _fingerprint(y) == (cols["fb1"][k], cols["fb2"][k]))
-        yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), pa.array(linked, pa.bool_())], ["a", "b", "shared", "linked"]).filter(pa.array(keep, pa.bool_()))
+        yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), pa.array(linked, pa.bool_())], ["a", "b", "shared", "linked"])
 
 
 def _within_bounds(counted: DataFrame, shape: DataFrame) -> DataFrame:
@@ -221,7 +217,7 @@ def _within_bounds(counted: DataFrame, shape: DataFrame) -> DataFrame:
     return counted.join(size("a"), "a").join(size("b"), "b").filter(first & second).select("a", "b")
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, repeated: bool) -> DataFrame:
     """(a, b, shared, linked) of the pairs that pass orders two and three."""
     info = classes.select("row_id", "n", "second", "third")
     side = lambda s: info.select(F.col("row_id").alias(s), F.col("n").alias("n" + s), F.col("second").alias("second_" + s), F.col("third").alias("third_" + s))
@@ -230,10 +226,10 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
     sized = side("b").join(F.broadcast(sized) if few else sized, "b")
     sized = sized.filter("100 * least(na, nb) >= 80 * greatest(na, nb)")
     near = materialize(sized.mapInArrow(_passes, "a long, b long"), "jaccard-near")
-    wanted = near.select(F.col("a").alias("row_id")).union(near.select("b")).distinct().join(classes.select("row_id", "doc_id", "fp1", "fp2"), "row_id")
-    texts = materialize(_texts(docs, materialize(wanted, "jaccard-wanted"), id_col, text_col), "jaccard-texts")
-    named = lambda s: texts.select(F.col("row_id").alias(s), F.col("fp1").alias(f"f{s}1"), F.col("fp2").alias(f"f{s}2"), F.col("text").alias("text_" + s))
-    return materialize(near.join(named("b"), "b").join(named("a"), "a").mapInArrow(_same_sets, "a long, b long, shared long, linked boolean").distinct(), "jaccard-compared")
+    wanted = near.select(F.col("a").alias("row_id")).union(near.select("b")).distinct().join(classes.select("row_id", "doc_id", "h1", "h2"), "row_id")
+    texts = materialize(_texts(docs, materialize(wanted, "jaccard-wanted"), repeated), "jaccard-texts")
+    named = lambda s: texts.select(F.col("row_id").alias(s), F.col("text").alias("text_" + s))
+    return materialize(near.join(named("b"), "b").join(named("a"), "a").mapInArrow(_same_sets, "a long, b long, shared long, linked boolean"), "jaccard-compared")
 
 
 def _centers(compared: DataFrame, allowed: DataFrame) -> DataFrame:
@@ -253,15 +249,15 @@ def _hopeful(lists: DataFrame) -> DataFrame:
     return lists.withColumn("least", least).filter("180 * reach >= 80 * (n + least)").drop("least")
 
 
-def link_classes(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, label) of the linked classes."""
+def link_classes(docs: DataFrame, classes: DataFrame, repeated: bool) -> DataFrame:
+    """(node, label) of the linked classes of hashed ``docs``."""
     listing = classes.select("row_id", F.explode("listed").alias("token")).withColumn("df", F.count("*").over(Window.partitionBy("token"))).filter("df > 1")
     listing = materialize(listing, "jaccard-listing")
     held = listing.groupBy("row_id").agg(F.count("*").alias("held"), F.count_if(F.col("df") > HOT).alias("hot"))
     # reach: the most that any other set can share; single shingles are shared with none
     shape = materialize(
         classes.filter("n > 0")
-        .select("row_id", "doc_id", "fp1", "fp2", "n", F.size("listed").alias("found"))
+        .select("row_id", "doc_id", "h1", "h2", "n", F.size("listed").alias("found"))
         .join(held, "row_id", "left")
         .withColumn("cold", F.col("found") - F.coalesce("hot", F.lit(0)))
         .withColumn("reach", F.col("n") - F.col("found") + F.coalesce("held", F.lit(0)))
@@ -269,9 +265,9 @@ def link_classes(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str
         "jaccard-shape",
     )
     unsafe = materialize(
-        shape.filter("cold < n - floor((80 * n + 99) / 100) + 1 and 100 * reach >= 80 * n").select("row_id", "doc_id", "fp1", "fp2"), "jaccard-unsafe"
+        shape.filter("cold < n - floor((80 * n + 99) / 100) + 1 and 100 * reach >= 80 * n").select("row_id", "doc_id", "h1", "h2"), "jaccard-unsafe"
     )
-    rest = _frequency_index(docs, unsafe, id_col, text_col)
+    rest = _frequency_index(docs, unsafe, repeated)
     key = lambda k: F.struct(F.lit(k).alias("index"), F.col("token").alias("token")).alias("list")
     lists = listing.filter(F.col("df") <= HOT).select(key(1), "row_id", F.lit(None).cast("long").alias("seen")).unionByName(rest.select(key(2), "row_id", F.col("reach").alias("seen")))
     # Members that share most with most others come first: an original before its copies.
@@ -293,7 +289,7 @@ def link_classes(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str
     may += " and (center is null or cx is null or center <> cx or 180 * (least(common, sx) + least(reach - common, rx - sx)) >= 80 * (n + nx))"
     links, meeting, met = None, 1, 1
     while True:
-        compared = _verify(materialize(pairs, "jaccard-pairs"), classes, docs, id_col, text_col)
+        compared = _verify(materialize(pairs, "jaccard-pairs"), classes, docs, repeated)
         found = compared.filter("linked").select("a", "b")
         if links is None:
             ranked = ranked.join(_centers(compared, unsafe), "row_id", "left")
@@ -315,7 +311,7 @@ def link_classes(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str
             counted = every.groupBy(*pair).agg(F.count_if(F.col("list.index") == 1).alias("shared1"), F.count_if(F.col("list.index") == 2).alias("shared2"))
             # A pair not yet compared meets in every list it shares, so its counts are full.
             pairs = materialize(_within_bounds(counted, shape), "jaccard-pairs")
-            compared = _verify(pairs, classes, docs, id_col, text_col)
+            compared = _verify(pairs, classes, docs, repeated)
             return components(links.unionByName(compared.filter("linked").select("a", "b")))
         meeting *= 2
         met = meeting
@@ -334,7 +330,9 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         "jaccard-members",
     )
     classes = _only(rows, members.filter("class <> row_id").select("row_id"), "row_id", "left_anti")
-    labels = link_classes(docs, classes, id_col, text_col)
+    # Rows of one id and text: their text is fetched once.
+    repeated = rows.filter("n > 0").groupBy("doc_id", "h1", "h2").count().filter("count > 1").limit(1).count() > 0
+    labels = link_classes(_hashed(docs, id_col, text_col), classes, repeated)
     placed = members.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     smallest = placed.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return placed.join(smallest, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
