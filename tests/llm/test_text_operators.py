@@ -1,5 +1,6 @@
 """Counts, ids, quality and language against plain Python and the libraries."""
 
+import random
 import zlib
 
 import numpy as np
@@ -165,6 +166,41 @@ def test_language_parse_counts_phrases():
     assert count[0, 0] == 1 and count[1, 1] == 1 and count[1, 0] > 1
 
 
+def _plain_phrases(sample, text):
+    count, at = 1, ""
+    for c in text:
+        if at + c in sample:
+            at += c
+        else:
+            count, at = count + 1, c if c in sample else ""
+    return count
+
+
+@pytest.mark.parametrize("dense_bytes", [1 << 27, 0])
+def test_language_keeps_every_letter(monkeypatch, dense_bytes):
+    """Scripts of many letters share no table: each is told by its own letters."""
+    monkeypatch.setattr(language, "DENSE_BYTES", dense_bytes, raising=False)
+    rng = random.Random(4)
+    alphabets = {"aa": range(0x61, 0x7B), "cjk": range(0x4E00, 0x4E00 + 900), "kor": range(0xAC00, 0xAC00 + 600)}
+    known = {name: ["".join(chr(rng.choice(letters)) for _ in range(rng.randint(2, 6))) for _ in range(150)] for name, letters in alphabets.items()}
+    draw = lambda name, n: " ".join(rng.choice(known[name]) for _ in range(n))
+    samples = tuple((name, draw(name, 1000)[:3000]) for name in alphabets)
+    parser = language.CrossParser(samples)
+    texts = [draw(name, 30)[:200] for name in alphabets] + [f"{draw('aa', 5)} {draw('cjk', 5)} {draw('kor', 5)}"]
+    count, _ = parser.phrases(texts)
+    assert count.tolist() == [[_plain_phrases(sample, t) for t in texts] for _, sample in samples]
+    assert count.argmin(axis=0)[:3].tolist() == [0, 1, 2]
+
+
+def test_language_many_labels(spark, monkeypatch):
+    """More labels than 500 are told apart as fewer are."""
+    monkeypatch.setattr(language, "SAMPLE_DOCS", 1)
+    rows = [(k * 10 + j, chr(0x4E00 + k) * 12, f"l{k:03}") for k in range(540) for j in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sampled = language.training_sample(docs)
+    assert len(sampled) > 500
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language.identify(docs).filter("held_out").join(docs.select("doc_id", "lang"), "doc_id").collect()

@@ -12,7 +12,9 @@ language the same one phrase per stretch; all stretches of a text count.
 
 The sample per language (``SAMPLE_DOCS`` documents of smallest id hash,
 ``SAMPLE_LETTERS`` letters) is the only thing that is bounded. It is found over
-ids and labels alone, each task passing on its few smallest.
+ids and labels alone, each task passing on its few smallest. Every letter of a
+sample is a symbol of its language: the most frequent in a dense table, the rest
+in a sorted list of transitions. How many are dense is a matter of speed only.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0; a null
 label teaches nothing; a null id hashes as the empty string; equal counts go to
@@ -35,8 +37,8 @@ from threadlake.session import bound_batches
 
 SAMPLE_DOCS = 64
 SAMPLE_LETTERS = 24_000
-MAX_LANGUAGES = 500
-MAX_ALPHABET = 62
+DENSE_LETTERS = 62
+DENSE_BYTES = 1 << 27
 STRETCH = 256
 SLICE_CHARS = 1 << 19
 FOLDS = 5
@@ -66,9 +68,7 @@ def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
     chosen = keyed.mapInArrow(smallest, "lang string, id string, h long").withColumn("place", place).filter(F.col("place") <= SAMPLE_DOCS)
-    ids = chosen.select("lang", "id").limit(MAX_LANGUAGES * SAMPLE_DOCS + 1).collect()
-    if len(ids) > MAX_LANGUAGES * SAMPLE_DOCS:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    ids = chosen.select("lang", "id").collect()
     wanted = docs.sparkSession.createDataFrame([(r.lang, r.id) for r in ids], "lang__ string, id__ string").distinct()
     found = (
         eligible.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).cast("string").alias("id"), F.substring(text_col, 1, SAMPLE_LETTERS).alias("text"))
@@ -85,17 +85,17 @@ def _letters(text: str) -> str:
     return " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
 
 
-def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
-    """next[state, symbol] of the smallest automaton of all substrings; -1: none."""
-    step: list[list[int]] = [[-1] * width]
+def transitions(symbols: list[int]) -> list[dict[int, int]]:
+    """{symbol: next} of each state of the smallest automaton of all substrings."""
+    step: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in symbols:
         now = len(step)
-        step.append([-1] * width)
+        step.append({})
         length.append(length[last] + 1)
         link.append(0)
         at = last
-        while at >= 0 and step[at][c] < 0:
+        while at >= 0 and c not in step[at]:
             step[at][c] = now
             at = link[at]
         if at >= 0:
@@ -104,48 +104,103 @@ def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
                 link[now] = to
             else:
                 copy = len(step)
-                step.append(step[to][:])
+                step.append(dict(step[to]))
                 length.append(length[at] + 1)
                 link.append(link[to])
-                while at >= 0 and step[at][c] == to:
+                while at >= 0 and step[at].get(c) == to:
                     step[at][c] = copy
                     at = link[at]
                 link[to] = link[now] = copy
         last = now
-    return np.array(step, dtype=np.int32)
+    return step
+
+
+def _triples(step: list[dict[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(state, symbol, next) of all transitions."""
+    state = np.repeat(np.arange(len(step)), [len(d) for d in step])
+    return state, np.array([c for d in step for c in d], dtype=np.int64), np.array([to for d in step for to in d.values()], dtype=np.int64)
+
+
+def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
+    """next[state, symbol] of the smallest automaton of all substrings; -1: none."""
+    step = transitions(symbols)
+    state, symbol, to = _triples(step)
+    table = np.full((len(step), width), -1, dtype=np.int32)
+    table[state, symbol] = to
+    return table
+
+
+class Automaton:
+    """One language. Symbols: 0 is the space, then the dense letters, then a
+    letter it has not, then padding, then its rarer letters."""
+
+    def __init__(self, coded: np.ndarray, n_letters: int, dense: int):
+        counts = np.bincount(coded, minlength=n_letters + 3)
+        counts[0] = 0
+        order = np.argsort(-counts, kind="stable")[: int((counts > 0).sum())]
+        dense = min(dense, len(order))
+        self.other, self.pad, self.width = dense + 1, dense + 2, dense + 3
+        self.symbol = np.full(n_letters + 3, self.other, dtype=np.int32)
+        self.symbol[0], self.symbol[n_letters + 2] = 0, self.pad
+        self.symbol[order[:dense]] = np.arange(dense) + 1
+        self.symbol[order[dense:]] = np.arange(len(order) - dense) + self.width
+        step = transitions(self.symbol[coded].tolist())
+        state, symbol, to = _triples(step)
+        common = symbol < self.width
+        # next state and, in the lowest bit, whether a phrase ends
+        root = np.zeros(self.width + len(order) - dense, dtype=np.int32)
+        for c, at in step[0].items():
+            root[c] = at
+        table = np.repeat((root[None, : self.width] * 2 + 1).astype(np.int32), len(step), axis=0)
+        table[state[common], symbol[common]] = to[common] * 2
+        table[:, self.pad] = 0
+        self.table = table.reshape(-1)
+        self.rare = max(1, len(order) - dense)
+        self.root = root[self.width :] * 2 + 1
+        key = state[~common] * self.rare + symbol[~common] - self.width
+        by = np.argsort(key)
+        self.keys, self.to = key[by], (to[~common][by] * 2).astype(np.int32)
+
+    def misses(self, grid: np.ndarray) -> np.ndarray:
+        """Phrases ended in each column."""
+        grid = self.symbol[grid]
+        rarer = (grid >= self.width).any(axis=1)
+        state = np.zeros(grid.shape[1], dtype=np.int32)
+        total = np.zeros(grid.shape[1], dtype=np.int32)
+        for row, some in zip(grid, rarer):
+            if some:
+                at = np.flatnonzero(row >= self.width)
+                letter = row[at].astype(np.int64) - self.width
+                key = state[at].astype(np.int64) * self.rare + letter
+                place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                packed = self.table.take(state * self.width + np.minimum(row, self.other))
+                packed[at] = np.where(self.keys[place] == key, self.to[place], self.root[letter])
+                # padding lies above `other`
+                packed[row == self.pad] = 0
+            else:
+                state *= self.width
+                state += row
+                packed = self.table.take(state)
+            total += packed & 1
+            state = packed >> 1
+        return total
 
 
 class CrossParser:
-    """Symbols: 0 is the space, then the alphabet, then any other letter, then padding."""
+    """Letters are numbered over all samples; then any other letter, then padding."""
 
     def __init__(self, samples: tuple[tuple[str, str], ...]):
         self.languages = [lang for lang, _ in samples]
-        counts: dict[str, int] = {}
-        for _, text in samples:
-            for c in text:
-                counts[c] = counts.get(c, 0) + 1
-        counts.pop(" ", None)
-        alphabet = sorted(sorted(counts), key=lambda c: -counts[c])[:MAX_ALPHABET]
+        alphabet = sorted({c for _, text in samples for c in text} - {" "})
         self.other, self.pad = len(alphabet) + 1, len(alphabet) + 2
-        self.width = len(alphabet) + 3
         letters = np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
-        self.symbol = np.where(letters, self.other, 0).astype(np.uint8)
+        self.symbol = np.where(letters, self.other, 0).astype(np.int32)
         for k, c in enumerate(alphabet):
             self.symbol[ord(c)] = k + 1
-        tables, self.roots, base = [], [], 0
-        for _, text in samples:
-            coded = self.symbol[np.frombuffer(text.encode("utf-32-le"), dtype="<u4")]
-            step = suffix_automaton(coded.tolist(), self.width)
-            step[:, self.other] = -1
-            miss = step < 0
-            restart = np.where(step[0] < 0, 0, step[0])
-            step = np.where(miss, restart[None, :], step)
-            packed = (step + base) * 2 + miss
-            packed[:, self.pad] = base * 2
-            tables.append(packed.astype(np.int32))
-            self.roots.append(base)
-            base += len(step)
-        self.table = np.concatenate(tables).reshape(-1)
+        # an automaton has at most two states a letter
+        room = DENSE_BYTES // (8 * sum(len(text) for _, text in samples)) - 3
+        dense = max(0, min(DENSE_LETTERS, room))
+        self.automata = [Automaton(self.symbol[np.frombuffer(text.encode("utf-32-le"), dtype="<u4")], len(alphabet), dense) for _, text in samples]
         self.weight = np.array([np.log2(max(2, len(text))) for _, text in samples])
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -164,16 +219,8 @@ class CrossParser:
         first = np.cumsum(stretches) - stretches
         grid = np.full((min(STRETCH, int(sizes.max(initial=0))), int(stretches.sum())), self.pad, dtype=np.int32)
         grid[offset % STRETCH, first[doc] + offset // STRETCH] = coded
-        state = np.repeat(np.array(self.roots, dtype=np.int32)[:, None], grid.shape[1], axis=1)
-        total = np.zeros(state.shape, dtype=np.int32)
-        for row in grid:
-            state *= self.width
-            state += row
-            packed = self.table.take(state)
-            total += packed & 1
-            state = packed >> 1
         owner = np.repeat(np.arange(len(texts)), stretches)
-        per_text = np.stack([np.bincount(owner, weights=t, minlength=len(texts)) for t in total]) + stretches
+        per_text = np.stack([np.bincount(owner, weights=t, minlength=len(texts)) for t in (a.misses(grid) for a in self.automata)]) + stretches
         return per_text, letters
 
 
