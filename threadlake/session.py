@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,6 +44,11 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/threadlake/{label}-{uuid.uuid4().hex}"
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def bound_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Send texts to Python in batches of at most so many rows: a batch is held
     by the task and by its Python worker, and texts are long. Only ever lowers
@@ -51,11 +58,34 @@ def bound_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(name, str(rows))
 
 
+#: Tables written since the innermost concluded() began, None outside of one.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
 def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write to the shared folder and read again: later stages start from the
     table, so a lost executor costs no more than the stage at hand."""
     spark = df.sparkSession
     path = shared_path(spark, label)
+    if (written := _written.get()) is not None:
+        written.append(path)
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+
+
+def concluded(spark: SparkSession, label: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """Materialize what ``build`` returns and delete the tables that it wrote on
+    the way (also when it fails); the result reads none of them."""
+    outer, inner = _written.get(), []
+    token = _written.set(inner)
+    try:
+        result = materialize(build(), label)
+        last = inner.pop()
+        if outer is not None:
+            outer.append(last)
+        return result
+    finally:
+        _written.reset(token)
+        for path in inner:
+            _delete(spark, path)
