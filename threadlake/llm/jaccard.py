@@ -50,13 +50,12 @@ from pyspark.sql import functions as F
 from threadlake.llm import worker
 from threadlake.llm.components import components
 from threadlake.llm.textgrid import grids, mix
-from threadlake.session import bound_batches, materialize
+from threadlake.session import bound_batches, concluded, materialize
 
 THETA = np.uint64((1 << 64) // 100 * 26)
 HOT = 64
-ROOM = 256
+ROOM = 32
 MAX_BROADCAST_IDS = 1_000_000
-MAX_BROADCAST_PAIRS = 100_000
 _SECOND_ORDER = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -125,20 +124,19 @@ def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return slim.withColumn("h1", F.xxhash64("text")).withColumn("h2", F.xxhash64(F.lit("second"), "text"))
 
 
-def _only(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
-    """Semi or anti join on an id, broadcast if the counted ids are few enough."""
-    return rows.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids, key, how)
+def _few(ids: DataFrame) -> DataFrame:
+    """A table of a few longs a row, broadcast if its counted rows are few enough."""
+    return F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
 
 
-def _texts(docs: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(row_id, text) of the wanted (row_id, doc_id, h1, h2), each once. ``docs``
     are hashed: a row meets the wanted one of its own id and text only. One
-    class has one wanted row, so none but repeated rows meet the same."""
-    small = wanted.select("row_id", F.col("doc_id").alias("id__"), "h1", "h2")
-    small = F.broadcast(small) if wanted.count() <= MAX_BROADCAST_IDS else small
-    same = (docs["h1"] == small["h1"]) & (docs["h2"] == small["h2"]) & docs["doc_id"].eqNullSafe(small["id__"])
-    found = docs.join(small, same).select("row_id", "text")
-    return found.dropDuplicates(["row_id"]) if repeated else found
+    class has one wanted row, so none but repeated rows meet the same; they are
+    told apart by id and hashes before any text moves."""
+    small = _few(wanted.select("row_id", F.col("doc_id").alias("id__"), F.col("h1").alias("g1"), F.col("h2").alias("g2")))
+    same = (docs["h1"] == small["g1"]) & (docs["h2"] == small["g2"]) & docs["doc_id"].eqNullSafe(small["id__"])
+    return docs.join(small, same).select("row_id", "text").dropDuplicates(["row_id"])
 
 
 def _sets(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -149,24 +147,23 @@ def _sets(texts: pa.Array) -> Iterator[np.ndarray]:
             yield code[bounds[k] : bounds[k + 1]]
 
 
-def _frequency_index(docs: DataFrame, rest: DataFrame, repeated: bool) -> DataFrame:
-    """(token, row_id, reach): prefixes under exact frequency among the given
-    classes; reach counts the members that another of these classes has too."""
+def _frequency_index(docs: DataFrame, rest: DataFrame) -> DataFrame:
+    """(token, row_id, df, reach): prefixes under exact frequency among the given
+    classes; reach counts the members that another of these classes has too.
+    Members of a single class come first in the order and are no candidates."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.column(0).to_pylist()
             for k, code in enumerate(_sets(batch.column(1))):
-                yield pa.record_batch(
-                    [pa.array(np.full(len(code), rows[k])), pa.array(code.view(np.int64)), pa.array(np.full(len(code), prefix_size(np.int64(len(code)))))],
-                    ["row_id", "token", "size"],
-                )
+                yield pa.record_batch([pa.array(np.full(len(code), rows[k])), pa.array(code.view(np.int64)), pa.array(np.full(len(code), len(code)))], ["row_id", "token", "n"])
 
-    tokens = _texts(docs, rest, repeated).mapInArrow(run, "row_id long, token long, size long").repartition("token")
-    counted = tokens.withColumn("df", F.count("*").over(Window.partitionBy("token")))
-    place = F.row_number().over(Window.partitionBy("row_id").orderBy("df", "token"))
-    reach = F.count_if(F.col("df") > 1).over(Window.partitionBy("row_id"))
-    return counted.withColumn("place", place).withColumn("reach", reach).filter("place <= size and df > 1").select("token", "row_id", "reach")
+    tokens = materialize(_texts(docs, rest).mapInArrow(run, "row_id long, token long, n long"), "jaccard-tokens")
+    shared = materialize(tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "jaccard-shared")
+    own = Window.partitionBy("row_id")
+    place = F.row_number().over(own.orderBy("df", "token"))
+    held = tokens.join(shared, "token").withColumn("place", place).withColumn("reach", F.count("*").over(own))
+    return held.filter("place + n - reach <= n - floor((80 * n + 99) / 100) + 1").select("token", "row_id", "df", "reach")
 
 
 def _passes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,17 +214,18 @@ def _within_bounds(counted: DataFrame, shape: DataFrame) -> DataFrame:
     return counted.join(size("a"), "a").join(size("b"), "b").filter(first & second).select("a", "b")
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, repeated: bool) -> DataFrame:
-    """(a, b, shared, linked) of the pairs that pass orders two and three."""
-    info = classes.select("row_id", "n", "second", "third")
+def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b, shared, linked) of the pairs that pass orders two and three. The
+    prefixes of the classes that are in a pair are cut out first."""
+    ids = pairs.select(F.col("a").alias("row_id")).union(pairs.select("b")).distinct()
+    info = classes.select("row_id", "n", "second", "third").join(_few(materialize(ids, "jaccard-ids")), "row_id", "left_semi")
+    info = materialize(info, "jaccard-prefixes")
     side = lambda s: info.select(F.col("row_id").alias(s), F.col("n").alias("n" + s), F.col("second").alias("second_" + s), F.col("third").alias("third_" + s))
-    few = pairs.count() <= MAX_BROADCAST_PAIRS
-    sized = side("a").join(F.broadcast(pairs) if few else pairs, "a")
-    sized = side("b").join(F.broadcast(sized) if few else sized, "b")
-    sized = sized.filter("100 * least(na, nb) >= 80 * greatest(na, nb)")
+    sized = pairs.join(side("a"), "a").join(side("b"), "b").filter("100 * least(na, nb) >= 80 * greatest(na, nb)")
     near = materialize(sized.mapInArrow(_passes, "a long, b long"), "jaccard-near")
-    wanted = near.select(F.col("a").alias("row_id")).union(near.select("b")).distinct().join(classes.select("row_id", "doc_id", "h1", "h2"), "row_id")
-    texts = materialize(_texts(docs, materialize(wanted, "jaccard-wanted"), repeated), "jaccard-texts")
+    wanted = near.select(F.col("a").alias("row_id")).union(near.select("b")).distinct()
+    wanted = classes.select("row_id", "doc_id", "h1", "h2").join(_few(materialize(wanted, "jaccard-ids")), "row_id", "left_semi")
+    texts = materialize(_texts(docs, materialize(wanted, "jaccard-wanted")), "jaccard-texts")
     named = lambda s: texts.select(F.col("row_id").alias(s), F.col("text").alias("text_" + s))
     return materialize(near.join(named("b"), "b").join(named("a"), "a").mapInArrow(_same_sets, "a long, b long, shared long, linked boolean"), "jaccard-compared")
 
@@ -242,111 +240,155 @@ def _centers(compared: DataFrame, allowed: DataFrame) -> DataFrame:
     return best.select("row_id", "best.center", "best.common")
 
 
+def _first_index(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((token, row_id, df) of the cold listed shingles that several classes have,
+    (row_id, hot) of the classes with hot ones).
+
+    No task sees more than HOT + 1 rows of a shingle per task that sends it.
+    """
+    listed = classes.select("row_id", F.explode("listed").alias("token"))
+    place = F.row_number().over(Window.partitionBy("token").orderBy("row_id"))
+    seen = listed.withColumn("place", place).filter(F.col("place") <= HOT + 1).withColumn("df", F.count("*").over(Window.partitionBy("token")))
+    seen = materialize(seen.filter("df > 1").drop("place"), "jaccard-listing")
+    hot = materialize(seen.filter(F.col("df") > HOT).select("token").distinct(), "jaccard-hot")
+    return seen.filter(F.col("df") <= HOT), listed.join(_few(hot), "token").groupBy("row_id").agg(F.count("*").alias("hot"))
+
+
 def _hopeful(lists: DataFrame) -> DataFrame:
-    """Drop members that no member of their list can link to, by size and reach."""
-    smallest = F.min("n").over(Window.partitionBy("list"))
-    least = F.greatest(F.floor((80 * F.col("n") + 99) / 100), smallest)
-    return lists.withColumn("least", least).filter("180 * reach >= 80 * (n + least)").drop("least")
+    """Drop members that no set of a size near theirs can link to, by their reach."""
+    return lists.filter("180 * reach >= 80 * (n + floor((80 * n + 99) / 100))")
 
 
-def link_classes(docs: DataFrame, classes: DataFrame, repeated: bool) -> DataFrame:
+def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, label) of the linked classes of hashed ``docs``."""
-    listing = classes.select("row_id", F.explode("listed").alias("token")).withColumn("df", F.count("*").over(Window.partitionBy("token"))).filter("df > 1")
-    listing = materialize(listing, "jaccard-listing")
-    held = listing.groupBy("row_id").agg(F.count("*").alias("held"), F.count_if(F.col("df") > HOT).alias("hot"))
+    cold, hot = _first_index(classes)
     # reach: the most that any other set can share; single shingles are shared with none
-    shape = materialize(
+    shape = (
         classes.filter("n > 0")
         .select("row_id", "doc_id", "h1", "h2", "n", F.size("listed").alias("found"))
-        .join(held, "row_id", "left")
-        .withColumn("cold", F.col("found") - F.coalesce("hot", F.lit(0)))
-        .withColumn("reach", F.col("n") - F.col("found") + F.coalesce("held", F.lit(0)))
-        .drop("found", "hot", "held"),
-        "jaccard-shape",
+        .join(cold.groupBy("row_id").agg(F.count("*").alias("held")), "row_id", "left")
+        .join(hot, "row_id", "left")
+        .na.fill(0, ["held", "hot"])
+        .withColumn("cold", F.col("found") - F.col("hot"))
+        .withColumn("reach", F.col("n") - F.col("found") + F.col("held") + F.col("hot"))
+        .drop("found", "hot", "held")
     )
+    shape = materialize(shape, "jaccard-shape")
     unsafe = materialize(
         shape.filter("cold < n - floor((80 * n + 99) / 100) + 1 and 100 * reach >= 80 * n").select("row_id", "doc_id", "h1", "h2"), "jaccard-unsafe"
     )
-    rest = _frequency_index(docs, unsafe, repeated)
+    rest = _frequency_index(docs, unsafe)
     key = lambda k: F.struct(F.lit(k).alias("index"), F.col("token").alias("token")).alias("list")
-    lists = listing.filter(F.col("df") <= HOT).select(key(1), "row_id", F.lit(None).cast("long").alias("seen")).unionByName(rest.select(key(2), "row_id", F.col("reach").alias("seen")))
-    # Members that share most with most others come first: an original before its copies.
+    lists = cold.select(key(1), "row_id", "df", F.lit(None).cast("long").alias("seen")).unionByName(rest.select(key(2), "row_id", "df", F.col("reach").alias("seen")))
     lists = lists.join(shape.select("row_id", "n", "reach"), "row_id").withColumn("reach", F.least("reach", "seen")).drop("seen")
-    lists = materialize(_hopeful(lists).withColumn("size", F.count("*").over(Window.partitionBy("list"))), "jaccard-lists")
-    score = lists.groupBy("row_id").agg(F.sum("size").alias("score"))
-    lists = materialize(lists.drop("size").join(score, "row_id"), "jaccard-lists")
+    lists = materialize(_hopeful(lists), "jaccard-lists")
+    # Members that share most with most others come first: an original before its copies.
+    score = materialize(lists.groupBy("row_id").agg(F.sum("df").alias("score")), "jaccard-score")
+    lists = materialize(lists.drop("df").join(score, "row_id"), "jaccard-lists")
 
-    place = F.row_number().over(Window.partitionBy("list").orderBy(F.desc("score"), "row_id"))
-    other = [F.col("row_id").alias("x"), F.col("n").alias("nx"), F.col("reach").alias("rx")]
-    may = "100 * least(n, nx) >= 80 * greatest(n, nx) and 180 * least(reach, rx) >= 80 * (n + nx)"
+    size = lambda of: [F.col(of).alias("x"), F.col("n").alias("nx"), F.col("reach").alias("rx")]
+    may = "row_id <> x and 100 * least(n, nx) >= 80 * greatest(n, nx) and 180 * least(reach, rx) >= 80 * (n + nx)"
     pair = [F.least("x", "row_id").alias("a"), F.greatest("x", "row_id").alias("b")]
-    ranked = lists.withColumn("place", place)
-    firsts = ranked.filter("place = 1").select("list", *other)
-    pairs = ranked.filter("place > 1").join(firsts, "list").filter(may).select(*pair).distinct()
+    best = F.max(F.struct("score", "row_id", "n", "reach")).alias("best")
+    firsts = materialize(lists.groupBy("list").agg(best, F.count("*").alias("m")).filter("m > 1").select("list", "best.*"), "jaccard-firsts")
+    pairs = lists.join(firsts.select("list", *size("row_id")), "list").filter(may).select(*pair).distinct()
+    compared = _verify(materialize(pairs, "jaccard-pairs"), classes, docs)
+    links = compared.filter("linked").select("a", "b")
+    lists = lists.join(_centers(compared, unsafe), "row_id", "left")
     # With a center c, x and y share min(|x & c|, |y & c|) inside it at most, and
     # outside it no more than either reaches there.
-    other += [F.col("center").alias("cx"), F.col("common").alias("sx")]
     may += " and (center is null or cx is null or center <> cx or 180 * (least(common, sx) + least(reach - common, rx - sx)) >= 80 * (n + nx))"
-    links, meeting, met = None, 1, 1
+    other = [*size("row_id"), F.col("center").alias("cx"), F.col("common").alias("sx")]
+    met, meeting = firsts.select("list", "row_id"), 1
     while True:
-        compared = _verify(materialize(pairs, "jaccard-pairs"), classes, docs, repeated)
-        found = compared.filter("linked").select("a", "b")
-        if links is None:
-            ranked = ranked.join(_centers(compared, unsafe), "row_id", "left")
-        links = found if links is None else links.unionByName(found)
         labels = components(links)
         # Those that met everyone leave; lists within one component are done. In
         # the others all members but those of the largest component are minor.
-        later = _hopeful(ranked.filter(F.col("place") > met).select("list", "row_id", "n", "reach", "score", "center", "common"))
+        later = lists.join(met, ["list", "row_id"], "left_anti")
         labelled = later.join(labels.withColumnRenamed("node", "row_id"), "row_id", "left").withColumn("label", F.coalesce("label", "row_id"))
+        labelled = materialize(labelled, "jaccard-labelled")
         share = labelled.groupBy("list", "label").agg(F.count("*").alias("k"))
-        whole = share.groupBy("list").agg(F.max_by("label", F.struct("k", "label")).alias("major"), F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("squares")).filter("m * m > squares")
-        lists = materialize(labelled.join(whole, "list"), "jaccard-lists")
-        rows, apart = lists.agg(F.count("*"), F.coalesce(F.sum(F.expr("(double(m) * m - squares) / (2 * m)")), F.lit(0.0))).first()
+        whole = share.groupBy("list").agg(F.max_by("label", F.struct("k", "label")).alias("major"), F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("squares"))
+        whole = materialize(whole.filter("m * m > squares"), "jaccard-whole")
+        rows, apart = whole.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum(F.expr("(double(m) * m - squares) / 2")), F.lit(0.0))).first()
         if not rows:
             return labels
+        lists = materialize(labelled.join(whole.select("list", "major"), "list"), "jaccard-lists")
+        minor = lists.filter("label <> major").select("list", *other, F.col("label").alias("label_x"))
         if apart <= ROOM * rows + 100_000:
-            minor = lists.filter("label <> major").select("list", *other, F.col("label").alias("label_x"))
             every = minor.join(lists, "list").filter(f"label <> label_x and (label = major or x < row_id) and {may}")
             counted = every.groupBy(*pair).agg(F.count_if(F.col("list.index") == 1).alias("shared1"), F.count_if(F.col("list.index") == 2).alias("shared2"))
             # A pair not yet compared meets in every list it shares, so its counts are full.
             pairs = materialize(_within_bounds(counted, shape), "jaccard-pairs")
-            compared = _verify(pairs, classes, docs, repeated)
+            compared = _verify(pairs, classes, docs)
             return components(links.unionByName(compared.filter("linked").select("a", "b")))
         meeting *= 2
-        met = meeting
-        ranked = lists.withColumn("place", place)
-        firsts = ranked.filter(F.col("place") <= meeting).select("list", *other, F.col("label").alias("label_x"), F.col("place").alias("first"))
-        pairs = ranked.join(firsts, "list").filter(f"place > first and label <> label_x and {may}").select(*pair).distinct()
+        top = F.row_number().over(Window.partitionBy("list").orderBy(F.desc("score"), F.desc("row_id")))
+        firsts = materialize(lists.withColumn("place", top).filter(F.col("place") <= meeting).drop("place"), "jaccard-firsts")
+        pairs = lists.join(firsts.select("list", *other, F.col("label").alias("label_x")), "list").filter(f"label <> label_x and {may}").select(*pair).distinct()
+        compared = _verify(materialize(pairs, "jaccard-pairs"), classes, docs)
+        links = links.unionByName(compared.filter("linked").select("a", "b"))
+        lists, met = lists.drop("label", "major"), firsts.select("list", "row_id")
+
+
+def _placed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(signatures with row_id, (class, component, component_id) of every class).
+
+    Ids and components are settled over classes, by sums made before the
+    shuffle; rows meet them by plain joins, which adaptive execution splits.
+    """
+    rows = materialize(signatures(docs, id_col, text_col).withColumn("row_id", F.monotonically_increasing_id()), "jaccard-signatures")
+    slim = rows.filter("n > 0").select("row_id", "doc_id", "fp1", "fp2")
+    first = materialize(slim.groupBy("fp1", "fp2").agg(F.min("row_id").alias("class"), F.min("doc_id").alias("least_id"), F.count("*").alias("k")), "jaccard-classes")
+    same = materialize(slim.join(first.filter("k > 1"), ["fp1", "fp2"]).filter("row_id <> class").select("row_id", "class"), "jaccard-same")
+    classes = rows.join(_few(same.select("row_id")), "row_id", "left_anti")
+    labels = link_classes(_hashed(docs, id_col, text_col), classes)
+    linked = materialize(first.select("class", "least_id").join(labels.withColumnRenamed("node", "class"), "class"), "jaccard-linked")
+    least = materialize(linked.groupBy("label").agg(F.min("least_id").alias("component_id")), "jaccard-least")
+    component = linked.join(least, "label").select("class", F.col("label").alias("component"), "component_id")
+    alone = first.join(labels.select(F.col("node").alias("class")), "class", "left_anti").select("class", F.col("class").alias("component"), F.col("least_id").alias("component_id"))
+    component = materialize(component.unionByName(alone), "jaccard-component")
+    member = rows.select("row_id", "doc_id", "n", "h1", "h2").join(same, "row_id", "left").withColumn("class", F.when(F.col("n") > 0, F.coalesce("class", "row_id")))
+    return member, component
 
 
 def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    rows = materialize(signatures(docs, id_col, text_col).withColumn("row_id", F.monotonically_increasing_id()), "jaccard-signatures")
-    slim = rows.select("row_id", "doc_id", "n", "fp1", "fp2")
-    first = slim.filter("n > 0").groupBy("fp1", "fp2").agg(F.min("row_id").alias("class"))
-    members = materialize(
-        slim.join(first, ["fp1", "fp2"], "left").select("row_id", "doc_id", "n", F.when(F.col("n") > 0, F.col("class")).otherwise(F.col("row_id")).alias("class")),
-        "jaccard-members",
-    )
-    classes = _only(rows, members.filter("class <> row_id").select("row_id"), "row_id", "left_anti")
-    # Rows of one id and text: their text is fetched once.
-    repeated = rows.filter("n > 0").groupBy("doc_id", "h1", "h2").count().filter("count > 1").limit(1).count() > 0
-    labels = link_classes(_hashed(docs, id_col, text_col), classes, repeated)
-    placed = members.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-    smallest = placed.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(smallest, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+    def build() -> DataFrame:
+        member, component = _placed(docs, id_col, text_col)
+        found = member.join(component, "class", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+        return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+    return concluded(docs.sparkSession, "jaccard-groups", build)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row of smallest id of each component, all columns kept; ids are the
-    key, and of rows equal in id and text one stays."""
-    found = group(docs, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = found.groupBy("doc_id").agg(F.count("*").alias("times"), F.max("n_shingles").alias("n"))
-    keep = materialize(keep, "jaccard-kept")
-    repeated = keep.filter("times > 1 and n > 0").limit(1).count() > 0
-    kept = docs.alias("d").join(keep.select(F.col("doc_id").alias("kept_id__")), docs[id_col].eqNullSafe(F.col("kept_id__")), "left_semi")
-    return kept.dropDuplicates([id_col, text_col]) if repeated else kept
+    """One row of each component, all columns kept: that of smallest id (null
+    last), the first in reading order among equal ids. Rows without words stay.
+
+    Texts meet the chosen (id, hashes of the text) in one shuffle at every size.
+    Of rows equal in id and text that are chosen, one stays.
+    """
+
+    def build() -> DataFrame:
+        member, component = _placed(docs, id_col, text_col)
+        worded = member.filter("n > 0").join(component.select("class", "component"), "class")
+        order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row_id", "h1", "h2")
+        chosen = worded.groupBy("component").agg(F.min(order).alias("one")).select("one.doc_id", "one.h1", "one.h2")
+        times = worded.groupBy("doc_id", "h1", "h2").agg(F.count("*").alias("times")).filter("times > 1").withColumnsRenamed({"doc_id": "i", "h1": "g1", "h2": "g2"})
+        same = F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))
+        chosen = chosen.join(times, same, "left").select("doc_id", "h1", "h2", F.col("times").isNotNull().alias("repeated"))
+        empty = member.filter("n = 0").select("doc_id", "h1", "h2", F.lit(False).alias("repeated")).distinct()
+        return chosen.unionByName(empty)
+
+    keep = concluded(docs.sparkSession, "jaccard-kept", build).withColumnsRenamed({"doc_id": "i", "h1": "g1", "h2": "g2"})
+    text = docs[text_col].cast("string")
+    same = docs[id_col].cast("long").eqNullSafe(keep["i"]) & (F.xxhash64(text) == keep["g1"]) & (F.xxhash64(F.lit("second"), text) == keep["g2"])
+    once = docs.join(keep.filter("not repeated").hint("merge"), same, "left_semi")
+    if keep.filter("repeated").isEmpty():
+        return once
+    return once.unionByName(docs.join(keep.filter("repeated"), same, "left_semi").dropDuplicates([id_col, text_col]))
 
 
 def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:
