@@ -6,6 +6,8 @@ has one slot per block to be taken. Slot ``j`` owns the golden-ratio point
 ``frac(j * phi)``, which is mapped through the cumulative slot weights of the
 sources; the slots of a source are ranked, and its ``k``-th slot takes its block
 ``k mod n_blocks``. A stream is thus read around as often as its target asks.
+Blocks and slots are joined: what a document contributes, and where in the mix
+it comes first, is read off the slots that take its blocks.
 
 Scale: the only per-source windows run over a row per source or over
 pre-aggregated (source, bucket) rows; documents and slots are ranked inside
@@ -13,9 +15,11 @@ hash buckets whose number follows the row count, so a source that holds a third
 of all rows is spread over as many tasks as its share needs.
 
 Edge cases: a null text or one without words has size 0 and is never taken; a
-null source is a source of its own and sorts last; a null id hashes like any
-other value; repeated rows are separate documents of the stream; an empty
-table gives an empty result; extra columns are ignored here.
+null source is a source of its own and sorts last; the place of a row follows
+from the hash of its id and text, so null and repeated ids are spread like any
+other; repeated rows are separate documents of the stream; an empty table gives
+an empty result; extra columns are ignored by ``mix`` and kept, whatever their
+names, by ``mixed_documents``.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from math import ceil, log2
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadlake.session import materialize
+from threadlake.session import concluded, materialize
 
 GOLDEN = 0.6180339887498949
 WEIGHT_CYCLE = (5, 2, 1)
@@ -132,6 +136,12 @@ def schedule(plan: DataFrame, total_slots: int, n_sources: int) -> DataFrame:
     return ranked.unionByName(missing)
 
 
+def row_keys(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> list[Column]:
+    """Two 64-bit hashes of a row's id, text and source."""
+    parts = [F.col(c).cast("string") for c in (id_col, text_col, source_col)]
+    return [F.xxhash64(F.lit(salt), *parts, *(p.isNull() for p in parts)).alias(k) for k, salt in (("k1", seed), ("k2", seed + 1))]
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -142,13 +152,17 @@ def mix(
     weight_cycle=WEIGHT_CYCLE,
     max_epochs: int = MAX_EPOCHS,
 ) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, stream_start per document."""
+    """Per document: doc_id, source, size, source_size, target, taken,
+    stream_start, first_slot and n_slots (the slots that take a block of it),
+    copy_slots (the slots in which its first word is taken) and the row's two
+    keys, k1 and k2, the first of which orders the stream."""
+    text = F.col(text_col).cast("string")
     slim = materialize(
         docs.select(
             F.col(id_col).alias("doc_id"),
             F.col(source_col).alias("source"),
-            word_count(F.col(text_col)).alias("size"),
-            F.xxhash64(F.lit(seed), F.col(id_col).cast("string")).alias("order_key"),
+            word_count(text).alias("size"),
+            *row_keys(docs, id_col, text_col, source_col, seed),
         ),
         "mix-sizes",
     )
@@ -162,23 +176,26 @@ def mix(
     placed = slim.join(
         plan.select(F.col("source").alias("s"), "source_rank", "source_size", "target", "take"), F.col("source").eqNullSafe(F.col("s"))
     ).drop("s")
-    placed = placed.withColumn("bucket", F.shiftrightunsigned("order_key", 64 - bits))
+    placed = placed.withColumn("bucket", F.shiftrightunsigned("k1", 64 - bits))
     before = Window.partitionBy("source_rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = (
         placed.groupBy("source_rank", "bucket").agg(F.sum("size").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     )
-    inside = Window.partitionBy("source_rank", "bucket").orderBy("order_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    about = ["doc_id", "source", "size", "source_size", "target", "stream_start", "k1", "k2"]
+    inside = Window.partitionBy("source_rank", "bucket").orderBy("k1", "k2").rowsBetween(Window.unboundedPreceding, 0)
     streamed = (
         placed.withColumn("upto", F.sum("size").over(inside))
         .join(bases, ["source_rank", "bucket"])
         .withColumn("stream_start", F.col("base") + F.col("upto") - F.col("size"))
-        .select("doc_id", "source", "source_rank", "size", "source_size", "target", "stream_start")
+        .select(*about, "source_rank", F.monotonically_increasing_id().alias("row"))
     )
-    idle = streamed.filter("size = 0").withColumn("taken", F.lit(0).cast("long"))
+    streamed = materialize(streamed, "mix-streamed")
+    none = {"taken": F.lit(0).cast("long"), "first_slot": F.lit(None).cast("long"), "n_slots": F.lit(0).cast("long"), "copy_slots": F.array().cast("array<bigint>")}
+    idle = streamed.filter("size = 0").select(*about, *(c.alias(k) for k, c in none.items()))
     if not total_slots:
-        return idle.drop("source_rank")
+        return idle
 
-    # How often each block is taken, and how much of it the last, partial slot takes.
+    # The slots of each block, and how much of it the last, partial slot takes.
     facts = plan.select("source_rank", "blocks", "take", F.col("source_size").alias("stream"))
     blocks = (
         schedule(plan, total_slots, n_sources)
@@ -186,8 +203,12 @@ def mix(
         .withColumn("block", F.expr("rank_in_source % blocks"))
         .withColumn("length", F.least(F.lit(block_words), F.col("stream") - F.col("block") * block_words))
         .withColumn("words", F.least("length", F.col("take") - F.expr("rank_in_source div blocks") * F.col("stream") - F.col("block") * block_words))
-        .groupBy("source_rank", "block")
-        .agg(F.count_if(F.col("words") >= F.col("length")).alias("times"), F.max(F.when(F.col("words") < F.col("length"), F.col("words")).otherwise(0)).alias("partial"))
+        .groupBy("source_rank", "block")  # max_epochs and one more slots at most
+        .agg(
+            F.count_if(F.col("words") >= F.col("length")).alias("times"),
+            F.max(F.when(F.col("words") < F.col("length"), F.col("words")).otherwise(0)).alias("partial"),
+            F.array_sort(F.collect_list("slot_no")).alias("slots"),
+        )
     )
     parts = streamed.filter("size > 0").withColumn(
         "block", F.explode(F.sequence(F.expr(f"stream_start div {block_words}"), F.expr(f"(stream_start + size - 1) div {block_words}")))
@@ -196,28 +217,63 @@ def mix(
     left = F.greatest("stream_start", begin)
     right = F.least(F.col("stream_start") + F.col("size"), begin + block_words)
     cut = F.greatest(F.lit(0), F.least(right, begin + F.col("partial")) - left)
+    whole = F.col("slots").isNotNull() & (cut <= 0) & (F.col("times") < F.size("slots"))
+    mine = F.when(whole, F.slice("slots", 1, F.greatest(F.lit(1), F.col("times")))).otherwise(F.col("slots"))
     busy = (
         parts.join(blocks, ["source_rank", "block"], "left")
         .withColumn("got", F.coalesce((right - left) * F.col("times") + cut, F.lit(0)))
-        .groupBy("doc_id", "source", "source_rank", "size", "source_size", "target", "stream_start")
-        .agg(F.sum("got").alias("taken"))
+        .withColumn("mine", F.when(F.col("got") > 0, mine))
+        .groupBy("row", *about)
+        .agg(
+            F.sum("got").alias("taken"),
+            F.min(F.col("mine")[0]).alias("first_slot"),
+            F.sum(F.when(F.col("got") > 0, F.size("mine")).otherwise(0)).alias("n_slots"),
+            F.coalesce(F.min_by("mine", "block"), F.array().cast("array<bigint>")).alias("copy_slots"),
+        )
+        .drop("row")
     )
-    return busy.unionByName(idle).drop("source_rank")
+    return busy.unionByName(idle)
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def fresh(name: str, columns: list[str]) -> str:
+    """A column name that none of the given ones has, in either case."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, **options) -> DataFrame:
     """The documents as the mix takes them, columns kept: a document goes if no
-    word of it is taken and is repeated if it is taken more than once; the one
-    document per source that the target cuts is kept whole. Ids are the key."""
-    taken = mix(docs, **options).filter("taken > 0").groupBy("doc_id").agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("copies__"))
-    key = F.col("mix.doc_id__").eqNullSafe(F.col("d.doc_id"))
-    return (
-        docs.alias("d")
-        .join(taken.withColumnRenamed("doc_id", "doc_id__").alias("mix"), key)
-        .select("d.*", F.explode(F.sequence(F.lit(1), F.col("copies__"))).alias("copy__"))
-        .drop("copy__")
-    )
+    word of it is taken and stands once for every slot in which its first word
+    is; the one document per source that the target cuts is kept whole.
+
+    Texts are shuffled once, by the row's keys; each partition is then put in
+    slot order, so every file of the result is interleaved as the schedule says.
+    Rows equal in id, text and source take turns.
+    """
+
+    def build() -> DataFrame:
+        equal = Window.partitionBy("k1", "k2")
+        taken = mix(docs, id_col, text_col, source_col, seed=seed, **options).withColumn("times", F.count("*").over(equal)).filter("taken > 0")
+        return taken.select("k1", "k2", "copy_slots", "times", F.row_number().over(equal.orderBy("copy_slots")).alias("turn"))
+
+    names = [fresh(f"mix_{name}", docs.columns) for name in ("k1", "k2", "slots", "times", "turn", "h1", "h2", "place", "slot")]
+    k1, k2, slots, times, turn, h1, h2, place, slot = names
+    plan = concluded(docs.sparkSession, "mix-taken", build).toDF(*names[:5])
+    rows = docs.withColumns(dict(zip((h1, h2), row_keys(docs, id_col, text_col, source_col, seed))))
+    same = (F.col(h1) == F.col(k1)) & (F.col(h2) == F.col(k2))
+
+    def placed(joined: DataFrame) -> DataFrame:
+        return joined.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(slots).alias(slot)).sortWithinPartitions(slot).drop(slot)
+
+    found = placed(rows.join(plan.filter(F.col(times) == 1).hint("merge"), same))
+    several = plan.filter(F.col(times) > 1)
+    if several.isEmpty():
+        return found
+    equal = rows.join(several.select(k1, k2).distinct(), same, "left_semi").withColumn(place, F.row_number().over(Window.partitionBy(h1, h2).orderBy(F.lit(0))))
+    return found.unionByName(placed(equal.join(several, same & (F.col(place) == F.col(turn)))))
 
 
 def op7_mix_sources(spark, sf_dir: str) -> DataFrame:
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken", "source")
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken", "source", "first_slot", "n_slots")
