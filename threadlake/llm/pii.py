@@ -1,29 +1,36 @@
 """Personal data by patterns and a skip-chain conditional random field.
 
 Patterns find the base spans. Around them a field over the document's tokens
-that hold a digit or an @ looks for what the patterns miss: a node per token
-with a label (none, email, ip, card, phone), chain potentials between tokens
-that stand next to each other, and skip potentials between distant tokens with
-the same digits or the same name, so that a number found once in full carries
-its label to shorter mentions of it. Tokens inside base spans are observed.
-Loopy sum-product message passing, damped, runs over all documents of a batch
-at once; free tokens whose belief reaches ``CONFIDENT`` become added spans.
-
-The field is trained piecewise at the start of a run: node weights by
-multinomial logistic regression, pair weights by smoothed log odds, both on
-the base labels of a bounded sample (``SAMPLE_DOCS`` documents of smallest id
-hash). Every document is then searched whole. Skip edges run from each token to
-the next one of its key, so a token repeated n times has n - 1 of them.
+that hold a digit or an @ (and words equal to the name of a mailbox in it) looks
+for what the patterns miss. It has a node per token with a label (none, email,
+ip, card, phone), chain potentials between tokens that stand next to each other,
+and skip potentials between distant tokens that are alike: the same digits or
+name, the same last four digits, the same first three dotted numbers. The tokens
+of one likeness hang on a hub of their own, so evidence goes from any mention to
+any other in two steps however many stand between, and a token repeated n times
+has n edges. Tokens inside base spans are observed. Loopy sum-product message
+passing, damped, runs until no message moves by more than ``SETTLED`` or for
+``MOST_ROUNDS`` rounds; free tokens whose belief reaches ``CONFIDENT`` become
+added spans.
+
+Training is by pseudo-likelihood, at the start of a run, on a bounded sample:
+the ``SAMPLE_DOCS`` documents of smallest hash that hold a digit or an @ and are
+no longer than ``SAMPLE_CHARS``. Its labels are the base spans. As those never
+show a short second mention, each sampled span gets one, and a decoy of the same
+shape with other digits or letters that is labelled none: what a lone token
+looks like cannot tell the two apart, only the skip edges can. Every document is
+then searched whole.
 
 Edge cases: a null text is empty and has no spans; matches that fail a check
 are dropped without another try inside them; with nothing to learn from no
 span is added; repeated rows are searched alike; an empty table gives an empty
-result; extra columns are ignored.
+result; extra columns are ignored. Time is linear in a text's length.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections.abc import Iterable, Iterator
 
@@ -35,18 +42,28 @@ from pyspark.sql import functions as F
 from threadlake.session import bound_batches
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_DOCS = 4000
-CONFIDENT = 0.95
-ROUNDS = 12
-DAMPING = 0.5
-STEPS = 300
-
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+LABELS = len(KINDS) + 1
+SAMPLE_DOCS = 2000
+SAMPLE_CHARS = 20_000
+SLICE_CHARS = 1 << 20
+CONFIDENT = 0.9
+MOST_ROUNDS = 60
+SETTLED = 1e-3
+DAMPING = 0.3
+STEPS = 400
+LIKENESSES = 3
+FEATURES = 16
+
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)+")
+NOT_LOCAL = re.compile(r"[^A-Za-z0-9._%+-]")
+#: A match of the ip rule can only begin where a run of digits does.
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 MARK = re.compile(r"[0-9@]")
+TOKEN = re.compile(r"[^ \t\n\x0b\x0c\r]+")
 EDGE = " \t.,;:!?\"'()[]<>{}"
+GAP = re.compile(r"[\s.,;:!?\"'()\[\]<>{}+-]*")
 
 
 def luhn(digits: str) -> bool:
@@ -61,35 +78,51 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def _is_byte(part: str) -> bool:
+    part = part.lstrip("0")
+    return len(part) <= 3 and int(part or 0) <= 255
+
+
+def emails(text: str) -> list[tuple[int, int]]:
+    """Leftmost non-overlapping matches, found from each @ outwards."""
+    found, free, at = [], 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > free and not NOT_LOCAL.match(text[start - 1]):
+            start -= 1
+        free = at + 1  # what stands before this @ is no part of a later name
+        if start < at and (m := DOMAIN.match(text, at + 1)):
+            found.append((start, m.end()))
+            free = m.end()
+        at = text.find("@", free)
+    return found
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of the base kinds, in order."""
     if not MARK.search(text):
         return []
-    found = []
-    if "@" in text:
-        found += [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)]
-    found += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m.group().split("."))]
+    found = [(a, 0, b) for a, b in emails(text)]
+    found += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(map(_is_byte, m.group().split(".")))]
     found += [(m.start(), 2, m.end()) for m in CARD.finditer(text) if 14 <= len(d := _digits(m.group())) <= 19 and luhn(d)]
     if "+" in text:
         found += [(m.start(), 3, m.end()) for m in PHONE.finditer(text) if 10 <= len(_digits(m.group())) <= 15]
     return sorted(found)
 
 
-def tokens(text: str) -> list[tuple[int, int]]:
-    """Bounds of the tokens with a digit or @, without punctuation at their edges."""
-    out, at = [], 0
-    while m := MARK.search(text, at):
-        left, right = m.start(), m.end()
-        while left > 0 and text[left - 1] not in " \t\n\x0b\x0c\r":
-            left -= 1
-        while right < len(text) and text[right] not in " \t\n\x0b\x0c\r":
-            right += 1
-        at = right
-        while left < right and text[left] in EDGE:
-            left += 1
-        while right > left and text[right - 1] in EDGE:
-            right -= 1
-        out.append((left, right))
+def tokens(text: str, base: list[tuple[int, int, int]] = ()) -> list[tuple[int, int]]:
+    """Bounds, without punctuation at their edges, of the tokens with a digit or
+    an @ and of words that are the name of one of the base mailboxes."""
+    if not MARK.search(text):
+        return []
+    names = {text[a:b].split("@")[0].lower() for a, k, b in base if k == 0}
+    out = []
+    for m in TOKEN.finditer(text):
+        word = m.group()
+        left = len(word) - len(word.lstrip(EDGE))
+        bare = word.strip(EDGE)
+        if bare and (MARK.search(bare) or (names and bare.lower() in names)):
+            out.append((m.start() + left, m.start() + left + len(bare)))
     return out
 
 
@@ -99,7 +132,7 @@ def features(text: str, bounds: list[tuple[int, int]]) -> np.ndarray:
         t = text[a:b]
         d = _digits(t)
         parts = t.split(".")
-        before = text[max(0, a - 1) : a]
+        plus = text[max(0, a - 1) : a + 1]
         near = k > 0 and a - bounds[k - 1][1] <= 3
         rows.append(
             (
@@ -107,11 +140,10 @@ def features(text: str, bounds: list[tuple[int, int]]) -> np.ndarray:
                 "@" in t,
                 len(d) == len(t),
                 any(c.isalpha() for c in t),
-                t.count(".") == 3,
-                len(parts) == 4 and all(p.isascii() and p.isdigit() and int(p) <= 255 for p in parts),
+                len(parts) == 4 and all(p.isascii() and p.isdigit() and _is_byte(p) for p in parts),
                 "-" in t,
-                before == "(" or "(" in t,
-                text[max(0, a - 1) : a + 1].startswith("+") or t.startswith("+"),
+                text[max(0, a - 1) : a] == "(",
+                "+" in plus,
                 near and "+" in text[max(0, bounds[k - 1][0] - 2) : a],
                 len(d) <= 3,
                 4 <= len(d) <= 8,
@@ -119,123 +151,176 @@ def features(text: str, bounds: list[tuple[int, int]]) -> np.ndarray:
                 14 <= len(d) <= 19,
                 len(d) > 19,
                 14 <= len(d) <= 19 and luhn(d),
-                near,
                 "=" in t or "/" in t or '"' in t,
             )
         )
-    return np.array(rows, dtype=np.float64).reshape(len(bounds), 18)
+    return np.array(rows, dtype=np.float64).reshape(len(bounds), FEATURES)
 
 
-def _key(token: str) -> str:
+def likenesses(token: str) -> Iterator[tuple[int, str]]:
+    """(kind of likeness, key); tokens that share one are alike."""
+    if "@" in token or any(c.isalpha() for c in token):
+        yield 0, token.split("@")[0].lower()
+        return
     d = _digits(token)
-    if "@" in token:
-        return "name:" + token.split("@")[0].lower()
-    if any(c.isalpha() for c in token):
-        return "name:" + token.lower()
-    return "digits:" + d[-7:] if len(d) >= 7 else ""
+    if len(d) >= 4:
+        yield 0, d
+        yield 1, d[-4:]
+    parts = token.split(".")
+    if len(parts) >= 3:
+        yield 2, ".".join(parts[:3])
 
 
 class Graph:
-    """Nodes, edges and observed labels of many documents at once."""
+    """Nodes, edges and observed labels of many documents at once. The first
+    nodes are tokens, the others hubs. Edges of table 0 are chain edges from
+    left to right, those of table 1 + k go from a token to a hub of likeness k."""
 
     def __init__(self, texts: list[str], bases: list[list[tuple[int, int, int]]]):
         self.bounds: list[tuple[int, int, int]] = []
-        rows, observed, chain, skip = [], [], [], []
+        rows, observed, chain, member = [], [], [], []
+        self.hub_kind: list[int] = []
         for doc, (text, base) in enumerate(zip(texts, bases)):
-            bounds = tokens(text) if MARK.search(text) else []
+            bounds = tokens(text, base)
             if not bounds:
                 continue
             rows.append(features(text, bounds))
-            first, seen, at = len(self.bounds), {}, 0
+            first, alike, at = len(self.bounds), {}, 0
             for k, (a, b) in enumerate(bounds):
                 label = 0
                 while at < len(base) and base[at][2] <= a:
                     at += 1
-                for start, kind, end in base[at:]:
-                    if start >= b:
-                        break
-                    if end > a:
-                        label = kind + 1
-                        break
+                if at < len(base) and base[at][0] < b:
+                    label = base[at][1] + 1
                 observed.append(label)
                 self.bounds.append((doc, a, b))
-                if k and not text[bounds[k - 1][1] : a].strip(EDGE + "\n\r\x0b\x0c+-"):
+                if k and GAP.fullmatch(text, bounds[k - 1][1], a):
                     chain.append((first + k - 1, first + k))
-                if key := _key(text[a:b]):
-                    if key in seen:
-                        skip.append((seen[key], first + k))
-                    seen[key] = first + k
-        self.x = np.concatenate(rows) if rows else np.zeros((0, 18))
+                for key in likenesses(text[a:b]):
+                    alike.setdefault(key, []).append(first + k)
+            for (kind, _), nodes in alike.items():
+                if len(nodes) > 1:
+                    member += [(n, len(self.hub_kind)) for n in nodes]
+                    self.hub_kind.append(kind)
+        self.x = np.concatenate(rows) if rows else np.zeros((0, FEATURES))
         self.observed = np.array(observed, dtype=np.int64)
-        self.edges = np.array(chain + skip, dtype=np.int64).reshape(-1, 2)
-        self.is_skip = np.arange(len(self.edges)) >= len(chain)
+        self.chain = np.array(chain, dtype=np.int64).reshape(-1, 2)
+        self.member = np.array(member, dtype=np.int64).reshape(-1, 2)
+        kinds = np.array(self.hub_kind, dtype=np.int64)
+        self.table = np.concatenate([np.zeros(len(chain), dtype=np.int64), 1 + kinds[self.member[:, 1]]])
+        self.edges = np.concatenate([self.chain, self.member + [0, len(observed)]])
+
+
+def _normal(score: np.ndarray) -> np.ndarray:
+    p = np.exp(score - score.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
 
 
 class Field:
-    def __init__(self, node: np.ndarray, chain: np.ndarray, skip: np.ndarray):
-        self.node, self.pair = node, np.stack([chain, skip])
+    """``node`` is features x labels; ``pair[t]`` the potentials of edge table t,
+    indexed by the label at the edge's first and at its second end."""
+
+    def __init__(self, node: np.ndarray, pair: np.ndarray):
+        self.node, self.pair = node, pair
 
     @classmethod
     def train(cls, texts: list[str]) -> Field | None:
-        """Piecewise: each kind of factor is fitted on its own."""
-        g = Graph(texts, [base_spans(t) for t in texts])
-        if not len(g.x) or not g.observed.any():
+        """Pseudo-likelihood: each token given its neighbours' labels. A hub's
+        label, as its token sees it, is what most of its other tokens are."""
+        bases = [base_spans(t) for t in texts]
+        if not any(bases):
             return None
-        labels = len(KINDS) + 1
-        target = np.eye(labels)[g.observed]
-        weights = np.zeros((g.x.shape[1], labels))
+        texts, bases, decoys = with_second_mentions(texts, bases)
+        g = Graph(texts, bases)
+        hidden = np.array([any(start <= a < end for start, end in decoys[doc]) for doc, a, _ in g.bounds])
+        g.observed[hidden] = 0
+        one = np.eye(LABELS)
+        y, n = one[g.observed], len(g.x)
+        sides = []  # (token, neighbour's labels, table, whether the token is the edge's first end)
+        sides.append((g.chain[:, 1], y[g.chain[:, 0]], 0, False))
+        sides.append((g.chain[:, 0], y[g.chain[:, 1]], 0, True))
+        total = np.zeros((len(g.hub_kind), LABELS))
+        np.add.at(total, g.member[:, 1], y[g.member[:, 0]])
+        others = total[g.member[:, 1]] - y[g.member[:, 0]]
+        for kind in range(LIKENESSES):
+            at = np.array(g.hub_kind, dtype=np.int64)[g.member[:, 1]] == kind
+            sides.append((g.member[at, 0], one[others[at].argmax(axis=1)], 1 + kind, True))
+        node, pair = np.zeros((FEATURES, LABELS)), np.zeros((1 + LIKENESSES, LABELS, LABELS))
+        # a label's tokens weigh alike however rare it is among the sample's
+        weight = np.sqrt(n / (LABELS * np.maximum(1, y.sum(axis=0))))[g.observed][:, None]
+        weight = weight / weight.sum()
         for _ in range(STEPS):
-            score = g.x @ weights
-            p = np.exp(score - score.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            weights += 2.0 * (g.x.T @ (target - p) / len(g.x) - 1e-4 * weights)
-        share = (target.sum(axis=0) + 1) / (len(target) + labels)
-        tables = []
-        for is_skip in (False, True):
-            pairs = g.edges[g.is_skip == is_skip]
-            n = np.ones((labels, labels))
-            np.add.at(n, (g.observed[pairs[:, 0]], g.observed[pairs[:, 1]]), 1)
-            n = n + n.T if is_skip else n
-            tables.append(np.log(n / n.sum()) - np.log(share[:, None] * share[None, :]))
-        # a repeated token keeps its label: the table's own diagonal, at least this strong
-        tables[1] = np.maximum(tables[1], np.where(np.eye(labels, dtype=bool), 2.0, -np.inf))
-        return cls(weights, *tables)
+            score = g.x @ node
+            for to, labels, t, first in sides:
+                np.add.at(score, to, labels @ (pair[t].T if first else pair[t]))
+            error = weight * (y - _normal(score))
+            node += 4.0 * (g.x.T @ error - 1e-4 * node)
+            for to, labels, t, first in sides:
+                step = labels.T @ error[to]
+                pair[t] += 4.0 * ((step.T if first else step) - 1e-4 * pair[t])
+        return cls(node, pair)
 
     def beliefs(self, g: Graph) -> np.ndarray:
-        """Label probabilities of every node after message passing."""
-        labels = self.node.shape[1]
-        unary = g.x @ self.node
-        seen = g.observed > 0
+        """Label probabilities of every token after message passing."""
+        tokens_, hubs = len(g.x), len(g.hub_kind)
+        unary = np.concatenate([g.x @ self.node, np.zeros((hubs, LABELS))])
+        seen = np.flatnonzero(g.observed)
         unary[seen] = -50.0
         unary[seen, g.observed[seen]] = 0.0
         if not len(g.edges):
-            return _normal(unary)
+            return _normal(unary[:tokens_])
         source = np.concatenate([g.edges[:, 0], g.edges[:, 1]])
         target = np.concatenate([g.edges[:, 1], g.edges[:, 0]])
-        table = self.pair[g.is_skip.astype(int)]
+        table = self.pair[g.table]
         table = np.concatenate([table, table.transpose(0, 2, 1)])
         back = np.concatenate([np.arange(len(g.edges)) + len(g.edges), np.arange(len(g.edges))])
-        message = np.zeros((len(source), labels))
-        for _ in range(ROUNDS):
+        message = np.zeros((len(source), LABELS))
+        for _ in range(MOST_ROUNDS):
             total = unary.copy()
             np.add.at(total, target, message)
             out = (total[source] - message[back])[:, :, None] + table
             top = out.max(axis=1)
             new = top + np.log(np.exp(out - top[:, None, :]).sum(axis=1))
             new -= new.max(axis=1, keepdims=True)
+            moved = np.abs(new - message).max()
             message = DAMPING * message + (1 - DAMPING) * new
+            if moved < SETTLED:
+                break
         total = unary.copy()
         np.add.at(total, target, message)
-        return _normal(total)
-
-
-def _normal(score: np.ndarray) -> np.ndarray:
-    p = np.exp(score - score.max(axis=1, keepdims=True))
-    return p / p.sum(axis=1, keepdims=True)
-
-
-#: Digits a span must have for its kind to be added.
-_DIGITS = {1: (4, 12), 2: (14, 19), 3: (7, 15)}
+        return _normal(total[:tokens_])
+
+
+def second_mention(span: str, kind: int) -> str:
+    """A short form in which something named in full is named again."""
+    d = _digits(span)
+    if kind == 0:
+        return span.split("@")[0]
+    if kind == 1:
+        return span.rpartition(".")[0]
+    if kind == 2:
+        return d[-4:]
+    return f"{d[-7:-4]}-{d[-4:]}"
+
+
+def with_second_mentions(texts: list[str], bases: list) -> tuple[list[str], list, list[list[tuple[int, int]]]]:
+    """Each text with a second mention of each base span behind it, labelled
+    alike, and as many decoys, whose bounds are returned."""
+    rng = random.Random(9)
+    out, spans, decoys = [], [], []
+    for text, base in zip(texts, bases):
+        parts, at, more, false = [text], len(text), [], []
+        for start, kind, end in base:
+            short = second_mention(text[start:end], kind)
+            decoy = "".join(rng.choice("0123456789") if c.isdigit() else rng.choice("abcdefghijklmnopqrstuvwxyz") if c.isalpha() else c for c in short)
+            for word, into in ((short, more), (decoy + ("" if MARK.search(decoy) else str(rng.randrange(10))), false)):
+                parts += [" and ", word]
+                into.append((at + 5, kind, at + 5 + len(word)) if into is more else (at + 5, at + 5 + len(word)))
+                at += 5 + len(word)
+        out.append("".join(parts))
+        spans.append(base + more)
+        decoys.append(false)
+    return out, spans, decoys
 
 
 def find_spans(texts: list[str], field: Field | None) -> list[tuple[list, list]]:
@@ -257,19 +342,28 @@ def find_spans(texts: list[str], field: Field | None) -> list[tuple[list, list]]
                 else:
                     runs.append([doc, a, kind, b])
             for doc, a, kind, b in runs:
-                span = texts[doc][a:b]
-                low, high = _DIGITS.get(kind, (0, 1 << 30))
-                if low <= len(_digits(span)) <= high and (kind != 0 or "@" in span) and (kind == 0 or not any(c.isalpha() for c in span)):
-                    added[doc].append((a, kind, b))
+                added[doc].append((a - (kind == 3 and texts[doc][max(0, a - 1) : a] == "+"), kind, b))
     return list(zip(bases, added))
 
 
+def _slices(texts: list[str]) -> Iterator[list[str]]:
+    """Runs of texts of about SLICE_CHARS characters, one text at least."""
+    held, size = [], 0
+    for text in texts:
+        if held and size + len(text) > SLICE_CHARS:
+            yield held
+            held, size = [], 0
+        held.append(text)
+        size += len(text)
+    if held:
+        yield held
+
+
 def training_texts(docs: DataFrame, id_col: str, text_col: str) -> list[str]:
-    order = F.xxhash64(F.lit("pii"), F.col(id_col).cast("string"))
-    ids = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id__"), order.alias("h")).orderBy("h", "id__").limit(SAMPLE_DOCS).select("id__").distinct()
-    marked = docs.filter(F.col(text_col).rlike("[0-9@]")).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = marked.join(F.broadcast(ids), F.col("id") == F.col("id__")).select("id", F.substring("text", 1, 20_000).alias("text")).orderBy("id", "text").limit(SAMPLE_DOCS).collect()
-    return [r.text for r in rows]
+    text, key = F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("string").alias("id")
+    marked = docs.select(key, text).filter((F.length("text") <= SAMPLE_CHARS) & F.col("text").rlike("[0-9@]"))
+    order = [F.xxhash64(F.lit("pii"), "id", "text"), "id", "text"]
+    return [r.text for r in marked.orderBy(*order).limit(SAMPLE_DOCS).collect()]
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -280,7 +374,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = find_spans(batch.column(1).fill_null("").to_pylist(), field)
+            found = [f for part in _slices(batch.column(1).fill_null("").to_pylist()) for f in find_spans(part, field)]
             counts = [[sum(s[1] == k for s in base) for base, _ in found] for k in range(len(KINDS))]
             yield pa.record_batch(
                 [
