@@ -49,13 +49,14 @@ def _delete(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def bound_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Send texts to Python in batches of at most so many rows: a batch is held
-    by the task and by its Python worker, and texts are long. Only ever lowers
-    the session's setting."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
-        spark.conf.set(name, str(rows))
+def bound_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Send rows to Python in batches of about so many bytes at most: a batch is
+    held by the task and by its Python worker, and texts are long. The setting
+    is the session's and is read when a query runs; it is only ever lowered."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    as_bytes = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    if not 0 < as_bytes(spark.conf.get(name)) <= size:
+        spark.conf.set(name, str(size))
 
 
 #: Tables written since the innermost concluded() began, None outside of one.
