@@ -6,19 +6,21 @@ in a language's sample; the fewer phrases per letter, the closer the language.
 Phrase counts are normalised by the information a phrase carries (the logarithm
 of the sample's length), and the language with the fewest wins.
 
-Texts are lower-cased; runs of anything but letters are one space. Long texts
-are parsed in stretches of ``STRETCH`` letters side by side, which costs every
-language the same one phrase per stretch; all stretches of a text count.
-
-The sample per language (``SAMPLE_DOCS`` documents of smallest id hash,
-``SAMPLE_LETTERS`` letters) is the only thing that is bounded. It is found over
-ids and labels alone, each task passing on its few smallest. Every letter of a
-sample is a symbol of its language: the most frequent in a dense table, the rest
-in a sorted list of transitions. How many are dense is a matter of speed only.
+Texts are lower-cased; runs of anything but letters are one space. A letter that
+a sample has not is a phrase of its own. A text is parsed whole: its stretches of
+``STRETCH`` letters are run side by side, then again from the state in which the
+stretch before ended, until no state changes, so a phrase may be of any length.
+
+The sample per language is the only thing that is bounded: ``SAMPLE_DOCS``
+documents of smallest hash, of each a passage of ``PASSAGE`` characters that
+begins at a place drawn from the hash. Each task passes on its few smallest
+hashes. Every letter of a sample is a symbol of its language: the most frequent
+in a dense table, the rest in a sorted list of transitions. How many are dense is
+a matter of speed only.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0; a null
-label teaches nothing; a null id hashes as the empty string; equal counts go to
-the first language in order; with no labelled row every text is ``und``; an
+label teaches nothing; a null id hashes as the empty string; rows equal in id and
+text are sampled once; equal counts go to the first language in order; with no labelled row every text is ``und``; an
 empty table gives an empty result; extra columns are ignored.
 """
 
@@ -36,7 +38,7 @@ from threadlake.llm import worker
 from threadlake.session import bound_batches
 
 SAMPLE_DOCS = 64
-SAMPLE_LETTERS = 24_000
+PASSAGE = 500
 DENSE_LETTERS = 62
 DENSE_BYTES = 1 << 27
 STRETCH = 256
@@ -51,32 +53,26 @@ def held_out(id_col: Column) -> Column:
 
 def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, list[str]]]:
     """(lang, texts) per language, in order of language."""
-    eligible = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)))
-    keyed = eligible.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).cast("string").alias("id"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
+    eligible = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col))).select(
+        F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("text")
+    )
 
     def smallest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heaps: dict[str, list] = {}
+        found: dict[str, set[int]] = {}
         for batch in batches:
-            for lang, key, h in zip(*(c.to_pylist() for c in batch.columns)):
-                heap = heaps.setdefault(lang, [])
-                if len(heap) < SAMPLE_DOCS:
-                    heapq.heappush(heap, (-h, key))
-                elif -h > heap[0][0]:
-                    heapq.heapreplace(heap, (-h, key))
-        rows = [(lang, key, -h) for lang, heap in heaps.items() for h, key in heap]
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[], [], []], (pa.string(), pa.string(), pa.int64()))], ["lang", "id", "h"])
-
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
-    chosen = keyed.mapInArrow(smallest, "lang string, id string, h long").withColumn("place", place).filter(F.col("place") <= SAMPLE_DOCS)
-    ids = chosen.select("lang", "id").collect()
-    wanted = docs.sparkSession.createDataFrame([(r.lang, r.id) for r in ids], "lang__ string, id__ string").distinct()
-    found = (
-        eligible.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).cast("string").alias("id"), F.substring(text_col, 1, SAMPLE_LETTERS).alias("text"))
-        .join(F.broadcast(wanted), (F.col("lang") == F.col("lang__")) & F.col("id").eqNullSafe(F.col("id__")))
-        .select("lang", "text", F.xxhash64("id").alias("h"))
-    )
+            for lang, h in zip(*(c.to_pylist() for c in batch.columns)):
+                found.setdefault(lang, set()).add(h)
+            found = {lang: set(heapq.nsmallest(SAMPLE_DOCS, own)) for lang, own in found.items()}
+        rows = [(lang, h) for lang, own in found.items() for h in own]
+        yield pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], ["lang", "h"])
+
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = eligible.select("lang", "h").mapInArrow(smallest, "lang string, h long").distinct().withColumn("place", place).filter(F.col("place") <= SAMPLE_DOCS)
+    wanted = docs.sparkSession.createDataFrame(chosen.select("lang", "h").collect(), "lang string, h long")
+    begin = F.lit(1) + F.pmod("h", F.greatest(F.lit(1), F.length("text") - PASSAGE + 1)).cast("int")
+    passage = eligible.join(F.broadcast(wanted), ["lang", "h"]).select("lang", "h", F.substring("text", begin, F.lit(PASSAGE)).alias("text")).dropDuplicates(["lang", "h"])
     texts: dict[str, list[str]] = {}
-    for row in sorted(found.collect(), key=lambda r: (r.lang, r.h, r.text)):
+    for row in sorted(passage.collect(), key=lambda r: (r.lang, r.h)):
         texts.setdefault(row.lang, []).append(row.text)
     return sorted(texts.items())
 
@@ -132,7 +128,8 @@ def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
 
 class Automaton:
     """One language. Symbols: 0 is the space, then the dense letters, then a
-    letter it has not, then padding, then its rarer letters."""
+    letter it has not, then padding, then its rarer letters. The last state is
+    the one behind a letter it has not: whatever follows begins a phrase."""
 
     def __init__(self, coded: np.ndarray, n_letters: int, dense: int):
         counts = np.bincount(coded, minlength=n_letters + 3)
@@ -151,21 +148,23 @@ class Automaton:
         root = np.zeros(self.width + len(order) - dense, dtype=np.int32)
         for c, at in step[0].items():
             root[c] = at
-        table = np.repeat((root[None, : self.width] * 2 + 1).astype(np.int32), len(step), axis=0)
+        lost = len(step)
+        again = np.where(root > 0, root, lost) * 2 + 1
+        table = np.repeat(again[None, : self.width].astype(np.int32), len(step) + 1, axis=0)
+        table[0] -= 1
         table[state[common], symbol[common]] = to[common] * 2
         table[:, self.pad] = 0
         self.table = table.reshape(-1)
         self.rare = max(1, len(order) - dense)
-        self.root = root[self.width :] * 2 + 1
+        self.root = again[self.width :].astype(np.int32)
         key = state[~common] * self.rare + symbol[~common] - self.width
         by = np.argsort(key)
         self.keys, self.to = key[by], (to[~common][by] * 2).astype(np.int32)
 
-    def misses(self, grid: np.ndarray) -> np.ndarray:
-        """Phrases ended in each column."""
-        grid = self.symbol[grid]
+    def run(self, grid: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases ended in each column from the given states, and its last state."""
+        grid, state = self.symbol[grid], state.copy()
         rarer = (grid >= self.width).any(axis=1)
-        state = np.zeros(grid.shape[1], dtype=np.int32)
         total = np.zeros(grid.shape[1], dtype=np.int32)
         for row, some in zip(grid, rarer):
             if some:
@@ -183,7 +182,20 @@ class Automaton:
                 packed = self.table.take(state)
             total += packed & 1
             state = packed >> 1
-        return total
+        return total, state
+
+    def phrases(self, grid: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Phrases ended in each column, where a column goes on from the one
+        before unless it is the first of its text."""
+        ended = np.zeros(grid.shape[1], dtype=np.int32)
+        start, last = np.zeros_like(ended), np.zeros_like(ended)
+        todo = np.arange(len(ended))
+        while len(todo):
+            ended[todo], last[todo] = self.run(grid[:, todo], start[todo])
+            now = np.where(first, 0, np.roll(last, 1))
+            todo = np.flatnonzero(now != start)
+            start = now
+        return ended
 
 
 class CrossParser:
@@ -220,8 +232,9 @@ class CrossParser:
         grid = np.full((min(STRETCH, int(sizes.max(initial=0))), int(stretches.sum())), self.pad, dtype=np.int32)
         grid[offset % STRETCH, first[doc] + offset // STRETCH] = coded
         owner = np.repeat(np.arange(len(texts)), stretches)
-        per_text = np.stack([np.bincount(owner, weights=t, minlength=len(texts)) for t in (a.misses(grid) for a in self.automata)]) + stretches
-        return per_text, letters
+        opens = np.diff(owner, prepend=-1) != 0
+        ended = (a.phrases(grid, opens) for a in self.automata)
+        return np.stack([np.bincount(owner, weights=e, minlength=len(texts)) for e in ended]) + (sizes > 0), letters
 
 
 def parser(samples: tuple[tuple[str, str], ...]) -> CrossParser:
@@ -230,7 +243,7 @@ def parser(samples: tuple[tuple[str, str], ...]) -> CrossParser:
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row."""
-    samples = tuple((lang, text) for lang, texts in training_sample(docs, id_col, text_col, lang_col) if (text := _letters(" ".join(texts))[:SAMPLE_LETTERS]).strip())
+    samples = tuple((lang, text) for lang, texts in training_sample(docs, id_col, text_col, lang_col) if (text := _letters(" ".join(texts))).strip())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = parser(samples) if samples else None

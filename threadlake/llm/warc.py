@@ -40,7 +40,6 @@ MERGE_GAP = 64 << 10
 MAX_READ = 8 << 20
 TASK_BYTES = 4 << 20
 ARCHIVE_BYTES = 1 << 30
-BATCH_ROWS = 500
 RECORD_DATE = "2026-01-01T00:00:00Z"
 INDEX = "file string, offset long, length long, url string, digest string, page_id long, record_type string, refers_to long"
 
@@ -132,7 +131,7 @@ def write_archives(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BY
             if found:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*found), _INDEX_TYPES)], _INDEX_NAMES)
 
-    bound_batches(rows.sparkSession, BATCH_ROWS)
+    bound_batches(rows.sparkSession)
     return materialize(rows.mapInArrow(run, INDEX), "warc-index")
 
 
