@@ -1,12 +1,16 @@
 """Secret scan through a trigram inverted index.
 
-Each rule's regular expression yields a Boolean trigram query. The index is a
-stored table of postings (trigram, document) for the trigrams that any rule
-asks for; the postings of an alternative are intersected by counting distinct
-trigrams per document, alternatives are united, and only documents so found
-are run through the rule's expression. A rule without a mandatory trigram scans
-every text. All of it is SQL functions: spans come from cutting a text at its
-matches and adding up the lengths of the pieces.
+The index stores every trigram of every text (in lower case) with the document
+it is in: a segment per task, sorted by trigram, so a lookup reads the pages of
+its trigrams alone. It knows nothing of the rules and serves any others.
+
+Each rule's regular expression yields a Boolean trigram query: conditions that
+must all hold, each with alternatives, each of several trigrams. Postings of an
+alternative are intersected by counting distinct trigrams per document,
+alternatives are united, conditions are intersected again, and only documents so
+found are run through the rule's expression. A rule without a mandatory trigram
+scans every text. All of it is SQL functions: spans come from cutting a text at
+its matches and adding up the lengths of the pieces.
 
 Scale: texts are read twice and not shuffled as long as the candidate table's
 counted size allows a broadcast; beyond ``MAX_BROADCAST_ROWS`` candidates the
@@ -26,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadlake.llm import trigrams
-from threadlake.session import materialize
+from threadlake.session import concluded, materialize
 
 MAX_BROADCAST_ROWS = 1_000_000
 
@@ -65,32 +69,46 @@ MORE_RULES = (
 )
 
 
-def trigram_postings(docs: DataFrame, wanted: list[str], id_col: str, text_col: str) -> DataFrame:
-    """Stored postings (trigram, doc_id) of the wanted trigrams."""
-    low = docs.select(F.col(id_col).alias("doc_id"), F.lower(F.col(text_col)).alias("low"))
-    held = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in wanted]))
-    return materialize(low.select(F.explode(held).alias("trigram"), "doc_id").distinct(), "trigram-postings")
-
-
-def candidates(docs: DataFrame, rules, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame | None, int]:
-    """(doc_id, rules as bits) of documents whose postings satisfy a rule's
-    query, and the bits of the rules that have to scan everything."""
-    queries = [trigrams.query(r.pattern) for r in rules]
-    scan = sum(1 << k for k, q in enumerate(queries) if q is None)
-    clauses = [(k, n, len(clause), t) for k, q in enumerate(queries) if q for n, clause in enumerate(q) for t in sorted(clause)]
-    if not clauses:
-        return None, scan
-    postings = trigram_postings(docs, sorted({c[3] for c in clauses}), id_col, text_col)
-    asked = docs.sparkSession.createDataFrame(clauses, "rule int, clause int, size int, trigram string")
-    found = (
-        postings.join(F.broadcast(asked), "trigram")  # as many rows as the rules have trigrams
-        .groupBy("doc_id", "rule", "clause", "size")
-        .agg(F.count("*").alias("n"))
+#: Every place of a text with its three characters.
+ALL_TRIGRAMS = r"(?s)(?=(...))"
+
+
+def trigram_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Stored postings (trigram, doc_id), each once a row, sorted by trigram in
+    each segment."""
+    held = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col).cast("string")), F.lit(ALL_TRIGRAMS), F.lit(1)))
+    postings = docs.select(F.col(id_col).alias("doc_id"), held.alias("held")).select(F.explode("held").alias("trigram"), "doc_id")
+    return materialize(postings.sortWithinPartitions("trigram"), "trigram-index")
+
+
+def scanning(rules) -> int:
+    """The bits of the rules that have to scan every text."""
+    return sum(1 << k for k, r in enumerate(rules) if not trigrams.query(r.pattern))
+
+
+def candidates(index: DataFrame, rules) -> DataFrame:
+    """(doc_id, rules as bits) of documents whose postings satisfy a rule's query."""
+    asked = [
+        (k, len(q), c, n, len(clause), t)
+        for k, q in enumerate(trigrams.query(r.pattern) for r in rules)
+        for c, condition in enumerate(q)
+        for n, clause in enumerate(condition)
+        for t in sorted(clause)
+    ]
+    wanted = sorted({a[5] for a in asked})
+    table = index.sparkSession.createDataFrame(asked, "rule int, conditions int, condition int, clause int, size int, trigram string")
+    return (
+        index.filter(F.col("trigram").isin(wanted))
+        .join(F.broadcast(table), "trigram")  # as many rows as the rules have trigrams
+        .groupBy("doc_id", "rule", "conditions", "condition", "clause", "size")
+        .agg(F.count_distinct("trigram").alias("n"))
         .filter("n = size")
+        .groupBy("doc_id", "rule", "conditions")
+        .agg(F.count_distinct("condition").alias("n"))
+        .filter("n = conditions")
         .groupBy("doc_id")
         .agg(F.bit_or(F.expr("shiftleft(1L, rule)")).alias("bits"))
     )
-    return found, scan
 
 
 def _spans(text: Column, rule: Rule) -> Column:
@@ -122,16 +140,15 @@ def _of_kind(kind_no: int):
 def scan(docs: DataFrame, base=BASE_RULES, more=MORE_RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and, per row, ``found``: array<struct<start, kind_no, end, kind>> in order."""
     rules = (*base, *more)
-    found, everywhere = candidates(docs, rules, id_col, text_col)
+    everywhere = scanning(rules)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    if found is not None:
-        found = materialize(found, "secret-candidates").withColumnRenamed("doc_id", "id__")
+    bits = F.lit(everywhere).cast("long")
+    if everywhere != (1 << len(rules)) - 1:
+        found = concluded(docs.sparkSession, "secret-candidates", lambda: candidates(trigram_index(docs, id_col, text_col), rules)).withColumnRenamed("doc_id", "id__")
         if found.count() <= MAX_BROADCAST_ROWS:
             found = F.broadcast(found)
         rows = rows.join(found, rows["doc_id"].eqNullSafe(found["id__"]), "left").drop("id__")
-        bits = F.coalesce("bits", F.lit(0).cast("long")).bitwiseOR(F.lit(everywhere).cast("long"))
-    else:
-        bits = F.lit(everywhere).cast("long")
+        bits = F.coalesce("bits", F.lit(0).cast("long")).bitwiseOR(bits)
     rows = rows.withColumn("bits", bits)
     none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
     spans = []

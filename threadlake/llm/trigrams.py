@@ -1,9 +1,10 @@
 """Boolean trigram queries of regular expressions.
 
-A query is ``None`` (no trigram is mandatory: scan everything) or a list of
-alternatives, each a set of trigrams that must all occur; any text that the
-expression matches holds every trigram of at least one alternative. Matching is
-on ASCII lower case, so one index serves rules of either case.
+A query is a list of conditions that must all hold (none: no trigram is
+mandatory, scan everything). A condition is a list of alternatives, each a set
+of trigrams that must all occur; any text that the expression matches holds
+every trigram of at least one alternative of each condition. Matching is on
+lower case, so one index serves rules of either case.
 """
 
 from __future__ import annotations
@@ -78,13 +79,14 @@ def trigrams(text: str) -> frozenset[str]:
     return frozenset(text[i : i + 3] for i in range(len(text) - 2))
 
 
-def query(pattern: str) -> list[frozenset[str]] | None:
-    """The alternatives of the most selective exact run of a pattern."""
-    best = None
+def query(pattern: str) -> list[list[frozenset[str]]]:
+    """A condition for each exact run of a pattern all of whose alternatives
+    have trigrams."""
+    conditions = []
     for run in _runs(parser.parse(pattern)):
-        found = [trigrams(s) for s in run]
-        if all(found) and (best is None or min(map(len, found)) > min(map(len, best))):
-            best = found
-    if best is None:
-        return None
-    return sorted({a for a in best if not any(b < a for b in best)}, key=sorted)
+        found = {trigrams(s) for s in run}
+        if all(found):
+            least = sorted({a for a in found if not any(b < a for b in found)}, key=sorted)
+            if least not in conditions:
+                conditions.append(least)
+    return conditions
