@@ -18,8 +18,8 @@ an empty ledger; extra columns are ignored, and clashing ones are not read.
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +34,17 @@ from threadlake.session import bound_batches, materialize
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 
-#: Rule k fails where its SQL condition over the measurements holds; the order
+Measured = Callable[[str], Column]
+
+#: Rule k fails where its condition over the measurements holds; the order
 #: fixes the bits and may only be added to.
-RULES = {
-    "few_words": "n_words < 10",
-    "repeated_words": "100 * n_repeat_words > 20 * n_words",
-    "symbols_over_words": "n_symbols > 2 * n_words",
-    "short_words": "word_chars < 2 * n_words",
-    "long_words": "word_chars > 40 * n_words",
-    "repeated_lines": "n_lines >= 5 and 100 * n_dup_lines > 60 * n_lines",
+RULES: dict[str, Callable[[Measured], Column]] = {
+    "few_words": lambda m: m("n_words") < 10,
+    "repeated_words": lambda m: 100 * m("n_repeat_words") > 20 * m("n_words"),
+    "symbols_over_words": lambda m: m("n_symbols") > 2 * m("n_words"),
+    "short_words": lambda m: m("word_chars") < 2 * m("n_words"),
+    "long_words": lambda m: m("word_chars") > 40 * m("n_words"),
+    "repeated_lines": lambda m: (m("n_lines") >= 5) & (100 * m("n_dup_lines") > 60 * m("n_lines")),
 }
 BIT = {name: 1 << k for k, name in enumerate(RULES)}
 
@@ -55,6 +57,11 @@ POLICIES = {
 MEASURES = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
 
 
+def failures(m: Measured) -> Column:
+    """The ledger's bits, every rule evaluated once."""
+    return reduce(Column.bitwiseOR, (F.when(rule(m), F.lit(BIT[name])).otherwise(F.lit(0)).cast("long") for name, rule in RULES.items()))
+
+
 def mask(policy: str) -> int:
     return sum(BIT[name] for name in POLICIES[policy])
 
@@ -103,12 +110,11 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     bound_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    bits = " | ".join(f"if({condition}, {BIT[name]}L, 0L)" for name, condition in RULES.items())
-    return slim.mapInArrow(run, f"doc_id long, {MEASURES}").withColumn("failed", F.expr(bits))
+    return slim.mapInArrow(run, f"doc_id long, {MEASURES}").withColumn("failed", failures(F.col))
 
 
-def passes(policy: str) -> Column:
-    return F.col("failed").bitwiseAND(F.lit(mask(policy))) == 0
+def passes(policy: str, failed: Column | None = None) -> Column:
+    return (F.col("failed") if failed is None else failed).bitwiseAND(F.lit(mask(policy)).cast("long")) == 0
 
 
 def ablation(rows: DataFrame, policy: str) -> DataFrame:
@@ -124,8 +130,9 @@ def ablation(rows: DataFrame, policy: str) -> DataFrame:
 def filter_documents(docs: DataFrame, policy: str = "v1", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass the policy, all columns kept.
 
-    The measurements ride along as one more column of the row, so each row is
-    judged by itself and no text is shuffled.
+    The row's ledger entry rides along as one more column: its bits are built as
+    in ``ledger`` and the policy's mask decides, so each row is judged by itself
+    and no text is shuffled.
     """
     bound_batches(docs.sparkSession)
     name = "quality"
@@ -141,10 +148,8 @@ def filter_documents(docs: DataFrame, policy: str = "v1", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([*batch.columns, values], [*batch.schema.names, name])
 
     measured = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, inner)]))
-    conditions = [RULES[r] for r in POLICIES[policy]]
-    for field in sorted(inner.fieldNames(), key=len, reverse=True):
-        conditions = [re.sub(rf"\b{field}\b", f"`{name}`.{field}", c) for c in conditions]
-    return measured.filter(" and ".join(f"not ({c})" for c in conditions)).drop(name)
+    entry = failures(lambda field: F.col(f"`{name}`.{field}"))
+    return measured.filter(passes(policy, entry)).drop(name)
 
 
 def op3_quality_ledger(spark, sf_dir: str) -> DataFrame:
@@ -154,7 +159,12 @@ def op3_quality_ledger(spark, sf_dir: str) -> DataFrame:
     )
 
 
-OP3_SQL = r"""
+def quality_ablation(spark, sf_dir: str) -> DataFrame:
+    """What each rule of policy v1 fails, and what it alone rejects."""
+    return ablation(materialize(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")), "quality-ledger"), "v1")
+
+
+_LEDGER_SQL = r"""
 WITH t AS (
   SELECT doc_id, coalesce(text, '') AS text,
          list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
@@ -183,6 +193,16 @@ WITH t AS (
     + CASE WHEN n_lines >= 5 AND 100 * n_dup_lines > 60 * n_lines THEN 32 ELSE 0 END AS failed
   FROM m
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 AS base_failed, failed = 0 AS kept, failed::BIGINT AS failed
+"""
+OP3_SQL = (
+    _LEDGER_SQL
+    + """SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 AS base_failed, failed = 0 AS kept, failed::BIGINT AS failed
 FROM b
 """
+)
+ABLATION_SQL = (
+    _LEDGER_SQL
+    + "SELECT rule, count(*) FILTER (failed & bit <> 0) AS n_failed, count(*) FILTER (failed = bit) AS n_alone FROM b, (VALUES "
+    + ", ".join(f"('{rule}', {BIT[rule]})" for rule in POLICIES["v1"])
+    + ") r(rule, bit) GROUP BY rule"
+)

@@ -5,7 +5,7 @@ from threadlake.llm.jaccard import OP4_SQL, op4_jaccard_join
 from threadlake.llm.language import op5_language_id
 from threadlake.llm.mixing import op7_mix_sources
 from threadlake.llm.pii import op9_pii
-from threadlake.llm.quality import OP3_SQL, op3_quality_ledger
+from threadlake.llm.quality import ABLATION_SQL, OP3_SQL, op3_quality_ledger, quality_ablation
 from threadlake.llm.secrets_scan import OP10_SQL, op10_secret_scan
 from threadlake.llm.token_counts import op6_token_counts
 from threadlake.llm.token_ids import op2_token_binary
@@ -22,6 +22,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_pii": op9_pii,
     "op10_secret_scan": op10_secret_scan,
+    "quality_ablation": quality_ablation,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -30,4 +31,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_jaccard_join": OP4_SQL,
     "op8_warc": OP8_SQL,
     "op10_secret_scan": OP10_SQL,
+    "quality_ablation": ABLATION_SQL,
 }
