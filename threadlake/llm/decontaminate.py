@@ -1,10 +1,10 @@
 """Benchmark decontamination on a distributed positional inverted index.
 
-The index stores every posting of every term: (term, segment, row, position).
-A segment is one task of the input, so a list is in as many pieces as the input
-has tasks and a frequent word's list is never in one place; pieces are dealt to
-files by hash of (term, segment) and sorted by term in each file. The index
-knows nothing of the test set and serves any other one.
+The index stores every posting of every term: (term, row, position). It is made
+of immutable segments, one per task of the input and sorted by term: within a
+segment a term's list stands in one piece, and a frequent word's list is spread
+over all segments. Nothing is shuffled to build it. It knows nothing of the test
+set and serves any other one.
 
 A query over test phrases reads lists in order of rarity: document frequencies
 rank each phrase's terms; the lists of its rarest terms, shifted by their offset
@@ -92,8 +92,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = marked.filter("col <> ''").select(
         F.when(mark, 0).otherwise(F.xxhash64(ascii_lower(F.col("col")))).alias("term_id"), "row_id", F.when(mark, F.col("n")).otherwise(F.col("pos") - F.col("lead")).alias("pos"), *only
     )
-    segment = F.shiftright("row_id", 33)  # the task of the input
-    return materialize(rows.repartition("term_id", segment).sortWithinPartitions("term_id", "row_id", "pos"), "postings")
+    return materialize(rows.sortWithinPartitions("term_id", "row_id", "pos"), "postings")
 
 
 def _frequency(index: DataFrame, phrases: DataFrame) -> DataFrame:

@@ -218,13 +218,13 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """(a, b, shared, linked) of the pairs that pass orders two and three. The
     prefixes of the classes that are in a pair are cut out first."""
     ids = pairs.select(F.col("a").alias("row_id")).union(pairs.select("b")).distinct()
-    info = classes.select("row_id", "n", "second", "third").join(_few(materialize(ids, "jaccard-ids")), "row_id", "left_semi")
+    info = classes.select("row_id", "n", "second", "third").join(_few(ids), "row_id", "left_semi")
     info = materialize(info, "jaccard-prefixes")
     side = lambda s: info.select(F.col("row_id").alias(s), F.col("n").alias("n" + s), F.col("second").alias("second_" + s), F.col("third").alias("third_" + s))
     sized = pairs.join(side("a"), "a").join(side("b"), "b").filter("100 * least(na, nb) >= 80 * greatest(na, nb)")
     near = materialize(sized.mapInArrow(_passes, "a long, b long"), "jaccard-near")
     wanted = near.select(F.col("a").alias("row_id")).union(near.select("b")).distinct()
-    wanted = classes.select("row_id", "doc_id", "h1", "h2").join(_few(materialize(wanted, "jaccard-ids")), "row_id", "left_semi")
+    wanted = classes.select("row_id", "doc_id", "h1", "h2").join(_few(wanted), "row_id", "left_semi")
     texts = materialize(_texts(docs, materialize(wanted, "jaccard-wanted")), "jaccard-texts")
     named = lambda s: texts.select(F.col("row_id").alias(s), F.col("text").alias("text_" + s))
     return materialize(near.join(named("b"), "b").join(named("a"), "a").mapInArrow(_same_sets, "a long, b long, shared long, linked boolean"), "jaccard-compared")
@@ -250,7 +250,7 @@ def _first_index(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     place = F.row_number().over(Window.partitionBy("token").orderBy("row_id"))
     seen = listed.withColumn("place", place).filter(F.col("place") <= HOT + 1).withColumn("df", F.count("*").over(Window.partitionBy("token")))
     seen = materialize(seen.filter("df > 1").drop("place"), "jaccard-listing")
-    hot = materialize(seen.filter(F.col("df") > HOT).select("token").distinct(), "jaccard-hot")
+    hot = seen.filter(F.col("df") > HOT).select("token").distinct()
     return seen.filter(F.col("df") <= HOT), listed.join(_few(hot), "token").groupBy("row_id").agg(F.count("*").alias("hot"))
 
 
@@ -274,17 +274,14 @@ def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
         .drop("found", "hot", "held")
     )
     shape = materialize(shape, "jaccard-shape")
-    unsafe = materialize(
-        shape.filter("cold < n - floor((80 * n + 99) / 100) + 1 and 100 * reach >= 80 * n").select("row_id", "doc_id", "h1", "h2"), "jaccard-unsafe"
-    )
+    unsafe = shape.filter("cold < n - floor((80 * n + 99) / 100) + 1 and 100 * reach >= 80 * n").select("row_id", "doc_id", "h1", "h2")
     rest = _frequency_index(docs, unsafe)
     key = lambda k: F.struct(F.lit(k).alias("index"), F.col("token").alias("token")).alias("list")
     lists = cold.select(key(1), "row_id", "df", F.lit(None).cast("long").alias("seen")).unionByName(rest.select(key(2), "row_id", "df", F.col("reach").alias("seen")))
     lists = lists.join(shape.select("row_id", "n", "reach"), "row_id").withColumn("reach", F.least("reach", "seen")).drop("seen")
-    lists = materialize(_hopeful(lists), "jaccard-lists")
     # Members that share most with most others come first: an original before its copies.
-    score = materialize(lists.groupBy("row_id").agg(F.sum("df").alias("score")), "jaccard-score")
-    lists = materialize(lists.drop("df").join(score, "row_id"), "jaccard-lists")
+    score = F.sum("df").over(Window.partitionBy("row_id"))
+    lists = materialize(_hopeful(lists).withColumn("score", score).drop("df"), "jaccard-lists")
 
     size = lambda of: [F.col(of).alias("x"), F.col("n").alias("nx"), F.col("reach").alias("rx")]
     may = "row_id <> x and 100 * least(n, nx) >= 80 * greatest(n, nx) and 180 * least(reach, rx) >= 80 * (n + nx)"
@@ -347,7 +344,7 @@ def _placed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
     least = materialize(linked.groupBy("label").agg(F.min("least_id").alias("component_id")), "jaccard-least")
     component = linked.join(least, "label").select("class", F.col("label").alias("component"), "component_id")
     alone = first.join(labels.select(F.col("node").alias("class")), "class", "left_anti").select("class", F.col("class").alias("component"), F.col("least_id").alias("component_id"))
-    component = materialize(component.unionByName(alone), "jaccard-component")
+    component = component.unionByName(alone)
     member = rows.select("row_id", "doc_id", "n", "h1", "h2").join(same, "row_id", "left").withColumn("class", F.when(F.col("n") > 0, F.coalesce("class", "row_id")))
     return member, component
 
