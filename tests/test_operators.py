@@ -1,3 +1,4 @@
+import random
 from datetime import date
 
 import pytest
@@ -14,13 +15,62 @@ def rows(spark, data, schema):
 MESSAGES = "path string, seq long, role string, text string"
 
 
-def test_excerpt_examples():
-    assert windows.excerpt_of("TARGETabcdef", ["target"], 9) == ("TARGETab…", 0)
-    assert windows.excerpt_of("small", ["SMALL"], 20) == ("small", 0)
+def units(text):
+    return len(text.encode("utf-16-le")) // 2
+
+
+def plain_clip(text, term, cap):
+    """The rule of T.clipped over a list of UTF-16 units."""
+    data = text.encode("utf-16-le")
+    whole = lambda a, b: data[2 * a : 2 * b].decode("utf-16-le", "ignore")
+    total, found = units(text), text.lower().find(term)
+    if total <= cap:
+        return text, 0
+    if found < 0:
+        return whole(0, max(0, cap - 1)) + "…", 0
+    if cap < 3:
+        return "…" * min(cap, 1), 0
+    at, size = units(text[:found]), units(term)
+    begin = min(max(0, at - max(0, cap - 2 - size) // 2), total - cap + 1)
+    begin += 0xDC <= data[2 * begin + 1] <= 0xDF
+    room = cap - (begin > 0)
+    cut = total - begin > room
+    return "…" * (begin > 0) + whole(begin, begin + room - cut) + "…" * cut, begin
+
+
+def clip(spark, texts, terms, cap):
+    df = rows(spark, [(k, t) for k, t in enumerate(texts)], "k long, text string").select("k", T.clipped(F.col("text"), terms, F.lit(cap)).alias("c"))
+    return [(r.c.body, r.c.start) for r in df.orderBy("k").collect()]
+
+
+def test_clip_examples(spark):
     text = "x" * 50 + "needle" + "y" * 50
-    assert windows.excerpt_of(text, ["needle"], 20) == ("…" + "x" * 6 + "needle" + "y" * 6 + "…", 44)
-    assert windows.excerpt_of("abc", ["zzz"], 2) is None
-    assert windows.prefix("a😀b", 2) == "a"
+    assert clip(spark, ["TARGETabcdef"], ["target"], 9) == [("TARGETab…", 0)]
+    assert clip(spark, ["small"], ["SMALL"], 20) == [("small", 0)]
+    assert clip(spark, [text], ["zzz", "needle"], 20) == [("…" + "x" * 6 + "needle" + "y" * 6 + "…", 44)]
+    assert clip(spark, ["a😀b"], [], 3) == [("a…", 0)]
+    assert clip(spark, ["İİİİ needle and more"], ["needle"], 12)[0][0].startswith("…")
+
+
+def test_clip_against_plain(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab😀é. ") for _ in range(rng.randrange(30))) for _ in range(300)]
+    for cap in (0, 1, 2, 3, 7, 12):
+        got = clip(spark, texts, ["ab"], cap)
+        assert got == [plain_clip(t, "ab", cap) for t in texts]
+
+
+def plain_page(texts, start, limit, cap, budget, term):
+    shown, used = [], 0
+    for idx, text in enumerate(texts):
+        if idx < start:
+            continue
+        if len(shown) >= limit or used >= budget:
+            return shown, idx
+        body, at = plain_clip(text, term, min(cap, budget - used))
+        used += units(body)
+        shown.append((idx, body, units(text), at))
+    return shown, None
 
 
 def test_page_follows_budget(spark):
@@ -28,16 +78,45 @@ def test_page_follows_budget(spark):
     page = windows.pages(events, start=1, limit=1, cap=4).collect()
     assert [(r.idx, r.body, r.original_chars, r.next_event) for r in page] == [(4, "a l…", 13, 8)]
     two = rows(spark, [("p", 0, "12345"), ("p", 1, "67890")], "path string, idx long, text string")
-    tiny = windows.pages(two, budget=1).collect()
-    assert [(r.body, r.next_event) for r in tiny] == [("…", 1)]
-    full = windows.pages(two).collect()
-    assert [r.next_event for r in full] == [None, None]
+    assert [(r.body, r.next_event) for r in windows.pages(two, budget=1).collect()] == [("…", 1)]
+    assert [r.next_event for r in windows.pages(two).collect()] == [None, None]
+
+
+def test_page_against_plain(spark):
+    rng = random.Random(5)
+    logs = {f"p{k}": ["".join(rng.choice("ab😀 ") for _ in range(rng.randrange(14))) for _ in range(rng.randrange(1, 12))] for k in range(150)}
+    events = rows(spark, [(p, k, t) for p, texts in logs.items() for k, t in enumerate(texts)], "path string, idx long, text string")
+    for limit, cap, budget in ((4, 6, 20), (99, 9, 31), (5, 2, 7), (3, 50, 1)):
+        got = {}
+        for r in windows.pages(events, 1, limit, cap, budget, ["ab"]).collect():
+            got.setdefault(r.path, ([], r.next_event))[0].append((r.idx, r.body, r.original_chars, r.start_char))
+        want = {p: plain_page(t, 1, limit, cap, budget, "ab") for p, t in logs.items()}
+        assert {p: (sorted(x), n) for p, (x, n) in got.items()} == {p: w for p, w in want.items() if w[0]}
 
 
-def test_pack_limits_events():
-    near = [(k, list(range(max(0, k - 2), min(75, k + 3)))) for k in range(75)]
-    assert windows.choose(near, 1200, 400) == [0, 1, 2]
-    assert windows.choose(near, 0, 400) == []
+def test_pack_limits_events(spark):
+    m = rows(spark, [("p", k, "user", "term") for k in range(75)] + [("q", k, "user", "term" if k == 40 else "no") for k in range(75)], MESSAGES)
+    got = {}
+    for r in windows.packed(m, ["term"], 1200, 400, 2).collect():
+        got.setdefault(r.path, []).append((r.seq, r.n_kept))
+    assert {p: sorted(v) for p, v in got.items()} == {"p": [(0, 3), (1, 3), (2, 3)], "q": [(39, 3), (40, 3), (41, 3)]}
+
+
+def test_model_window_keeps_ends_and_best_match():
+    assert windows.shown_to_model([500] * 20, [0] * 10 + [3] + [0] * 9, 100) == [0, 1, 2, 10, 17, 18, 19]
+    # room for two more: the next best match, then a neighbour of the best
+    assert windows.shown_to_model([10] * 30, [0] * 12 + [1] + [0] * 7 + [2] + [0] * 9, 30 * 9) == [0, 1, 2, 12, 19, 20, 27, 28, 29]
+    # without a match, the earliest
+    assert windows.shown_to_model([10] * 30, [0] * 30, 30 * 8) == [0, 1, 2, 3, 4, 27, 28, 29]
+
+
+def test_model_window(spark):
+    m = rows(spark, [("long", k, "user", "needle" if k == 15 else "x" * 100) for k in range(30)] + [("short", k, "user", "x" * 1000) for k in range(8)], MESSAGES)
+    got = {}
+    for r in windows.question_window(m, ["needle"], 250).collect():
+        got.setdefault(r.path, []).append(r.seq)
+    assert sorted(got["short"]) == list(range(8))
+    assert sorted(got["long"]) == [0, 1, 2, 15, 27, 28, 29]
 
 
 def test_tail_keeps_newest(spark):
@@ -115,10 +194,20 @@ def test_fifo(spark):
     assert got == {3: 1, 6: 5, 7: None}
 
 
-def test_said_needs_two_lines(spark):
-    texts = rows(spark, [("a", "One two three four five.\nsix seven eight nine"), ("b", "one two three four five")], "path string, text string")
-    probe = said.probes(rows(spark, [(1, "* one, two three four FIVE\n- six seven eight nine")], "probe long, text string"))
+def test_said_needs_two_lines(spark, monkeypatch):
+    texts = rows(spark, [("a", "One two three four five.\nsix seven eight"), ("b", "one two three four five")], "path string, text string")
+    probe = said.probes(rows(spark, [(1, "* one, two three four FIVE\n- six seven eight")], "probe long, text string"))
     assert [(r.path, r.lines) for r in said.wrote(texts, probe).collect()] == [("a", 2)]
+    monkeypatch.setattr(said, "MAX_BROADCAST_ROWS", -1)
+    assert [(r.path, r.lines) for r in said.wrote(texts, probe).collect()] == [("a", 2)]
+
+
+def test_said_takes_the_longest_lines(spark):
+    text = "\n".join(f"line number {k} has these words" for k in range(12)) + "\nthe one that is longest of all of them"
+    found = said.probes(rows(spark, [(1, text)], "probe long, text string")).orderBy("line_no").collect()
+    assert len(found) == 8 and found[0].run.startswith("the one that") and found[1].run == "line number 0 has these words"
+    cut = said.probes(rows(spark, [(1, "rtial words stand at both ends of li")], "probe long, text string"), said.PASTED_WORDS, trim_edges=True).collect()
+    assert [r.run for r in cut] == ["words stand at both ends of"]
 
 
 def test_notes_rank_and_filter(spark):

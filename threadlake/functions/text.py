@@ -134,6 +134,51 @@ def excerpt(text: Column, terms: list[str], limit: int = 240) -> Column:
     return F.when(length <= limit, text).otherwise(cut)
 
 
+#: Follows a character of two UTF-16 units in ``units_of``; never part of a text.
+HALF = "\uffff"
+
+
+def units_of(text: Column) -> Column:
+    """A text in which a position is a UTF-16 unit: characters of two units are
+    followed by ``HALF``."""
+    return F.regexp_replace(text, r"([\x{10000}-\x{10FFFF}])", f"$1{HALF}")
+
+
+def _between(units: Column, start: Column, length: Column) -> Column:
+    """A stretch of ``units_of`` as plain text, without a half character at its end."""
+    cut = F.when(F.substring(units, start + length + 1, F.lit(1)) == HALF, length - 1).otherwise(length)
+    return F.replace(F.substring(units, start + 1, F.greatest(F.lit(0), cut)), F.lit(HALF), F.lit(""))
+
+
+def _aligned_lower(units: Column) -> Column:
+    """Lower case, unit for unit: the one letter that grows loses its dot."""
+    return F.lower(F.translate(units, "\u0130", "i"))
+
+
+def clipped(text: Column, terms: list[str], cap: Column) -> Column:
+    """struct(body, start): at most ``cap`` UTF-16 units of a text around the
+    earliest of the terms (or its beginning), with ellipses where it is cut."""
+    units, limit = units_of(text), cap.cast("int")
+    total, low = F.length(units), _aligned_lower(units)
+    wide = ["".join(c + HALF if ord(c) > 0xFFFF else c for c in t.replace("\u0130", "i")).lower() for t in terms if t]
+    spots = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(w)), F.struct((F.instr(low, w) - 1).alias("at"), F.lit(len(w)).alias("size"))) for w in wide]))
+    first = F.array_min(spots) if wide else F.lit(None).cast("struct<at:int,size:int>")
+    room = F.greatest(F.lit(0), limit - 2 - first["size"])
+    begin = F.least(F.greatest(F.lit(0), first["at"] - F.floor(room / 2).cast("int")), total - (limit - 1))
+    begin = F.when(F.substring(units, begin + 1, F.lit(1)) == HALF, begin + 1).otherwise(begin)
+    lead = F.when(begin > 0, 1).otherwise(0)
+    trail = F.when(total - begin > limit - lead, 1).otherwise(0)
+    dots = lambda shown: F.when(shown == 1, "…").otherwise("")
+    around = F.struct(F.concat(dots(lead), _between(units, begin, limit - lead - trail), dots(trail)).alias("body"), begin.alias("start"))
+    bare = lambda body: F.struct(body.alias("body"), F.lit(0).alias("start"))
+    return (
+        F.when(total <= limit, bare(text))
+        .when(first.isNull(), bare(F.concat(_between(units, F.lit(0), F.greatest(F.lit(0), limit - 1)), F.lit("…"))))
+        .when(limit < 3, bare(F.when(limit > 0, "…").otherwise("")))
+        .otherwise(around)
+    )
+
+
 def words(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")

@@ -63,103 +63,64 @@ def densities(messages: DataFrame, terms: list[str], context: int = 2) -> DataFr
     return measured.select("path", F.col("seq").alias("anchor"), "matches", "chars", rank.alias("rank"))
 
 
-def excerpt_of(text: str, terms: list[str], cap: int) -> tuple[str, int] | None:
-    """A cut of ``cap`` UTF-16 units around the earliest term; None without one."""
-    units = lambda s: len(s.encode("utf-16-le", "surrogatepass")) // 2
-    low = text.lower()
-    spots = [(low.find(t.lower()), len(t)) for t in terms if t and t.lower() in low]
-    if not spots:
-        return None
-    total = units(text)
-    if total <= cap:
-        return text, 0
-    if cap < 3:
-        return "…"[: min(cap, 1)], 0
-    at, size = min(spots)
-    if len(low) != len(text):  # a letter that grows when lowered: map back
-        grown, back = 0, 0
-        for k, c in enumerate(text):
-            if grown > at:
-                break
-            back, grown = k, grown + len(c.lower())
-        at = back
-    begin, width = units(text[:at]), units(text[at : at + size])
-    wanted = min(max(0, begin - max(0, cap - 2 - width) // 2), total - (cap - 1))
-    start, count = 0, 0
-    while count < wanted:
-        count += units(text[start])
-        start += 1
-    lead = 1 if count > 0 else 0
-    trail = 1 if total - count > cap - lead else 0
-    return ("…" if lead else "") + prefix(text[start:], cap - lead - trail) + ("…" if trail else ""), count
-
-
-def prefix(text: str, units: int) -> str:
-    """The first UTF-16 units of a text, never half a character."""
-    out, used = [], 0
-    for c in text:
-        used += 2 if ord(c) > 0xFFFF else 1
-        if used > units:
-            break
-        out.append(c)
-    return "".join(out)
-
-
-def clip(text: str, terms: list[str], cap: int) -> tuple[str, int]:
-    return excerpt_of(text, terms, cap) or (prefix(text, max(0, cap - 1)) + "…", 0)
-
-
-def _path_type(df: DataFrame) -> str:
-    return dict(df.dtypes)["path"]
-
+def pages(events: DataFrame, start: int = 0, limit: int | None = None, cap: int | None = None, budget: int | None = None, focus: list[str] = ()) -> DataFrame:
+    """path, idx, body, original_chars, start_char, clipped, next_event: the page
+    of each session's events (path, idx, text), bodies clipped to the cap and to
+    what is left of the budget; ``next_event`` is where the next page starts, or
+    null.
+
+    Only the first event that the budget cuts depends on the ones before, by the
+    sum of their clipped lengths. What is left behind it (a unit, where a cut
+    would have halved a character or there was no room for an ellipsis and
+    more) goes to one more event.
+    """
+    huge = 1 << 30
+    most, budget = min(cap or huge, budget or huge), budget or huge
+    by_event = Window.partitionBy("path").orderBy("idx")
+    rows = events.filter(F.col("idx") >= start).select("path", F.col("idx").cast("long").alias("idx"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("place", F.row_number().over(by_event))
+    if limit:
+        rows = rows.filter(F.col("place") <= limit + 1)
+    cost = T.utf16_length(T.clipped(F.col("text"), focus, F.lit(most))["body"])
+    rows = (
+        rows.withColumn("size", T.utf16_length(F.col("text")))
+        .withColumn("left", F.lit(budget) - F.coalesce(F.sum(cost).over(by_event.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        .withColumn("short", F.least("size", F.lit(most)) > F.col("left"))
+        .withColumn("first_short", F.min(F.when(F.col("short"), F.col("place"))).over(Window.partitionBy("path")))
+        .withColumn("behind", F.col("place") - F.col("first_short"))
+        .filter(F.col("behind").isNull() | (F.col("behind") <= 2))
+    )
+    at_cut = F.greatest(F.lit(0), F.least(F.lit(most), F.col("left")))
+    cut = F.when(F.col("behind") == 0, F.col("left") - T.utf16_length(T.clipped(F.col("text"), focus, at_cut)["body"]))
+    rest = F.coalesce(F.lag(cut).over(by_event), F.lit(0))
+    rows = rows.withColumn("allowed", F.when(F.col("behind") == 1, rest).when(F.col("behind") == 2, 0).otherwise(at_cut))
+    rows = rows.withColumn("body", T.clipped(F.col("text"), focus, F.col("allowed")))
+    shown = (F.col("allowed") > 0) & (F.col("place") <= (limit or huge))
+    rows = rows.withColumn("next_event", F.min(F.when(~shown, F.col("idx"))).over(Window.partitionBy("path"))).filter(shown)
+    return rows.select(
+        "path", "idx", "body.body", F.col("size").alias("original_chars"), F.col("body.start").cast("long").alias("start_char"), (F.col("size") > F.col("allowed")).alias("clipped"), "next_event"
+    )
 
-PAGE = "path {}, idx long, body string, original_chars long, start_char long, clipped boolean, next_event long"
 
+def packed(messages: DataFrame, terms: list[str], budget: int, max_chars: int, context: int) -> DataFrame:
+    """path, seq, n_kept: the events of each session that a budget has room for.
 
-def pages(events: DataFrame, start: int = 0, limit: int | None = None, cap: int | None = None, budget: int | None = None, focus: list[str] = ()) -> DataFrame:
-    """The page of each session's events (path, idx, text): bodies clipped to the
-    cap and to what is left of the budget; ``next_event`` is where the next page
-    starts, or null.
-
-    Whether an event fits depends on how those before it were clipped, which is
-    a fold: events of one session go through it in order, session by session.
+    Every neighbourhood lists its events: the anchor, then other anchors, then
+    what is nearest. An event stands where it is listed first, and as many are
+    kept as could be shown with ``LEAST_CHARS`` (or the cap) and an allowance each.
     """
-    huge = 1 << 60
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        rows, used, following = [], 0, None
-        for path, idx, text in frame.sort_values("idx").itertuples(index=False):
-            if idx < start:
-                continue
-            left = max(0, (budget or huge) - used)
-            if len(rows) >= (limit or huge) or left == 0:
-                following = idx
-                break
-            most = min(cap or huge, left)
-            size = len(text.encode("utf-16-le", "surrogatepass")) // 2
-            body, at = (text, 0) if size <= most else clip(text, list(focus), most)
-            used += len(body.encode("utf-16-le", "surrogatepass")) // 2
-            rows.append((path, idx, body, size, at, size > most))
-        out = pd.DataFrame(rows, columns=["path", "idx", "body", "original_chars", "start_char", "clipped"])
-        return out.assign(next_event=pd.array([following] * len(out), dtype="Int64"))
-
-    return events.select("path", F.col("idx").cast("long").alias("idx"), F.coalesce("text", F.lit("")).alias("text")).groupBy("path").applyInPandas(fold, PAGE.format(_path_type(events)))
-
-
-def choose(neighbourhoods: list[tuple[int, list[int]]], budget: int, max_chars: int) -> list[int]:
-    """Events to pack: anchors by rank, each followed by its neighbours, other
-    anchors first, then the nearest, until the budget's event count is reached."""
-    if budget <= 0:
-        return []
-    most = max(1, budget // (min(max_chars, 200) + EVENT_ALLOWANCE))
-    anchors = {a for a, _ in neighbourhoods}
-    keep: set[int] = set()
-    for anchor, members in neighbourhoods:
-        for event in [anchor, *sorted(members, key=lambda m: (m not in anchors, abs(m - anchor), m))]:
-            if len(keep) >= most:
-                return sorted(keep)
-            keep.add(event)
-    return sorted(keep)
+    most = max(1, budget // (min(max_chars, LEAST_CHARS) + EVENT_ALLOWANCE))
+    ranked = densities(messages, terms, context)
+    base = visible(messages).filter((F.col("role") != "user") | T.is_prompt(F.col("text")))
+    base = base.select("path", "seq", F.row_number().over(Window.partitionBy("path").orderBy("seq")).alias("pos"))
+    base = base.join(ranked.select("path", F.col("anchor").alias("seq"), "rank"), ["path", "seq"], "left")
+    # as many anchors as events fill the room by themselves
+    near = base.filter(F.col("rank") <= most).select("path", F.col("seq").alias("anchor"), F.col("rank").alias("turn"), F.explode(F.sequence(F.col("pos") - context, F.col("pos") + context)).alias("pos"))
+    listed = base.join(near, ["path", "pos"])
+    order = F.struct("turn", F.col("seq") != F.col("anchor"), F.col("rank").isNull(), F.abs(F.col("seq") - F.col("anchor")), "seq")
+    first = listed.groupBy("path", "seq").agg(F.min(order).alias("order"))
+    kept = first.withColumn("place", F.row_number().over(Window.partitionBy("path").orderBy("order"))).filter(F.col("place") <= most)
+    return kept.select("path", "seq", F.count("*").over(Window.partitionBy("path")).alias("n_kept"))
 
 
 def pack(messages: DataFrame, terms: list[str], budget: int = 12000, max_chars: int = 1200, context: int = 2, sessions: int = 3) -> DataFrame:
@@ -169,51 +130,70 @@ def pack(messages: DataFrame, terms: list[str], budget: int = 12000, max_chars:
 
     best = relaxed(messages, terms, sessions)
     rows = messages.join(F.broadcast(best.select("path")), "path", "left_semi")  # ``sessions`` rows
-    ranked = densities(rows, terms, context)
-    base = visible(rows).filter((F.col("role") != "user") | T.is_prompt(F.col("text")))
-    joined = base.select("path", "seq", "text").join(ranked.select("path", F.col("anchor").alias("seq"), "rank"), ["path", "seq"], "left")
     share = budget // sessions
+    kept = packed(rows, terms, share, max_chars, context)
+    each = F.least(F.lit(max_chars), F.floor(F.lit(share) / F.col("n_kept")))
+    body = T.clipped(F.col("text"), terms, each)["body"]
+    return rows.join(kept, ["path", "seq"]).select("path", F.col("seq").cast("long").alias("idx"), body.alias("body"), T.utf16_length(F.col("text")).alias("original_chars"))
+
+
+BOOKENDS = 3
+MESSAGE_COST = 20
+
+
+def shown_to_model(sizes: list[int], scores: list[int], limit: float) -> list[int]:
+    """Places of the messages that fit ``limit`` characters: both ends and the
+    best match in any case, then matches from the best on, rings of growing
+    radius around those taken, and what comes earliest."""
+    n = len(sizes)
+    ends = [*range(min(BOOKENDS, n)), *range(max(0, n - BOOKENDS), n)]
+    taken, used = set(), 0
+
+    def take(place: int, always: bool = False) -> bool:
+        nonlocal used
+        cost = sizes[place] + MESSAGE_COST
+        if place in taken or not (always or used + cost <= limit):
+            return False
+        taken.add(place)
+        used += cost
+        return True
+
+    for place in ends:
+        take(place, always=True)
+    hubs = []
+    for place in sorted((k for k in range(n) if scores[k]), key=lambda k: -scores[k]):
+        if take(place, always=not hubs) or place in taken:
+            hubs.append(place)
+    for radius in range(1, n):
+        ring = [p for hub in hubs for p in (hub - radius, hub + radius) if 0 <= p < n]
+        if used >= limit or not any([take(p) for p in ring]):
+            break
+    for place in range(n):
+        take(place)
+    return sorted(taken)
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("seq").reset_index(drop=True)
-        seqs = frame["seq"].tolist()
-        anchors = frame.dropna(subset=["rank"]).sort_values("rank").index.tolist()
-        near = [(seqs[p], seqs[max(0, p - context) : p + context + 1]) for p in anchors]
-        keep = choose(near, share, max_chars)
-        rows, used = [], 0
-        each = min(max_chars, share // len(keep)) if keep else 0
-        for path, seq, text in frame[["path", "seq", "text"]].itertuples(index=False):
-            if seq in keep and used < share:
-                size = len(text.encode("utf-16-le", "surrogatepass")) // 2
-                body = text if size <= each else clip(text, terms, each)[0]
-                used += len(body.encode("utf-16-le", "surrogatepass")) // 2
-                rows.append((path, seq, body, size))
-        return pd.DataFrame(rows, columns=["path", "idx", "body", "original_chars"])
-
-    return joined.groupBy("path").applyInPandas(fold, f"path {_path_type(messages)}, idx long, body string, original_chars long")
-
-
-def question_window(messages: DataFrame, words: list[str], limit: int) -> DataFrame:
-    """path, seq: what of each conversation to show a model with ``limit``
-    characters: all of it if it fits, else the messages that match most, three
-    at either end, then neighbours of matches at growing distance, then the
-    earliest of the rest."""
+
+def question_window(messages: DataFrame, words: list[str], token_budget: int) -> DataFrame:
+    """path, seq: what of each conversation to show a model that takes
+    ``token_budget`` tokens of four characters: all of it if it fits or has few
+    messages, else a window of 80 percent of that (``shown_to_model``).
+
+    Whether a message fits depends on all taken before, which is a fold; lengths
+    and scores alone go through it, a few bytes a message.
+    """
+    whole = Window.partitionBy("path")
+    rows = visible(messages).select(
+        "path",
+        "seq",
+        T.utf16_length(F.coalesce("text", F.lit(""))).alias("size"),
+        sum((F.coalesce(T.has(F.col("text"), w), F.lit(False)).cast("int") for w in words), F.lit(0)).alias("score"),
+    )
+    rows = rows.withColumn("fits", (F.ceil(F.sum("size").over(whole) / 4) <= token_budget) | (F.count("*").over(whole) <= 2 * BOOKENDS + 2))
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("seq").reset_index(drop=True)
-        texts, n = frame["text"].fillna("").tolist(), len(frame)
-        size = [len(t) for t in texts]
-        if sum(size) > limit:
-            score = [sum(w in t.lower() for w in words) for t in texts]
-            matches = sorted((k for k in range(n) if score[k]), key=lambda k: -score[k])
-            order = [*matches, *range(min(3, n)), *range(max(0, n - 3), n)]
-            order += [k + d for r in range(1, n) for k in matches for d in (-r, r) if 0 <= k + d < n]
-            keep, used = set(), 0
-            for k in dict.fromkeys([*order, *range(n)]):
-                if used + size[k] <= limit:
-                    keep.add(k)
-                    used += size[k]
-            frame = frame.loc[sorted(keep)]
-        return frame[["path", "seq"]]
-
-    return visible(messages).select("path", "seq", "text").groupBy("path").applyInPandas(fold, f"path {_path_type(messages)}, seq long")
+        frame = frame.sort_values("seq")
+        return frame[["path", "seq"]].iloc[shown_to_model(frame["size"].tolist(), frame["score"].tolist(), token_budget * 4 * 0.8)]
+
+    kinds = dict(messages.dtypes)
+    long = rows.filter(~F.col("fits")).groupBy("path").applyInPandas(fold, f"path {kinds['path']}, seq {kinds['seq']}")
+    return rows.filter("fits").select("path", "seq").unionByName(long)

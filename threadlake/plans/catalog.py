@@ -215,15 +215,47 @@ def pack_density(spark, sf_dir):
     return windows.densities(A.messages(spark, sf_dir), TERMS)
 
 
-@query()
+def _clip_sql(text: str, cap: str, terms: list[str]) -> tuple[str, str]:
+    """Body and start of ``T.clipped`` for texts without characters of two units."""
+    spots = ", ".join(f"CASE WHEN contains(lower({text}), '{t}') THEN {{'at': instr(lower({text}), '{t}') - 1, 'size': {len(t)}}} END" for t in terms)
+    spot = f"list_min(list_filter([{spots}], lambda s: s IS NOT NULL))"
+    begin = f"least(greatest(0, {spot}.at - (greatest(0, {cap} - 2 - {spot}.size) // 2)), length({text}) - ({cap} - 1))"
+    room = f"({cap} - CASE WHEN {begin} > 0 THEN 1 ELSE 0 END)"
+    trail = f"length({text}) - {begin} > {room}"
+    around = f"CASE WHEN {begin} > 0 THEN '…' ELSE '' END || substr({text}, {begin} + 1, {room} - CASE WHEN {trail} THEN 1 ELSE 0 END) || CASE WHEN {trail} THEN '…' ELSE '' END"
+
+    def cases(whole: str, bare: str, tiny: str, cut: str) -> str:
+        return f"CASE WHEN length({text}) <= {cap} THEN {whole} WHEN {spot} IS NULL THEN {bare} WHEN {cap} < 3 THEN {tiny} ELSE {cut} END"
+
+    body = cases(text, f"substr({text}, 1, greatest(0, {cap} - 1)) || '…'", f"CASE WHEN {cap} > 0 THEN '…' ELSE '' END", around)
+    return body, cases("0", "0", "0", begin)
+
+
+_PACK_BODY, _ = _clip_sql("c.text", "each_", [t.lower() for t in TERMS])
+
+
+@query(f"""
+WITH d AS ({ORACLE_SQL["pack_density"]}), best AS ({_relaxed_sql(_BOTH, 3)}),
+m AS (
+  SELECT conv_id AS path, turn AS seq, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos
+  FROM conversations WHERE {VISIBLE} AND (role <> 'user' OR (trim(text) <> '' AND NOT ({_PREFIX_SQL}))) AND conv_id IN (SELECT path FROM best)
+), l AS (
+  SELECT m.path, m.seq, row_number() OVER (PARTITION BY m.path ORDER BY d.rank, m.seq <> d.anchor, o.rank IS NULL, abs(m.seq - d.anchor), m.seq) AS listed
+  FROM d JOIN m a ON d.path = a.path AND d.anchor = a.seq JOIN m ON m.path = a.path AND m.pos BETWEEN a.pos - 2 AND a.pos + 2 LEFT JOIN d o ON o.path = m.path AND o.anchor = m.seq
+), f AS (SELECT path, seq, row_number() OVER (PARTITION BY path ORDER BY min(listed)) AS place FROM l GROUP BY path, seq),
+k AS (SELECT path, seq, least(1200, 4000 // count(*) OVER (PARTITION BY path)) AS each_ FROM f WHERE place <= 10)
+SELECT k.path, k.seq::BIGINT AS idx, {_PACK_BODY} AS body, length(c.text)::BIGINT AS original_chars FROM k JOIN conversations c ON c.conv_id = k.path AND c.turn = k.seq
+""")
 def pack_budget(spark, sf_dir):
     return windows.pack(A.messages(spark, sf_dir), TERMS)
 
 
 @query("""
 WITH l AS (
-  SELECT item_id, list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda x: list_filter(regexp_split_to_array(lower(x), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')), lambda x: len(x) >= 4)) AS lines FROM benchmark
-), p AS (SELECT item_id AS probe, array_to_string(unnest(lines), ' ') AS run, least(2, len(lines)) AS needed FROM l),
+  SELECT item_id, i, list_filter(regexp_split_to_array(lower(x), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS line
+  FROM (SELECT item_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM benchmark)
+), k AS (SELECT item_id, line, row_number() OVER (PARTITION BY item_id ORDER BY len(line) DESC, min(i)) AS n FROM l WHERE len(line) >= 3 GROUP BY item_id, line),
+p AS (SELECT item_id AS probe, array_to_string(line, ' ') AS run, least(2, count(*) OVER (PARTITION BY item_id)) AS needed FROM k WHERE n <= 8),
 d AS (SELECT doc_id, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> ''), ' ') || ' ' AS w FROM documents)
 SELECT probe, doc_id AS path, count(*) AS lines FROM p JOIN d ON contains(d.w, ' ' || p.run || ' ') GROUP BY probe, doc_id, needed HAVING count(*) >= needed
 """)
@@ -266,14 +298,31 @@ def events_counts(spark, sf_dir):
     return A.tool_events(spark, sf_dir).groupBy("path").agg(F.count_if(F.col("kind") == "tool_call").alias("tool_calls"), F.count_if(F.col("kind") == "tool_result").alias("tool_results"))
 
 
-@query()
+_PAGE_BODY, _PAGE_START = _clip_sql("e.text", "least(120, 300 - r.used)", [TERM.lower()])
+
+
+@query(f"""
+WITH RECURSIVE e AS (
+  SELECT conv_id AS path, turn AS idx, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE turn >= 1
+), r AS (
+  SELECT DISTINCT path, 0::BIGINT AS n, 0::BIGINT AS idx, '' AS body, 0::BIGINT AS start_char, 0::BIGINT AS original_chars, false AS clipped, 0::BIGINT AS used FROM e
+  UNION ALL
+  SELECT path, n, idx, body, start_char, original_chars, clipped, used + length(body) FROM (
+    SELECT e.path, e.n, e.idx, {_PAGE_BODY} AS body, {_PAGE_START} AS start_char, length(e.text) AS original_chars, length(e.text) > least(120, 300 - r.used) AS clipped, r.used
+    FROM r JOIN e ON e.path = r.path AND e.n = r.n + 1 WHERE r.n < 4 AND r.used < 300)
+), x AS (SELECT path, max(n) AS last FROM r GROUP BY path)
+SELECT r.path, r.idx, r.body, r.original_chars, r.start_char, r.clipped, e.idx AS next_event
+FROM r JOIN x USING (path) LEFT JOIN e ON e.path = x.path AND e.n = x.last + 1 WHERE r.n > 0
+""")
 def events_page(spark, sf_dir):
     return windows.pages(A.messages(spark, sf_dir).withColumnRenamed("seq", "idx"), start=1, limit=4, cap=120, budget=300, focus=[TERM])
 
 
-@query()
+@query(f"SELECT conv_id AS path, turn AS seq FROM conversations WHERE {VISIBLE} QUALIFY count(*) OVER (PARTITION BY conv_id) <= 8")
 def query_window(spark, sf_dir):
-    return windows.question_window(A.messages(spark, sf_dir), ["the", "tion"], 1500)
+    """Conversations of the tables have eight messages at most, which are shown
+    whole; windows of longer ones are tested against a plain version."""
+    return windows.question_window(A.messages(spark, sf_dir), ["the", "tion"], 375)
 
 
 _EVENTS = """
