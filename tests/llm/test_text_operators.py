@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import plain_versions as plain
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -101,20 +102,6 @@ def test_empty_tables(spark, odd):
     assert language.identify(none).count() == 0
 
 
-def _plain_measures(text):
-    text = text or ""
-    words = text.encode().split()
-    lines, dups, seen = [x for x in text.split("\n") if x.encode().split()], 0, set()
-    for line in lines:
-        dups += line in seen
-        seen.add(line)
-    grams: dict = {}
-    for k in range(len(words) - 4):
-        grams.setdefault(tuple(words[k : k + 5]), []).append(k)
-    repeated = {k + d for at in grams.values() if len(at) > 1 for k in at for d in range(5)}
-    return [len(words), sum(len(w.decode()) for w in words), sum(text.count(c) for c in "#*$%&|<>"), len(lines), dups, len(repeated)]
-
-
 lines = st.lists(st.sampled_from(["a b c d e", "a b c d e f", "", " ", "é # x", "one\ttwo\r", "\x1c"]), max_size=9).map("\n".join)
 
 
@@ -124,7 +111,7 @@ def test_measures(texts):
     import pyarrow as pa
 
     got = quality._measure(pa.array(texts, pa.string()))
-    assert [list(map(int, m)) for m in zip(*got)] == [_plain_measures(t) for t in texts]
+    assert [list(map(int, m)) for m in zip(*got)] == [plain.measures(t) for t in texts]
 
 
 def test_ledger_policies_and_ablation(odd):
@@ -167,15 +154,35 @@ def test_language_parse_counts_phrases():
 
 
 def _plain_phrases(sample, text):
-    count, at = 1, ""
-    for c in text:
-        if at + c in sample:
-            at += c
-        else:
-            count, at = count + 1, c if c in sample else ""
+    """Longest matches from left to right; a letter the sample has not is one."""
+    count = at = 0
+    while at < len(text):
+        end = at + 1
+        while end < len(text) and text[at : end + 1] in sample:
+            end += 1
+        count, at = count + 1, end
     return count
 
 
+def test_language_phrases_cross_stretches():
+    """Phrases longer than a stretch, and none cut by one."""
+    rng = random.Random(5)
+    sample = "".join(rng.choice("abcde ") for _ in range(1500))
+    sample = " ".join(sample.split())
+    parser = language.CrossParser((("a", sample), ("b", "xyz abc")))
+    texts = [sample * 3, "x" * 700, sample[5:900] + "q" + sample, "".join(rng.choice("abcdexyz") for _ in range(3000))]
+    count, _ = parser.phrases(texts)
+    assert count.tolist() == [[_plain_phrases(s, t) for t in texts] for s in (sample, "xyz abc")]
+
+
+def test_language_sample_is_spread_and_bounded(spark):
+    """One long text is one passage of the sample; rows equal in id and text count once."""
+    rows = [(k, f"word{k} " * 50, "aa") for k in range(30)] + [(100, "zz " * 40_000, "aa")] + [(7, "same text", "bb")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = dict(language.training_sample(docs))
+    assert max(map(len, sample["aa"])) <= language.PASSAGE and len(sample["aa"]) > 15 and len(sample.get("bb", [""])) == 1
+
+
 @pytest.mark.parametrize("dense_bytes", [1 << 27, 0])
 def test_language_keeps_every_letter(monkeypatch, dense_bytes):
     """Scripts of many letters share no table: each is told by its own letters."""

@@ -4,11 +4,13 @@ Patterns find the base spans. Around them a field over the document's tokens
 that hold a digit or an @ (and words equal to the name of a mailbox in it) looks
 for what the patterns miss. It has a node per token with a label (none, email,
 ip, card, phone), chain potentials between tokens that stand next to each other,
-and skip potentials between distant tokens that are alike: the same digits or
-name, the same last four digits, the same first three dotted numbers. The tokens
-of one likeness hang on a hub of their own, so evidence goes from any mention to
+and skip potentials between distant tokens that are alike: the same name, the
+same last four digits, or the same first three dotted numbers. The tokens of one
+likeness hang on a hub of their own, so evidence goes from any mention to
 any other in two steps however many stand between, and a token repeated n times
-has n edges. Tokens inside base spans are observed. Loopy sum-product message
+has n edges. Tokens inside base spans are observed, and so is a hub that such tokens hang on:
+it has the label of most of them, as a rule's match names its entity for good,
+however many free tokens look like nothing. Loopy sum-product message
 passing, damped, runs until no message moves by more than ``SETTLED`` or for
 ``MOST_ROUNDS`` rounds; free tokens whose belief reaches ``CONFIDENT`` become
 added spans.
@@ -157,18 +159,15 @@ def features(text: str, bounds: list[tuple[int, int]]) -> np.ndarray:
     return np.array(rows, dtype=np.float64).reshape(len(bounds), FEATURES)
 
 
-def likenesses(token: str) -> Iterator[tuple[int, str]]:
-    """(kind of likeness, key); tokens that share one are alike."""
+def likeness(token: str) -> tuple[int, str] | None:
+    """(kind of likeness, key); tokens of one key are alike."""
     if "@" in token or any(c.isalpha() for c in token):
-        yield 0, token.split("@")[0].lower()
-        return
-    d = _digits(token)
-    if len(d) >= 4:
-        yield 0, d
-        yield 1, d[-4:]
+        return 0, token.split("@")[0].lower()
     parts = token.split(".")
     if len(parts) >= 3:
-        yield 2, ".".join(parts[:3])
+        return 2, ".".join(parts[:3])
+    d = _digits(token)
+    return (1, d[-4:]) if len(d) >= 4 else None
 
 
 class Graph:
@@ -196,7 +195,7 @@ class Graph:
                 self.bounds.append((doc, a, b))
                 if k and GAP.fullmatch(text, bounds[k - 1][1], a):
                     chain.append((first + k - 1, first + k))
-                for key in likenesses(text[a:b]):
+                if key := likeness(text[a:b]):
                     alike.setdefault(key, []).append(first + k)
             for (kind, _), nodes in alike.items():
                 if len(nodes) > 1:
@@ -258,15 +257,26 @@ class Field:
             for to, labels, t, first in sides:
                 step = labels.T @ error[to]
                 pair[t] += 4.0 * ((step.T if first else step) - 1e-4 * pair[t])
+        # What a hub's label adds to all labels of a token alike is not learned
+        # above; with this, tokens without evidence of their own move no hub.
+        pair[1:] -= np.log(np.exp(pair[1:]).sum(axis=1, keepdims=True))
         return cls(node, pair)
 
+    def potentials(self, g: Graph) -> np.ndarray:
+        """Node potentials of all tokens and hubs; the observed ones are fixed."""
+        named = np.zeros((len(g.hub_kind), LABELS))
+        np.add.at(named, (g.member[:, 1], g.observed[g.member[:, 0]]), 1)
+        named[:, 0] = 0
+        label = np.concatenate([g.observed, named.argmax(axis=1)])
+        unary = np.concatenate([g.x @ self.node, np.zeros_like(named)])
+        seen = np.flatnonzero(label)
+        unary[seen] = -1e9  # more than any number of messages
+        unary[seen, label[seen]] = 0.0
+        return unary
+
     def beliefs(self, g: Graph) -> np.ndarray:
         """Label probabilities of every token after message passing."""
-        tokens_, hubs = len(g.x), len(g.hub_kind)
-        unary = np.concatenate([g.x @ self.node, np.zeros((hubs, LABELS))])
-        seen = np.flatnonzero(g.observed)
-        unary[seen] = -50.0
-        unary[seen, g.observed[seen]] = 0.0
+        tokens_, unary = len(g.x), self.potentials(g)
         if not len(g.edges):
             return _normal(unary[:tokens_])
         source = np.concatenate([g.edges[:, 0], g.edges[:, 1]])
