@@ -92,7 +92,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = marked.filter("col <> ''").select(
         F.when(mark, 0).otherwise(F.xxhash64(ascii_lower(F.col("col")))).alias("term_id"), "row_id", F.when(mark, F.col("n")).otherwise(F.col("pos") - F.col("lead")).alias("pos"), *only
     )
-    return materialize(rows.sortWithinPartitions("term_id", "row_id", "pos"), "postings")
+    # One number is sorted by radix; rows of a term keep their order of documents.
+    return materialize(rows.sortWithinPartitions("term_id"), "postings")
 
 
 def _frequency(index: DataFrame, phrases: DataFrame) -> DataFrame:
@@ -102,7 +103,7 @@ def _frequency(index: DataFrame, phrases: DataFrame) -> DataFrame:
     return materialize(found.groupBy("term_id").agg(F.count("*").alias("df")), "decon-frequency")
 
 
-def exact_matches(index: DataFrame, phrases: DataFrame, rarest: int = RAREST) -> DataFrame:
+def exact_matches(index: DataFrame, phrases: DataFrame, rarest: int = RAREST, frequency: DataFrame | None = None) -> DataFrame:
     """Every occurrence of every phrase: phrase_id, row_id, start, length.
 
     ``phrases`` has phrase_id, length, offset, term_id.
@@ -111,7 +112,7 @@ def exact_matches(index: DataFrame, phrases: DataFrame, rarest: int = RAREST) ->
     order = Window.partitionBy("phrase_id").orderBy("df", "offset")
     whole = Window.partitionBy("phrase_id")
     ranked = materialize(
-        phrases.join(_small(_frequency(index, phrases)), "term_id")
+        phrases.join(_small(frequency if frequency is not None else _frequency(index, phrases)), "term_id")
         .withColumn("present", F.count("*").over(whole))
         .filter("present = length")  # a phrase with a term that no text has cannot occur
         .withColumn("rarity", F.row_number().over(order))
@@ -144,7 +145,7 @@ def exact_matches(index: DataFrame, phrases: DataFrame, rarest: int = RAREST) ->
     return checked.unionByName(starts.filter(F.col("length") <= rarest))
 
 
-def proximity_matches(index: DataFrame, phrases: DataFrame, span: int = NEAR_SPAN) -> DataFrame:
+def proximity_matches(index: DataFrame, phrases: DataFrame, span: int = NEAR_SPAN, frequency: DataFrame | None = None) -> DataFrame:
     """(phrase_id, row_id, anchor) where all the phrase's distinct terms stand
     less than ``span`` words from the anchor, a posting of its rarest term (of
     equally rare ones the first as a string).
@@ -155,13 +156,13 @@ def proximity_matches(index: DataFrame, phrases: DataFrame, span: int = NEAR_SPA
     postings = index.filter("term_id <> 0").select("term_id", "row_id", "pos")
     whole = Window.partitionBy("phrase_id")
     terms = phrases.select("phrase_id", "term", "term_id").distinct().withColumn("n_terms", F.count("*").over(whole))
-    ranked = terms.join(_small(_frequency(index, phrases)), "term_id").withColumn("present", F.count("*").over(whole)).filter("present = n_terms")
+    ranked = terms.join(_small(frequency if frequency is not None else _frequency(index, phrases)), "term_id").withColumn("present", F.count("*").over(whole)).filter("present = n_terms")
     ranked = materialize(ranked.withColumn("rarity", F.row_number().over(whole.orderBy("df", "term"))).select("phrase_id", "term_id", "n_terms", "rarity"), "decon-near")
-    listed = lambda rarity: postings.join(_small(ranked.filter(F.col("rarity") == rarity).drop("rarity")), "term_id")
+    rare = materialize(postings.join(_small(ranked.filter("rarity <= 2")), "term_id"), "decon-rare")
     spread = F.explode(F.expr(f"array(pos div {span} - 1, pos div {span}, pos div {span} + 1)")).alias("block")
     close = F.abs(F.col("pos") - F.col("anchor")) < span
-    anchors = listed(1).select("phrase_id", "row_id", F.col("pos").alias("anchor"), "n_terms", F.expr(f"pos div {span}").alias("block"))
-    second = listed(2).select("phrase_id", "row_id", "pos", spread)
+    anchors = rare.filter("rarity = 1").select("phrase_id", "row_id", F.col("pos").alias("anchor"), "n_terms", F.expr(f"pos div {span}").alias("block"))
+    second = rare.filter("rarity = 2").select("phrase_id", "row_id", "pos", spread)
     met = anchors.filter("n_terms > 1").join(second, ["phrase_id", "row_id", "block"]).filter(close).select("phrase_id", "row_id", "anchor", "n_terms", "block").distinct()
     met = materialize(met.unionByName(anchors.filter("n_terms = 1")), "decon-anchors")
     rest = met.join(_small(ranked.filter("rarity > 2").select("phrase_id", "term_id")), "phrase_id")
@@ -181,7 +182,8 @@ def proximity_matches(index: DataFrame, phrases: DataFrame, span: int = NEAR_SPA
 def _judged(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, near: bool) -> DataFrame:
     phrases, items = phrases_of_items(benchmark)
     index = build_index(docs, id_col, text_col)
-    found = materialize(exact_matches(index, phrases), "decon-found")
+    frequency = _frequency(index, phrases)
+    found = materialize(exact_matches(index, phrases, frequency=frequency), "decon-found")
     before = Window.partitionBy("row_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     hit = (
         found.groupBy("row_id", "start")
@@ -204,7 +206,7 @@ def _judged(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, n
     verdict = ((F.col("n_hit") > 0) & (CONTAMINATED_ONE_IN * F.col("n_hit") >= F.col("n_words"))).alias("contaminated")
     if not near:
         return rows.select(*columns, "h1", "h2").select("*", verdict)
-    close = named(proximity_matches(index, phrases)).agg(F.count_distinct("item_id").alias("n_near_items"))
+    close = named(proximity_matches(index, phrases, frequency=frequency)).agg(F.count_distinct("item_id").alias("n_near_items"))
     rows = rows.join(close, "row_id", "left")
     return rows.select(*columns, F.coalesce("n_near_items", F.lit(0)).alias("n_near_items")).select("*", verdict)
 
