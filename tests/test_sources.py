@@ -70,13 +70,64 @@ def test_note_files(spark, tmp_path):
     assert [(r.project, r.name, r.text) for r in got] == [("p1", "a.md", "alpha")]
 
 
-@pytest.mark.parametrize("again", [False, True])
-def test_refresh_is_incremental(spark, tmp_path, again):
-    root, table, mark = tmp_path / "logs", str(tmp_path / "table"), str(tmp_path / "mark")
+def _texts(spark, table):
+    return sorted(r.text for r in refresh.messages(spark, table).collect())
+
+
+def test_refresh_follows_growing_logs(spark, tmp_path):
+    root, table = tmp_path / "my logs", str(tmp_path / "table")
+    root.mkdir()
+    assert refresh.refresh(spark, str(root), "claude", table) == {} and _texts(spark, table) == []
+    _log(root / "a.jsonl", _turn("1", None, "user", "one"))
+    _log(root / "sub/b.jsonl", _turn("1", None, "user", "two"))
+    assert refresh.refresh(spark, str(root), "claude", table) == {"new": 2}
+    assert refresh.refresh(spark, str(root), "claude", table) == {"same": 2}
+    # appended, with a last line that is still being written
+    with (root / "a.jsonl").open("a") as out:
+        out.write(json.dumps(_turn("2", "1", "assistant", "three")) + "\n" + json.dumps(_turn("3", "2", "user", "four"))[:30])
+    assert refresh.refresh(spark, str(root), "claude", table) == {"changed": 1, "same": 1}
+    assert _texts(spark, table) == ["one", "three", "two"]
+    with (root / "a.jsonl").open("a") as out:
+        out.write(json.dumps(_turn("3", "2", "user", "four"))[30:] + "\n")
+    refresh.refresh(spark, str(root), "claude", table, max_files=1)
+    assert _texts(spark, table) == ["four", "one", "three", "two"]
+    # rewritten shorter, and vanished
+    _log(root / "a.jsonl", _turn("1", None, "user", "anew"))
+    (root / "sub/b.jsonl").unlink()
+    assert refresh.refresh(spark, str(root), "claude", table) == {"changed": 1, "gone": 1}
+    assert _texts(spark, table) == ["anew"]
+    (root / "a.jsonl").unlink()
+    refresh.refresh(spark, str(root), "claude", table)
+    assert _texts(spark, table) == []
+
+
+def test_refresh_that_fails_leaves_the_table(spark, tmp_path, monkeypatch):
+    root, table = tmp_path / "logs", str(tmp_path / "table")
     _log(root / "a.jsonl", _turn("1", None, "user", "one"))
-    refresh.refresh(spark, str(root), "claude", table, mark)
-    _log(root / "b.jsonl", _turn("1", None, "user", "two"))
-    refresh.refresh(spark, str(root), "claude", table, mark)
-    if again:
-        refresh.refresh(spark, str(root), "claude", table, mark)
-    assert sorted(r.text for r in spark.read.parquet(table).collect()) == ["one", "two"]
+    refresh.refresh(spark, str(root), "claude", table)
+    _log(root / "a.jsonl", _turn("1", None, "user", "two"), _turn("2", "1", "user", "more"))
+    parse = transcripts.messages
+
+    def fails(found):
+        parse(found).write.mode("append").parquet(f"{table}/messages/batch=half")
+        raise OSError("lost before the list was written")
+
+    monkeypatch.setattr(transcripts, "messages", fails)
+    with pytest.raises(OSError):
+        refresh.refresh(spark, str(root), "claude", table)
+    monkeypatch.setattr(transcripts, "messages", parse)
+    assert _texts(spark, table) == ["one"]
+    refresh.refresh(spark, str(root), "claude", table)
+    assert _texts(spark, table) == ["more", "two"]
+
+
+def test_daily_activity_closes_days(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    rows = [("2024-01-01 10:00:00", "a"), ("2024-01-01 11:00:00", "a"), ("2024-01-05 00:00:00", "b")]
+    spark.createDataFrame(rows, "ts string, event_type string").write.json(str(tmp_path / "in"))
+    events = spark.readStream.schema("ts timestamp, event_type string").json(str(tmp_path / "in"))
+    query = refresh.daily_activity(events).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "mark")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).select(F.date_format("day.start", "yyyy-MM-dd"), "event_type", "n").collect()
+    assert [tuple(r) for r in got] == [("2024-01-01", "a", 2)]

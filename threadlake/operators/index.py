@@ -46,10 +46,8 @@ def totals(files: DataFrame, messages: DataFrame) -> DataFrame:
 
 def by_prefix(sessions: DataFrame, prefix: str) -> DataFrame:
     """path, n: sessions whose id starts with the prefix, and how many there are."""
-    from pyspark.sql import Window
-
     found = sessions.select("path").distinct().filter(F.startswith(F.col("path").cast("string"), F.lit(prefix)))
-    return found.withColumn("n", F.count("*").over(Window.partitionBy()))
+    return found.join(F.broadcast(found.agg(F.count("*").alias("n"))))  # one row
 
 
 def address(scheme: str, source, path):
@@ -79,10 +77,12 @@ def session_id(path):
 
 
 def exclude(sessions: DataFrame, names: list[str]) -> DataFrame:
-    """Sessions whose path, stem or id is not among the names."""
+    """Sessions whose path, stem or id is not among the names, by two joins on equality."""
+    if not names:
+        return sessions
     path = F.col("path").cast("string")
-    unwanted = sessions.sparkSession.createDataFrame([(n,) for n in dict.fromkeys(names)], "name string")
-    return sessions.join(F.broadcast(unwanted), (path == F.col("name")) | (session_id(path) == F.col("name")), "left_anti") if names else sessions
+    unwanted = F.broadcast(sessions.sparkSession.createDataFrame([(n,) for n in dict.fromkeys(names)], "name string"))  # as long as the argument
+    return sessions.join(unwanted, path == F.col("name"), "left_anti").join(unwanted, session_id(path) == F.col("name"), "left_anti")
 
 
 def resolve(sessions: DataFrame, argument: str) -> str:

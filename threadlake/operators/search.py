@@ -52,7 +52,8 @@ def recent_sessions(messages: DataFrame, since: str = "", limit: int = 10) -> Da
     """path, date, time_ms, total: newest first; undated sessions count as ''."""
     date = F.max(F.when(F.col("date").isin("", "unknown"), "").otherwise(F.col("date")))
     grouped = messages.groupBy("path").agg(date.alias("date"), F.max("time_ms").alias("time_ms")).filter(F.col("date") >= since)
-    return grouped.withColumn("total", F.count("*").over(Window.partitionBy())).orderBy(F.desc("date"), F.desc("time_ms"), F.asc("path")).limit(limit)
+    newest = grouped.orderBy(F.desc("date"), F.desc("time_ms"), F.asc("path")).limit(limit)
+    return newest.join(F.broadcast(grouped.agg(F.count("*").alias("total"))))  # one row
 
 
 def rows_with_words(messages: DataFrame, words: list[str], limit: int, role: str = "assistant") -> DataFrame:

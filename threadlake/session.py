@@ -49,6 +49,16 @@ def _delete(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def finished_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder that a write has finished, sorted."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(place):
+        return []
+    mark = lambda child: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(child, "_SUCCESS")
+    return sorted(s.getPath().getName() for s in store.listStatus(place) if s.isDirectory() and store.exists(mark(s.getPath())))
+
+
 def bound_batches(spark: SparkSession, size: int = 4 << 20) -> None:
     """Send rows to Python in batches of about so many bytes at most: a batch is
     held by the task and by its Python worker, and texts are long. The setting

@@ -24,8 +24,9 @@ EVENTS = (
 _NAMES = [c.split()[0] for c in EVENTS.split(", ")]
 
 
-def raw_lines(spark: SparkSession, root: str, source: str, glob: str = "*.jsonl") -> DataFrame:
-    """path, source, line, value: every line of every log below a folder."""
+def raw_lines(spark: SparkSession, root: str | list[str], source: str, glob: str = "*.jsonl") -> DataFrame:
+    """path, source, line, value: every line of every log below a folder, or of
+    the given files."""
     whole = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
     named = whole.select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "^﻿", "").alias("value"))
     lines = named.select("path", F.posexplode(F.split("value", "\r?\n", -1)).alias("pos", "value"))

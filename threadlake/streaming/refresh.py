@@ -1,52 +1,78 @@
-"""Incremental refresh as a stream: new log files go in once, by path.
+"""Incremental refresh of a messages table from a folder of logs that grow.
 
-``refresh`` takes whatever is new since its checkpoint (available-now), parses
-it and replaces the rows of the paths it saw. Files are replaced as a whole, so
-a batch that runs again after a failure writes the same rows.
+The table is append-only. ``files/version=N`` lists every log (path, size,
+mtime_ms) and the batch that holds its rows; ``messages/batch=...`` holds rows. A
+refresh lists the folder, compares it with the newest finished version, parses
+new and changed logs alone into a batch of its own and then writes the next
+version: its success mark is what makes the refresh count, so one that fails
+midway leaves the table as it was, and one that runs again does no harm. Logs are
+taken as a whole when their size or time changes, be they appended to, rewritten
+or cut; those that vanished leave the list. A last line that is still being
+written is no JSON yet and comes in with the change that completes it.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlake.operators import index
-from threadlake.session import materialize
+from threadlake.session import finished_folders, materialize
 from threadlake.sources import transcripts
 
-LINES = "value string"
-
-
-def refresh(spark: SparkSession, root: str, source: str, table: str, checkpoint: str, max_files: int = 1000) -> None:
-    """Bring the messages table (a Parquet folder) up to date with a folder of logs."""
-    stream = (
-        spark.readStream.format("text")
-        .option("wholetext", "true")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.jsonl")
-        .option("maxFilesPerTrigger", str(max_files))
-        .schema(LINES)
-        .load(root)
-        .select(F.col("_metadata.file_path").alias("path"), "value")
-    )
-
-    def apply(batch: DataFrame, _: int) -> None:
-        lines = batch.select("path", F.lit(source).alias("source"), F.posexplode(F.split("value", "\r?\n", -1)).alias("pos", "value"))
-        found = transcripts.events(lines.select("path", "source", (F.col("pos") + 1).cast("long").alias("line"), "value"))
-        fresh = materialize(transcripts.messages(found), "refresh")
-        session = batch.sparkSession
-        try:
-            old = session.read.parquet(table)
-        except Exception as error:  # first batch: there is no table yet
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-                raise
-            fresh.write.mode("overwrite").parquet(table)
-            return
-        merged = materialize(index.upsert(old, fresh, "path"), "refresh-merged")
-        merged.write.mode("overwrite").parquet(table)
-
-    query = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+FILES = "path string, size long, mtime_ms long, batch string"
+MESSAGES = "path string, seq long, role string, text string, date string, project string, batch string"
+
+
+def listing(spark: SparkSession, root: str, glob: str = "*.jsonl") -> DataFrame:
+    """path, size, mtime_ms of the logs below a folder, and the name to open each by."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
+    return files.select(F.col("_metadata.file_path").alias("path"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime_ms"), F.col("path").alias("file"))
+
+
+def _version(spark: SparkSession, table: str) -> int:
+    return max((int(name.partition("=")[2]) for name in finished_folders(spark, f"{table}/files")), default=0)
+
+
+def known_files(spark: SparkSession, table: str) -> DataFrame:
+    """The logs of the newest finished version."""
+    version = _version(spark, table)
+    return spark.read.schema(FILES).parquet(f"{table}/files/version={version:06d}") if version else spark.createDataFrame([], FILES)
+
+
+def messages(spark: SparkSession, table: str) -> DataFrame:
+    """The table's rows: of each listed log those of its own batch."""
+    if not _version(spark, table):
+        return spark.createDataFrame([], MESSAGES).drop("batch")
+    rows = spark.read.schema(MESSAGES).parquet(f"{table}/messages")
+    return rows.join(known_files(spark, table).select("path", "batch"), ["path", "batch"], "left_semi").drop("batch")
+
+
+def refresh(spark: SparkSession, root: str, source: str, table: str, max_files: int = 1000) -> dict[str, int]:
+    """Bring the table up to date; how many logs were new, changed, gone, same.
+
+    Logs are parsed ``max_files`` at a time; their names pass the driver, their
+    lines do not.
+    """
+    known, found = known_files(spark, table), materialize(listing(spark, root), "refresh-listing")
+    actions = materialize(index.delta(known, found), "refresh-delta")
+    counts = {r.action: r["count"] for r in actions.groupBy("action").count().collect()}
+    if not counts.keys() - {"same"}:
+        return counts
+    batch = uuid.uuid4().hex
+    wanted = found.join(actions.filter("action in ('new', 'changed')").select("path"), "path")
+    names = [r.file for r in wanted.select("file").orderBy("file").toLocalIterator()]
+    for at in range(0, len(names), max_files):
+        rows = transcripts.messages(transcripts.events(transcripts.raw_lines(spark, names[at : at + max_files], source)))
+        rows.write.mode("append").parquet(f"{table}/messages/batch={batch}")
+    if not names and not _version(spark, table):
+        return counts
+    same = known.join(actions.filter("action = 'same'").select("path"), "path")
+    fresh = wanted.select("path", "size", "mtime_ms", F.lit(batch).alias("batch"))
+    same.unionByName(fresh).write.parquet(f"{table}/files/version={_version(spark, table) + 1:06d}")
+    return counts
 
 
 def daily_activity(events: DataFrame, late: str = "1 day") -> DataFrame:
