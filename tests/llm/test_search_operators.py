@@ -193,6 +193,11 @@ def test_jaccard_one_id_for_many_texts(spark, monkeypatch):
     assert written["jaccard-texts"] and max(written["jaccard-texts"]) <= len(rows)
 
 
+def test_components_by_stars(spark, monkeypatch):
+    monkeypatch.setattr(components, "SMALL", -1)
+    test_components(spark)
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (5, 4), (6, 5), (9, 9), (3, 1)] + [(100 + k, 101 + k) for k in range(40)]
     got = {r.node: r.label for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}

@@ -124,17 +124,18 @@ def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return slim.withColumn("h1", F.xxhash64("text")).withColumn("h2", F.xxhash64(F.lit("second"), "text"))
 
 
-def _few(ids: DataFrame) -> DataFrame:
-    """A table of a few longs a row, broadcast if its counted rows are few enough."""
-    return F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
+def _few(rows: DataFrame, at_most: int | None = None) -> DataFrame:
+    """A table of a few longs a row, broadcast if its rows, counted or known to
+    be at most so many, are few enough."""
+    return F.broadcast(rows) if (rows.count() if at_most is None else at_most) <= MAX_BROADCAST_IDS else rows
 
 
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _texts(docs: DataFrame, wanted: DataFrame, at_most: int | None = None) -> DataFrame:
     """(row_id, text) of the wanted (row_id, doc_id, h1, h2), each once. ``docs``
     are hashed: a row meets the wanted one of its own id and text only. One
     class has one wanted row, so none but repeated rows meet the same; they are
     told apart by id and hashes before any text moves."""
-    small = _few(wanted.select("row_id", F.col("doc_id").alias("id__"), F.col("h1").alias("g1"), F.col("h2").alias("g2")))
+    small = _few(wanted.select("row_id", F.col("doc_id").alias("id__"), F.col("h1").alias("g1"), F.col("h2").alias("g2")), at_most)
     same = (docs["h1"] == small["g1"]) & (docs["h2"] == small["g2"]) & docs["doc_id"].eqNullSafe(small["id__"])
     return docs.join(small, same).select("row_id", "text").dropDuplicates(["row_id"])
 
@@ -217,15 +218,15 @@ def _within_bounds(counted: DataFrame, shape: DataFrame) -> DataFrame:
 def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """(a, b, shared, linked) of the pairs that pass orders two and three. The
     prefixes of the classes that are in a pair are cut out first."""
-    ids = pairs.select(F.col("a").alias("row_id")).union(pairs.select("b")).distinct()
-    info = classes.select("row_id", "n", "second", "third").join(_few(ids), "row_id", "left_semi")
+    rows = lambda of: of.select(F.col("a").alias("row_id")).union(of.select("b")).distinct()
+    info = classes.select("row_id", "doc_id", "h1", "h2", "n", "second", "third").join(_few(rows(pairs), 2 * pairs.count()), "row_id", "left_semi")
     info = materialize(info, "jaccard-prefixes")
     side = lambda s: info.select(F.col("row_id").alias(s), F.col("n").alias("n" + s), F.col("second").alias("second_" + s), F.col("third").alias("third_" + s))
     sized = pairs.join(side("a"), "a").join(side("b"), "b").filter("100 * least(na, nb) >= 80 * greatest(na, nb)")
     near = materialize(sized.mapInArrow(_passes, "a long, b long"), "jaccard-near")
-    wanted = near.select(F.col("a").alias("row_id")).union(near.select("b")).distinct()
-    wanted = classes.select("row_id", "doc_id", "h1", "h2").join(_few(wanted), "row_id", "left_semi")
-    texts = materialize(_texts(docs, materialize(wanted, "jaccard-wanted")), "jaccard-texts")
+    ends = 2 * near.count()
+    wanted = info.select("row_id", "doc_id", "h1", "h2").join(_few(rows(near), ends), "row_id", "left_semi")
+    texts = materialize(_texts(docs, wanted, ends), "jaccard-texts")
     named = lambda s: texts.select(F.col("row_id").alias(s), F.col("text").alias("text_" + s))
     return materialize(near.join(named("b"), "b").join(named("a"), "a").mapInArrow(_same_sets, "a long, b long, shared long, linked boolean"), "jaccard-compared")
 
@@ -250,8 +251,9 @@ def _first_index(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     place = F.row_number().over(Window.partitionBy("token").orderBy("row_id"))
     seen = listed.withColumn("place", place).filter(F.col("place") <= HOT + 1).withColumn("df", F.count("*").over(Window.partitionBy("token")))
     seen = materialize(seen.filter("df > 1").drop("place"), "jaccard-listing")
-    hot = seen.filter(F.col("df") > HOT).select("token").distinct()
-    return seen.filter(F.col("df") <= HOT), listed.join(_few(hot), "token").groupBy("row_id").agg(F.count("*").alias("hot"))
+    hot = seen.filter(F.col("df") > HOT)
+    known = hot.count() // (HOT + 1)
+    return seen.filter(F.col("df") <= HOT), listed.join(_few(hot.select("token").distinct(), known), "token").groupBy("row_id").agg(F.count("*").alias("hot"))
 
 
 def _hopeful(lists: DataFrame) -> DataFrame:
@@ -340,10 +342,10 @@ def _placed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
     same = materialize(slim.join(first.filter("k > 1"), ["fp1", "fp2"]).filter("row_id <> class").select("row_id", "class"), "jaccard-same")
     classes = rows.join(_few(same.select("row_id")), "row_id", "left_anti")
     labels = link_classes(_hashed(docs, id_col, text_col), classes)
-    linked = materialize(first.select("class", "least_id").join(labels.withColumnRenamed("node", "class"), "class"), "jaccard-linked")
-    least = materialize(linked.groupBy("label").agg(F.min("least_id").alias("component_id")), "jaccard-least")
-    component = linked.join(least, "label").select("class", F.col("label").alias("component"), "component_id")
-    alone = first.join(labels.select(F.col("node").alias("class")), "class", "left_anti").select("class", F.col("class").alias("component"), F.col("least_id").alias("component_id"))
+    labels = labels.withColumnRenamed("node", "class")
+    least = materialize(labels.join(first.select("class", "least_id"), "class").groupBy("label").agg(F.min("least_id").alias("component_id")), "jaccard-least")
+    component = labels.join(least, "label").select("class", F.col("label").alias("component"), "component_id")
+    alone = first.join(labels.select("class"), "class", "left_anti").select("class", F.col("class").alias("component"), F.col("least_id").alias("component_id"))
     component = component.unionByName(alone)
     member = rows.select("row_id", "doc_id", "n", "h1", "h2").join(same, "row_id", "left").withColumn("class", F.when(F.col("n") > 0, F.coalesce("class", "row_id")))
     return member, component
