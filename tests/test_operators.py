@@ -194,6 +194,15 @@ def test_fifo(spark):
     assert got == {3: 1, 6: 5, 7: None}
 
 
+def test_credential_is_not_cut():
+    key = "AKIA" + "A" * 16
+    block = "x" * 3990 + " " + key + " " + "y" * 3000
+    assert [t for _, t in notes.split_note("n", block)] == [block]
+    plain = [t for _, t in notes.split_note("n", "x" * 9000)]
+    assert [len(t) for t in plain] == [4000, 4000, 1000]
+    assert notes.holds_secret("a -----BEGIN RSA PRIVATE KEY-----") and not notes.holds_secret("sk-short")
+
+
 def test_said_needs_two_lines(spark, monkeypatch):
     texts = rows(spark, [("a", "One two three four five.\nsix seven eight"), ("b", "one two three four five")], "path string, text string")
     probe = said.probes(rows(spark, [(1, "* one, two three four FIVE\n- six seven eight")], "probe long, text string"))

@@ -100,9 +100,10 @@ def candidates(messages: DataFrame, terms: list[str], user_only: bool = False) -
 
 
 def relaxed(messages: DataFrame, terms: list[str], limit: int = 5, user_only: bool = False) -> DataFrame:
-    """path, score, matched: hits that match all terms the best hit matches."""
+    """path, score, matched: hits that match all terms the best hit matches; of
+    equal hits the newer first, where messages have a date."""
     ranked = candidates(messages, terms, user_only)
-    order = [F.desc("n_terms"), F.desc("score"), F.asc("path")]
+    order = [F.desc("n_terms"), F.desc("score"), *([F.desc("date")] if "date" in ranked.columns else []), F.asc("path")]
     required = F.first("matched").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))  # 40 rows at most
     kept = ranked.withColumn("required", required).filter(F.size(F.array_except("required", "matched")) == 0)
     return kept.orderBy(*order).limit(limit).select("path", "score", F.array_join("matched", "|").alias("matched"), F.array_join("required", "|").alias("required"))
@@ -140,11 +141,16 @@ def activity(messages: DataFrame) -> DataFrame:
 
 
 def recall(messages: DataFrame, description: str, extra: list[str] = (), limit: int = 30) -> DataFrame:
-    """path, n_keywords, score: candidates over the keywords of a description."""
+    """path, n_keywords, score: candidates over the keywords of a description; of
+    equal ones the newer first, where messages have a date."""
     words = keywords(description, extra)
-    scores = term_scores(messages, words)
-    merged = scores.groupBy("path").agg(F.count("*").alias("n_keywords"), F.sum("score").cast("long").alias("score"))
-    return merged.orderBy(F.desc("n_keywords"), F.desc("score"), F.asc("path")).limit(limit)
+    wide = _per_term(messages, distinct_terms(words))
+    users, others = [c for c in wide.columns if c[0] == "u"], [c for c in wide.columns if c[0] == "a"]
+    total = lambda names: sum((F.col(n) for n in names), F.lit(0))
+    met = sum(((F.col(u) + F.col(a) > 0).cast("long") for u, a in zip(users, others)), F.lit(0).cast("long"))
+    merged = wide.select("path", met.alias("n_keywords"), (USER_WEIGHT * total(users) + ASSISTANT_WEIGHT * total(others)).alias("score"), *([F.col("date")] if "date" in wide.columns else []))
+    order = [F.desc("n_keywords"), F.desc("score"), *([F.desc("date")] if "date" in merged.columns else []), F.asc("path")]
+    return merged.filter("n_keywords > 0").orderBy(*order).limit(limit).select("path", "n_keywords", "score")
 
 
 def judged(candidates: DataFrame, judge, threshold: float = 0.2, limit: int = 5, batch: int = 10) -> DataFrame:

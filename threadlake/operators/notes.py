@@ -176,10 +176,16 @@ def is_gated(name: str, text: str) -> str | None:
     return None
 
 
+def holds_secret(text: str) -> bool:
+    """``T.looks_secret`` of one string."""
+    shaped = (len(t) >= n and t.startswith(p) for t in re.split(r"[^A-Za-z0-9_-]+", text) for p, n in T.SECRET_PREFIXES)
+    return ("-----BEGIN" in text and "PRIVATE KEY" in text) or any(shaped)
+
+
 def split_note(title: str, text: str) -> list[tuple[str, str]]:
     """(title, text) chunks: sections at headings, packed from blocks at blank
     lines up to the target; fenced code is not cut at blank lines; blocks over
-    the limit are cut."""
+    the limit are cut, unless they hold a credential."""
     body = text.split("\n")[frontmatter(text)["body_start"] :]
     sections: list[tuple[str, list[str]]] = [(title, [])]
     fenced = False
@@ -205,7 +211,8 @@ def split_note(title: str, text: str) -> list[tuple[str, str]]:
         if block:
             blocks.append("\n".join(block))
         held = ""
-        for b in (piece for b in blocks for piece in (b[k : k + CHUNK_MOST] for k in range(0, len(b), CHUNK_MOST))):
+        # a block with a credential stays whole, so that no part of it escapes the filter
+        for b in (piece for b in blocks for piece in ([b] if holds_secret(b) else (b[k : k + CHUNK_MOST] for k in range(0, len(b), CHUNK_MOST)))):
             if held and len(held) + len(b) + 2 > CHUNK_TARGET:
                 out.append((name, held))
                 held = b

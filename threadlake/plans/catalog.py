@@ -156,6 +156,28 @@ def find_relaxed(spark, sf_dir):
     return find.relaxed(A.messages(spark, sf_dir), TERMS).select("path", "score")
 
 
+_DATED = "strftime(DATE '2024-01-01' + (path % 7)::INT, '%Y-%m-%d')"
+
+
+def _dated(spark, sf_dir):
+    """Conversations with a date each, many of them equal."""
+    date = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("path") % 7).cast("int")), "yyyy-MM-dd")
+    return A.messages(spark, sf_dir).withColumn("date", date)
+
+
+@query(_relaxed_sql(_BOTH, 40).replace("ORDER BY n_terms DESC, score DESC, path", f"ORDER BY n_terms DESC, score DESC, {_DATED} DESC, path"))
+def find_newest_of_equals(spark, sf_dir):
+    return find.relaxed(_dated(spark, sf_dir), TERMS, limit=40).select("path", "score")
+
+
+@query(f"""
+WITH {_terms(find.keywords(DESCRIPTION))}
+SELECT path, count(*) AS n_keywords, sum(5 * user_count + assistant_count)::BIGINT AS score FROM s GROUP BY path ORDER BY n_keywords DESC, score DESC, {_DATED} DESC, path LIMIT 30
+""")
+def recall_newest_of_equals(spark, sf_dir):
+    return find.recall(_dated(spark, sf_dir), DESCRIPTION)
+
+
 @query(_relaxed_sql(_USER))
 def find_user_only(spark, sf_dir):
     return find.relaxed(A.messages(spark, sf_dir), TERMS, user_only=True).select("path", "score")
@@ -533,12 +555,25 @@ def queue_store(spark, sf_dir):
 _SECRET_SQL = " OR ".join(f"(length(t) >= {n} AND starts_with(t, '{p}'))" for p, n in T.SECRET_PREFIXES)
 
 
+_SHAPED = "CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN text || ' AKIA' || upper(substr(md5(doc_id::VARCHAR), 1, 16)) WHEN 2 THEN text || ' ghp_' || md5(doc_id::VARCHAR) ELSE text || ' sk-' || substr(md5(doc_id::VARCHAR), 1, 20) END"
+
+
 @query(f"""
-SELECT doc_id AS path FROM documents WHERE (contains(text, '-----BEGIN') AND contains(text, 'PRIVATE KEY'))
+SELECT path FROM (SELECT doc_id AS path, {_SHAPED} AS text FROM documents)
+WHERE (contains(text, '-----BEGIN') AND contains(text, 'PRIVATE KEY'))
   OR len(list_filter(regexp_split_to_array(text, '[^A-Za-z0-9_-]+'), lambda t: {_SECRET_SQL})) > 0
 """)
 def secret_filter(spark, sf_dir):
-    return A.notes(spark, sf_dir).filter(T.looks_secret(F.col("text"))).select("path")
+    """Credentials of two shapes, and one too short, are written behind most texts."""
+    digest = F.md5(F.col("path").cast("string").cast("binary"))
+    text = F.col("text")
+    shaped = (
+        F.when(F.col("path") % 4 == 1, F.concat(text, F.lit(" AKIA"), F.upper(F.substring(digest, 1, 16))))
+        .when(F.col("path") % 4 == 2, F.concat(text, F.lit(" ghp_"), digest))
+        .when(F.col("path") % 4 == 3, F.concat(text, F.lit(" sk-"), F.substring(digest, 1, 20)))
+        .otherwise(text)
+    )
+    return A.notes(spark, sf_dir).withColumn("text", shaped).filter(T.looks_secret(F.col("text"))).select("path")
 
 
 @query("""
