@@ -86,7 +86,9 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     lead = (F.col("words")[0] == "").cast("int")
     tail = ((F.size("words") > 1) & (F.element_at("words", -1) == "")).cast("int")
-    marked = words.select("row_id", "doc_id", "h1", "h2", lead.alias("lead"), (F.size("words") - lead - tail).alias("n"), F.posexplode(F.array_append("words", F.lit(DOCUMENT_MARK))))
+    # posexplode would test the list for being empty first, and so cut the text twice
+    listed = F.posexplode_outer(F.array_append("words", F.lit(DOCUMENT_MARK)))
+    marked = words.select("row_id", "doc_id", "h1", "h2", lead.alias("lead"), (F.size("words") - lead - tail).alias("n"), listed)
     mark = F.col("col") == DOCUMENT_MARK
     only = [F.when(mark, F.col(c)).alias(c) for c in ("doc_id", "h1", "h2")]
     rows = marked.filter("col <> ''").select(

@@ -77,8 +77,9 @@ def trigram_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Stored postings (trigram, doc_id), each once a row, sorted by trigram in
     each segment."""
     held = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col).cast("string")), F.lit(ALL_TRIGRAMS), F.lit(1)))
-    postings = docs.select(F.col(id_col).alias("doc_id"), held.alias("held")).select(F.explode("held").alias("trigram"), "doc_id")
-    return materialize(postings.sortWithinPartitions("trigram"), "trigram-index")
+    # explode would test the list for being empty first, and so build it twice
+    postings = docs.select(F.col(id_col).alias("doc_id"), F.explode_outer(held).alias("trigram")).filter("trigram is not null")
+    return materialize(postings.select("trigram", "doc_id").sortWithinPartitions("trigram"), "trigram-index")
 
 
 def scanning(rules) -> int:
