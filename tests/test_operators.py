@@ -102,12 +102,48 @@ def test_pack_limits_events(spark):
     assert {p: sorted(v) for p, v in got.items()} == {"p": [(0, 3), (1, 3), (2, 3)], "q": [(39, 3), (40, 3), (41, 3)]}
 
 
-def test_model_window_keeps_ends_and_best_match():
-    assert windows.shown_to_model([500] * 20, [0] * 10 + [3] + [0] * 9, 100) == [0, 1, 2, 10, 17, 18, 19]
+def _window(spark, sizes, scores, limit):
+    """Places shown of one conversation whose window has ``limit`` characters."""
+    said = [("p", k, "user", ("qz" if s > 1 else "q" if s else "").ljust(n, "x")) for k, (n, s) in enumerate(zip(sizes, scores))]
+    found = windows.question_window(rows(spark, said, MESSAGES), ["q", "z"], limit / windows.CHARS_PER_TOKEN / windows.WINDOW_SHARE)
+    return sorted(r.seq for r in found.collect())
+
+
+def test_model_window_keeps_ends_and_best_match(spark):
+    assert _window(spark, [500] * 20, [0] * 10 + [3] + [0] * 9, 100) == [0, 1, 2, 10, 17, 18, 19]
     # room for two more: the next best match, then a neighbour of the best
-    assert windows.shown_to_model([10] * 30, [0] * 12 + [1] + [0] * 7 + [2] + [0] * 9, 30 * 9) == [0, 1, 2, 12, 19, 20, 27, 28, 29]
+    assert _window(spark, [100] * 30, [0] * 12 + [1] + [0] * 7 + [2] + [0] * 9, 120 * 9) == [0, 1, 2, 12, 19, 20, 27, 28, 29]
     # without a match, the earliest
-    assert windows.shown_to_model([10] * 30, [0] * 30, 30 * 8) == [0, 1, 2, 3, 4, 27, 28, 29]
+    assert _window(spark, [100] * 30, [0] * 30, 120 * 8) == [0, 1, 2, 3, 4, 27, 28, 29]
+
+
+def test_model_window_grows_by_rings(spark):
+    # two matches: each distance on both sides of the better one first, then of the other
+    scores = [0] * 10 + [2] + [0] * 9 + [1] + [0] * 9
+    assert _window(spark, [100] * 30, scores, 120 * 11) == [0, 1, 2, 9, 10, 11, 19, 20, 27, 28, 29]
+    # a ring that adds nothing ends the growth; what is left goes to the earliest
+    sizes = [100] * 30
+    for k in (9, 11):
+        sizes[k] = 4000
+    assert _window(spark, sizes, [0] * 10 + [2] + [0] * 19, 120 * 9) == [0, 1, 2, 3, 4, 10, 27, 28, 29]
+    # one that is only too long on one side goes on at the other
+    sizes = [100] * 30
+    sizes[9] = 4000
+    assert _window(spark, sizes, [0] * 10 + [2] + [0] * 19, 120 * 10) == [0, 1, 2, 8, 10, 11, 12, 27, 28, 29]
+
+
+def test_injected_openings(spark):
+    said = ["<skill ", "<skill x", " \t<skill>y", "<skills", "", " \u3000 ", "hi", "Caveat: x", "\ufeffCaveat:", "not Caveat:", "two\nCaveat:"]
+    got = [r[0] for r in rows(spark, [(t,) for t in said], "t string").select(T.is_prompt(F.col("t"))).collect()]
+    assert got == [True, False, False, True, False, False, True, False, False, True, True]
+
+
+def test_plans_stay_small(spark):
+    m = rows(spark, [("p", 0, "user", "x")], MESSAGES)
+    paged = windows.pages(m.withColumnRenamed("seq", "idx"), start=1, limit=4, cap=120, budget=300, focus=["tion"])
+    packed = windows.pack(m, ["the", "tion", "and the"])
+    for df in (paged, packed):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") < 50
 
 
 def test_model_window(spark):

@@ -80,21 +80,21 @@ def test_refresh_follows_growing_logs(spark, tmp_path):
     assert refresh.refresh(spark, str(root), "claude", table) == {} and _texts(spark, table) == []
     _log(root / "a.jsonl", _turn("1", None, "user", "one"))
     _log(root / "sub/b.jsonl", _turn("1", None, "user", "two"))
-    assert refresh.refresh(spark, str(root), "claude", table) == {"new": 2}
+    assert refresh.refresh(spark, str(root), "claude", table) == {"new": 2, "lines": 2}
     assert refresh.refresh(spark, str(root), "claude", table) == {"same": 2}
     # appended, with a last line that is still being written
     with (root / "a.jsonl").open("a") as out:
         out.write(json.dumps(_turn("2", "1", "assistant", "three")) + "\n" + json.dumps(_turn("3", "2", "user", "four"))[:30])
-    assert refresh.refresh(spark, str(root), "claude", table) == {"changed": 1, "same": 1}
+    assert refresh.refresh(spark, str(root), "claude", table) == {"grown": 1, "same": 1, "lines": 1}
     assert _texts(spark, table) == ["one", "three", "two"]
     with (root / "a.jsonl").open("a") as out:
         out.write(json.dumps(_turn("3", "2", "user", "four"))[30:] + "\n")
-    refresh.refresh(spark, str(root), "claude", table, max_files=1)
+    refresh.refresh(spark, str(root), "claude", table)
     assert _texts(spark, table) == ["four", "one", "three", "two"]
     # rewritten shorter, and vanished
     _log(root / "a.jsonl", _turn("1", None, "user", "anew"))
     (root / "sub/b.jsonl").unlink()
-    assert refresh.refresh(spark, str(root), "claude", table) == {"changed": 1, "gone": 1}
+    assert refresh.refresh(spark, str(root), "claude", table) == {"rewritten": 1, "gone": 1, "lines": 1}
     assert _texts(spark, table) == ["anew"]
     (root / "a.jsonl").unlink()
     refresh.refresh(spark, str(root), "claude", table)

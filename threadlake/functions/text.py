@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -97,10 +98,19 @@ def ascii_occurrences(text: Column, term: str) -> Column:
     return F.greatest(F.lit(1).cast("long"), counted)
 
 
+def _opening(prefix: str) -> str:
+    """A prefix as a pattern; one that ends in white space has more behind it."""
+    more = "" if prefix == prefix.rstrip() else f"(?=[\\s\\S]*[^{TRIM_CLASS}])"
+    return re.escape(prefix) + more
+
+
+#: What a trimmed text is or begins with if no person wrote it, in one pass.
+_NOT_A_PROMPT = f"^[{TRIM_CLASS}]*(?:\\z|" + "|".join(_opening(p) for p in INJECTED_PREFIXES) + ")"
+
+
 def is_prompt(text: Column) -> Column:
     """A user turn that a person wrote."""
-    bare = trim(text)
-    return (bare != "") & ~any_of(F.startswith(bare, F.lit(p)) for p in INJECTED_PREFIXES)
+    return ~text.rlike(_NOT_A_PROMPT)
 
 
 def preview(text: Column, limit: int = 300) -> Column:
@@ -155,30 +165,47 @@ def _aligned_lower(units: Column) -> Column:
     return F.lower(F.translate(units, "\u0130", "i"))
 
 
-def clipped(text: Column, terms: list[str], cap: Column) -> Column:
-    """struct(body, start): at most ``cap`` UTF-16 units of a text around the
-    earliest of the terms (or its beginning), with ellipses where it is cut."""
-    units, limit = units_of(text), cap.cast("int")
-    total, low = F.length(units), _aligned_lower(units)
+def first_spot(units: Column, terms: list[str]) -> Column:
+    """struct(at, size): the earliest of the terms in ``units_of`` a text, or null."""
     wide = ["".join(c + HALF if ord(c) > 0xFFFF else c for c in t.replace("\u0130", "i")).lower() for t in terms if t]
-    spots = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(w)), F.struct((F.instr(low, w) - 1).alias("at"), F.lit(len(w)).alias("size"))) for w in wide]))
-    first = F.array_min(spots) if wide else F.lit(None).cast("struct<at:int,size:int>")
-    room = F.greatest(F.lit(0), limit - 2 - first["size"])
-    begin = F.least(F.greatest(F.lit(0), first["at"] - F.floor(room / 2).cast("int")), total - (limit - 1))
-    begin = F.when(F.substring(units, begin + 1, F.lit(1)) == HALF, begin + 1).otherwise(begin)
+    if not wide:
+        return F.lit(None).cast("struct<at:int,size:int>")
+    low = _aligned_lower(units)
+    return F.array_min(F.array_compact(F.array(*[F.when(F.instr(low, w) > 0, F.struct((F.instr(low, w) - 1).alias("at"), F.lit(len(w)).alias("size"))) for w in wide])))
+
+
+def cut_start(units: Column, total: Column, spot: Column, cap: Column) -> Column:
+    """Where a cut of ``cap`` units around a spot begins, never inside a character;
+    null without a spot."""
+    room = F.greatest(F.lit(0), cap - 2 - spot["size"])
+    begin = F.least(F.greatest(F.lit(0), spot["at"] - F.floor(room / 2).cast("int")), total - (cap - 1))
+    return F.when(spot.isNotNull(), begin + F.when(F.substring(units, begin + 1, F.lit(1)) == HALF, 1).otherwise(0))
+
+
+def cut_body(text: Column, units: Column, total: Column, begin: Column, cap: Column) -> Column:
+    """struct(body, start) of a text cut at ``cut_start`` (null: at its beginning)."""
     lead = F.when(begin > 0, 1).otherwise(0)
-    trail = F.when(total - begin > limit - lead, 1).otherwise(0)
+    trail = F.when(total - begin > cap - lead, 1).otherwise(0)
     dots = lambda shown: F.when(shown == 1, "…").otherwise("")
-    around = F.struct(F.concat(dots(lead), _between(units, begin, limit - lead - trail), dots(trail)).alias("body"), begin.alias("start"))
+    around = F.struct(F.concat(dots(lead), _between(units, begin, cap - lead - trail), dots(trail)).alias("body"), begin.alias("start"))
     bare = lambda body: F.struct(body.alias("body"), F.lit(0).alias("start"))
     return (
-        F.when(total <= limit, bare(text))
-        .when(first.isNull(), bare(F.concat(_between(units, F.lit(0), F.greatest(F.lit(0), limit - 1)), F.lit("…"))))
-        .when(limit < 3, bare(F.when(limit > 0, "…").otherwise("")))
+        F.when(total <= cap, bare(text))
+        .when(begin.isNull(), bare(F.concat(_between(units, F.lit(0), F.greatest(F.lit(0), cap - 1)), F.lit("…"))))
+        .when(cap < 3, bare(F.when(cap > 0, "…").otherwise("")))
         .otherwise(around)
     )
 
 
+def clipped(text: Column, terms: list[str], cap: Column) -> Column:
+    """struct(body, start): at most ``cap`` UTF-16 units of a text around the
+    earliest of the terms (or its beginning), with ellipses where it is cut. One
+    expression; over many rows take the parts as columns of their own."""
+    units, limit = units_of(text), cap.cast("int")
+    total = F.length(units)
+    return cut_body(text, units, total, cut_start(units, total, first_spot(units, terms), limit), limit)
+
+
 def words(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")

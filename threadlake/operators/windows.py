@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadlake.functions import text as T
@@ -63,6 +63,21 @@ def densities(messages: DataFrame, terms: list[str], context: int = 2) -> DataFr
     return measured.select("path", F.col("seq").alias("anchor"), "matches", "chars", rank.alias("rank"))
 
 
+def _measured(rows: DataFrame, terms: list[str]) -> DataFrame:
+    """Columns that every cut of a text shares, each computed once: its UTF-16
+    units, how many, and the earliest of the terms."""
+    rows = rows.withColumn("units_", T.units_of(F.col("text")))
+    return rows.withColumn("total_", F.length("units_")).withColumn("spot_", T.first_spot(F.col("units_"), terms))
+
+
+def _cut(rows: DataFrame, cap: Column, name: str) -> DataFrame:
+    """A column struct(body, start) of measured texts cut to ``cap`` units."""
+    rows = rows.withColumn("cap_", cap.cast("int"))
+    rows = rows.withColumn("begin_", T.cut_start(F.col("units_"), F.col("total_"), F.col("spot_"), F.col("cap_")))
+    body = T.cut_body(F.col("text"), F.col("units_"), F.col("total_"), F.col("begin_"), F.col("cap_"))
+    return rows.withColumn(name, body).drop("cap_", "begin_")
+
+
 def pages(events: DataFrame, start: int = 0, limit: int | None = None, cap: int | None = None, budget: int | None = None, focus: list[str] = ()) -> DataFrame:
     """path, idx, body, original_chars, start_char, clipped, next_event: the page
     of each session's events (path, idx, text), bodies clipped to the cap and to
@@ -81,20 +96,21 @@ def pages(events: DataFrame, start: int = 0, limit: int | None = None, cap: int
     rows = rows.withColumn("place", F.row_number().over(by_event))
     if limit:
         rows = rows.filter(F.col("place") <= limit + 1)
-    cost = T.utf16_length(T.clipped(F.col("text"), focus, F.lit(most))["body"])
+    rows = _cut(_measured(rows, list(focus)), F.lit(most), "whole_").withColumn("cost", T.utf16_length(F.col("whole_.body"))).drop("whole_")
     rows = (
-        rows.withColumn("size", T.utf16_length(F.col("text")))
-        .withColumn("left", F.lit(budget) - F.coalesce(F.sum(cost).over(by_event.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        rows.withColumn("size", F.col("total_").cast("long"))
+        .withColumn("left", F.lit(budget) - F.coalesce(F.sum("cost").over(by_event.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .withColumn("short", F.least("size", F.lit(most)) > F.col("left"))
         .withColumn("first_short", F.min(F.when(F.col("short"), F.col("place"))).over(Window.partitionBy("path")))
         .withColumn("behind", F.col("place") - F.col("first_short"))
         .filter(F.col("behind").isNull() | (F.col("behind") <= 2))
     )
-    at_cut = F.greatest(F.lit(0), F.least(F.lit(most), F.col("left")))
-    cut = F.when(F.col("behind") == 0, F.col("left") - T.utf16_length(T.clipped(F.col("text"), focus, at_cut)["body"]))
-    rest = F.coalesce(F.lag(cut).over(by_event), F.lit(0))
-    rows = rows.withColumn("allowed", F.when(F.col("behind") == 1, rest).when(F.col("behind") == 2, 0).otherwise(at_cut))
-    rows = rows.withColumn("body", T.clipped(F.col("text"), focus, F.col("allowed")))
+    rows = rows.withColumn("at_cut", F.greatest(F.lit(0), F.least(F.lit(most), F.col("left"))))
+    rows = _cut(rows, F.col("at_cut"), "there_")
+    rows = rows.withColumn("over", F.when(F.col("behind") == 0, F.col("left") - T.utf16_length(F.col("there_.body")))).drop("there_")
+    rest = F.coalesce(F.lag("over").over(by_event), F.lit(0))
+    rows = rows.withColumn("allowed", F.when(F.col("behind") == 1, rest).when(F.col("behind") == 2, 0).otherwise(F.col("at_cut")))
+    rows = _cut(rows, F.col("allowed"), "body")
     shown = (F.col("allowed") > 0) & (F.col("place") <= (limit or huge))
     rows = rows.withColumn("next_event", F.min(F.when(~shown, F.col("idx"))).over(Window.partitionBy("path"))).filter(shown)
     return rows.select(
@@ -133,67 +149,98 @@ def pack(messages: DataFrame, terms: list[str], budget: int = 12000, max_chars:
     share = budget // sessions
     kept = packed(rows, terms, share, max_chars, context)
     each = F.least(F.lit(max_chars), F.floor(F.lit(share) / F.col("n_kept")))
-    body = T.clipped(F.col("text"), terms, each)["body"]
-    return rows.join(kept, ["path", "seq"]).select("path", F.col("seq").cast("long").alias("idx"), body.alias("body"), T.utf16_length(F.col("text")).alias("original_chars"))
+    shown = _cut(_measured(rows.join(kept, ["path", "seq"]), terms), each, "cut")
+    return shown.select("path", F.col("seq").cast("long").alias("idx"), F.col("cut.body").alias("body"), F.col("total_").cast("long").alias("original_chars"))
 
 
+# Messages always shown at either end, what a message costs besides
+# its text, characters a token, and the part of them that a window may fill.
 BOOKENDS = 3
 MESSAGE_COST = 20
-
-
-def shown_to_model(sizes: list[int], scores: list[int], limit: float) -> list[int]:
-    """Places of the messages that fit ``limit`` characters: both ends and the
-    best match in any case, then matches from the best on, rings of growing
-    radius around those taken, and what comes earliest."""
-    n = len(sizes)
-    ends = [*range(min(BOOKENDS, n)), *range(max(0, n - BOOKENDS), n)]
-    taken, used = set(), 0
-
-    def take(place: int, always: bool = False) -> bool:
-        nonlocal used
-        cost = sizes[place] + MESSAGE_COST
-        if place in taken or not (always or used + cost <= limit):
-            return False
-        taken.add(place)
-        used += cost
-        return True
-
-    for place in ends:
-        take(place, always=True)
-    hubs = []
-    for place in sorted((k for k in range(n) if scores[k]), key=lambda k: -scores[k]):
-        if take(place, always=not hubs) or place in taken:
-            hubs.append(place)
-    for radius in range(1, n):
-        ring = [p for hub in hubs for p in (hub - radius, hub + radius) if 0 <= p < n]
-        if used >= limit or not any([take(p) for p in ring]):
-            break
-    for place in range(n):
-        take(place)
-    return sorted(taken)
+CHARS_PER_TOKEN = 4
+WINDOW_SHARE = 0.8
+
+
+class Room:
+    """What fits of a run of costs."""
+
+    def __init__(self, limit: float, used: float = 0):
+        self.limit, self.used = limit, used
+
+    def take(self, cost: float, always: bool = False) -> bool:
+        fits = always or self.used + cost <= self.limit
+        self.used += cost * fits
+        return fits
+
+
+def _surely_shown(frame: pd.DataFrame, limit: float) -> pd.DataFrame:
+    """Of a conversation's ends and matches, ends first and matches from the
+    best on: those shown, in which turn they were taken as a match, and what
+    they cost in all. Both ends and the best match are shown whatever they cost."""
+    room = Room(limit)
+    ends = frame[frame["is_end"]]
+    for cost in ends["cost"]:
+        room.take(cost, always=True)
+    turns: dict[int, int] = {}
+    for pos, cost, is_end in frame[frame["score"] > 0].sort_values(["score", "pos"], ascending=[False, True])[["pos", "cost", "is_end"]].itertuples(index=False):
+        if is_end or room.take(cost, always=not turns):
+            turns[pos] = len(turns)
+    shown = frame[frame["is_end"] | frame["pos"].isin(turns)]
+    return shown[["path", "pos"]].assign(turn=shown["pos"].map(turns).astype("Int64"), used=float(room.used))
+
+
+def _filled(frame: pd.DataFrame, limit: float) -> pd.DataFrame:
+    """Of a conversation's other messages those that still fit: first by their
+    distance to the nearest match shown, as long as each distance adds one, then
+    the earliest."""
+    room = Room(limit, frame["used"].iloc[0])
+    near = frame[frame["distance"].notna()].sort_values(["distance", "turn", "side"])
+    taken, reached, grew = set(), 0, True
+    for pos, cost, distance in near[["pos", "cost", "distance"]].itertuples(index=False):
+        if distance > reached:
+            if not (grew and distance == reached + 1 and room.used < limit):
+                break
+            reached, grew = distance, False
+        if room.take(cost):
+            taken.add(pos)
+            grew = True
+    for pos, cost in frame.sort_values("pos")[["pos", "cost"]].itertuples(index=False):
+        if pos not in taken and room.take(cost):
+            taken.add(pos)
+    return frame.loc[frame["pos"].isin(taken), ["path", "pos"]]
 
 
 def question_window(messages: DataFrame, words: list[str], token_budget: int) -> DataFrame:
     """path, seq: what of each conversation to show a model that takes
-    ``token_budget`` tokens of four characters: all of it if it fits or has few
-    messages, else a window of 80 percent of that (``shown_to_model``).
+    ``token_budget`` tokens: all of it if it fits or has few messages, else a
+    window of it.
 
-    Whether a message fits depends on all taken before, which is a fold; lengths
-    and scores alone go through it, a few bytes a message.
+    Windows rank the messages: the ends, the matches by score, and all others by
+    their distance to the nearest match shown. Whether a message fits depends on
+    all taken before it, which is a fold over lengths and ranks, a few bytes a
+    message; texts do not go through it.
     """
-    whole = Window.partitionBy("path")
+    limit = token_budget * CHARS_PER_TOKEN * WINDOW_SHARE
+    whole, order = Window.partitionBy("path"), Window.partitionBy("path").orderBy("seq")
     rows = visible(messages).select(
         "path",
         "seq",
         T.utf16_length(F.coalesce("text", F.lit(""))).alias("size"),
         sum((F.coalesce(T.has(F.col("text"), w), F.lit(False)).cast("int") for w in words), F.lit(0)).alias("score"),
     )
-    rows = rows.withColumn("fits", (F.ceil(F.sum("size").over(whole) / 4) <= token_budget) | (F.count("*").over(whole) <= 2 * BOOKENDS + 2))
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("seq")
-        return frame[["path", "seq"]].iloc[shown_to_model(frame["size"].tolist(), frame["score"].tolist(), token_budget * 4 * 0.8)]
-
-    kinds = dict(messages.dtypes)
-    long = rows.filter(~F.col("fits")).groupBy("path").applyInPandas(fold, f"path {kinds['path']}, seq {kinds['seq']}")
-    return rows.filter("fits").select("path", "seq").unionByName(long)
+    rows = rows.withColumn("n", F.count("*").over(whole)).withColumn("pos", (F.row_number().over(order) - 1).cast("long"))
+    rows = rows.withColumn("fits", (F.ceil(F.sum("size").over(whole) / CHARS_PER_TOKEN) <= token_budget) | (F.col("n") <= 2 * BOOKENDS + 2))
+    kind = dict(messages.dtypes)["path"]
+    long = rows.filter(~F.col("fits")).withColumn("cost", F.col("size") + MESSAGE_COST).withColumn("is_end", (F.col("pos") < BOOKENDS) | (F.col("pos") >= F.col("n") - BOOKENDS))
+    sure = long.filter("is_end or score > 0").select("path", "pos", "cost", "score", "is_end")
+    sure = sure.groupBy("path").applyInPandas(lambda f: _surely_shown(f, limit), f"path {kind}, pos long, turn long, used double")
+    known = long.join(sure.withColumn("shown", F.lit(True)), ["path", "pos"], "left")
+    at = Window.partitionBy("path").orderBy("pos")
+    hub = F.when(F.col("turn").isNotNull(), F.struct("pos", "turn"))
+    known = known.withColumn("before", F.last(hub, ignorenulls=True).over(at)).withColumn("after", F.first(hub, ignorenulls=True).over(at.rowsBetween(0, Window.unboundedFollowing)))
+    ring = lambda h, side: F.when(h.isNotNull(), F.struct(F.abs(F.col("pos") - h["pos"]).alias("distance"), h["turn"].alias("turn"), F.lit(side).alias("side")))
+    known = known.withColumn("ring", F.least(ring(F.col("after"), 0), ring(F.col("before"), 1))).withColumn("used", F.max("used").over(whole))
+    others = known.filter("shown is null").select("path", "pos", "cost", "ring.*", "used")
+    more = others.groupBy("path").applyInPandas(lambda f: _filled(f, limit), f"path {kind}, pos long")
+    places = sure.select("path", "pos").unionByName(more)
+    return rows.filter("fits").select("path", "seq").unionByName(long.join(places, ["path", "pos"]).select("path", "seq"))

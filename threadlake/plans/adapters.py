@@ -55,3 +55,16 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("path"), F.col("embedding").alias("vec"))
+
+
+def store_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three tables as three stores of messages. Every third conversation has no
+    dates, every other third has them on even turns only; documents have none."""
+    from threadlake.sources.registry import shaped
+
+    day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("path") % 7).cast("int")), "yyyy-MM-dd")
+    dated = (F.col("path") % 3 == 2) | ((F.col("path") % 3 == 1) & (F.col("seq") % 2 == 0))
+    chat = messages(spark, sf_dir).withColumn("date", F.when(dated, day).otherwise("")).withColumn("project", F.concat(F.lit("/work/team-"), F.col("path") % 4))
+    log = dated_messages(spark, sf_dir).withColumn("role", F.when(F.col("role") == "error", "assistant").otherwise("user")).withColumn("project", F.lit("/work/web"))
+    docs = notes(spark, sf_dir).select("path", F.lit(0).alias("seq"), F.lit("assistant").alias("role"), "text", F.lit("").alias("date"), "project")
+    return shaped(chat, "chat").unionByName(shaped(log, "log")).unionByName(shaped(docs, "docs"))

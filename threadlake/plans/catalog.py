@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threadlake.functions import text as T
-from threadlake.operators import find, index, notes, profile, said, scrub, search, windows
+from threadlake.operators import find, index, notes, profile, said, scrub, search, sessions, stored_index, windows
 from threadlake.plans import adapters as A
+from threadlake.session import shared_root
 
 TERM, TERMS, SHORT = "tion", ["the", "tion", "and the"], ["er", "tion", "xq"]
 SINCE = "2024-01-15"
@@ -662,8 +663,10 @@ def chunk_notes(spark, sf_dir):
 
 @query(ORACLE_SQL["search_rank"])
 def search_indexed(spark, sf_dir):
+    """Through the index kept in the shared folder, built when first asked for."""
     rows = search.visible(A.messages(spark, sf_dir))
-    return search.rank_indexed(rows, search.trigram_index(rows), TERM)
+    kept = stored_index.of_files(spark, rows, f"{sf_dir}/conversations.parquet", f"{shared_root(spark)}/threadlake/search-index")
+    return kept.rank(rows, TERM)
 
 
 @query(f"""
@@ -692,3 +695,65 @@ def scrub_events(spark, sf_dir):
 @query("SELECT DISTINCT conv_id AS path FROM conversations WHERE conv_id NOT IN (3, 5, 8)")
 def session_exclude(spark, sf_dir):
     return index.exclude(A.messages(spark, sf_dir).select("path").distinct(), ["3", "5", "8", "none"])
+
+
+_STORES = f"""
+m AS (
+  SELECT 'chat' AS source, conv_id::VARCHAR AS path, turn AS seq, role, text,
+    CASE WHEN conv_id % 3 = 2 OR (conv_id % 3 = 1 AND turn % 2 = 0) THEN strftime(DATE '2024-01-01' + (conv_id % 7)::INT, '%Y-%m-%d') ELSE '' END AS date, NULL::BIGINT AS time_ms, '/work/team-' || (conv_id % 4) AS project FROM conversations
+  UNION ALL SELECT 'log', user_id::VARCHAR, event_id, CASE event_type WHEN 'error' THEN 'assistant' ELSE 'user' END, props, strftime(ts, '%Y-%m-%d'), epoch_us(ts) // 1000, '/work/web' FROM events
+  UNION ALL SELECT 'docs', doc_id::VARCHAR, 0, 'assistant', text, '', NULL, source FROM documents
+), v AS (SELECT * FROM m WHERE {VISIBLE}),
+x AS (SELECT * FROM v WHERE role <> 'user' OR (trim(text) <> '' AND NOT ({_PREFIX_SQL})))"""
+
+
+@query(f"""
+WITH {_STORES}, h AS (
+  SELECT *, {_occ("text", TERM)} AS hits FROM v
+  WHERE contains(lower(text), '{TERM}') AND contains(lower(project), 'work') AND path NOT IN ('1', '2') AND (date = '' OR date >= '2024-01-03')
+), b AS (
+  SELECT source, path, sum(hits)::BIGINT AS count, coalesce(max(nullif(date, '')), 'unknown') AS date, max(project) AS project FROM h GROUP BY source, path
+  ORDER BY count DESC, date DESC, source, path LIMIT 10
+), s AS (SELECT source, path, role, text, instr(lower(text), '{TERM}') - 1 AS spot, row_number() OVER (PARTITION BY source, path ORDER BY seq) AS n FROM h)
+SELECT source, path, project, date, count, n::INT AS n, role,
+  CASE WHEN spot > 100 THEN '...' ELSE '' END || substr(text, greatest(0, spot - 100) + 1, least(length(text), spot + {len(TERM)} + 100) - greatest(0, spot - 100))
+  || CASE WHEN spot + {len(TERM)} + 100 < length(text) THEN '...' ELSE '' END AS snippet
+FROM b JOIN s USING (source, path) WHERE n <= 3
+""")
+def stores_search(spark, sf_dir):
+    return sessions.search_sessions(A.store_messages(spark, sf_dir), TERM, sessions.Legs(since="2024-01-03", project="WORK", exclude=("1", "2")))
+
+
+_STORE_TERMS = ["tion", "the", '"k": 1']
+_ANY_TERM = " OR ".join(f"contains(lower(text), '{t}')" for t in _STORE_TERMS)
+
+
+@query(f"""
+WITH {_STORES}, d AS (
+  SELECT source, path, coalesce(a.own, max(nullif(v.date, '')), 'unknown') AS as_of, max(v.project) AS project
+  FROM v JOIN (SELECT source, path, max(nullif(date, '')) AS own FROM x WHERE {_ANY_TERM} GROUP BY source, path) a USING (source, path) GROUP BY source, path, a.own
+), s AS (
+  SELECT source, path, term, count(*) FILTER (role = 'user') AS u, count(*) FILTER (role = 'assistant') AS a
+  FROM x, (SELECT unnest([{", ".join(f"'{t}'" for t in _STORE_TERMS)}]) AS term) WHERE contains(lower(text), term) GROUP BY ALL
+), c AS (
+  SELECT source, path, as_of, d.project, count(*) AS n, min(u + a) AS low, sum(u + a) AS total, sum(5 * u + a)::BIGINT AS score, list(term) AS matched
+  FROM s JOIN d USING (source, path) WHERE as_of = 'unknown' OR as_of >= '2024-01-05' GROUP BY ALL ORDER BY n DESC, low DESC, total DESC, source, path LIMIT 40
+), t AS (SELECT matched AS required FROM c ORDER BY n DESC, score DESC, source, path LIMIT 1)
+SELECT source, path, project, as_of AS date, score FROM c, t WHERE len(list_intersect(matched, required)) = len(required) ORDER BY n DESC, score DESC, source, path LIMIT 30
+""")
+def stores_find_since(spark, sf_dir):
+    """Sessions whose matches have no date stay by the date of their other
+    messages, and those without any date stay."""
+    found = sessions.find_sessions(A.store_messages(spark, sf_dir), _STORE_TERMS, sessions.Legs(since="2024-01-05"), limit=30)
+    return found.select("source", "path", "project", "date", "score")
+
+
+@query(f"""
+WITH {_STORES}, g AS (
+  SELECT source, path, coalesce(max(nullif(date, '')), '') AS date, max(time_ms) AS time_ms, max(project) AS project FROM v GROUP BY source, path HAVING coalesce(max(nullif(date, '')), '') >= '2024-01-04'
+), n AS (SELECT *, count(*) OVER () AS total FROM g ORDER BY date DESC, time_ms DESC NULLS LAST, source, path LIMIT 20),
+p AS (SELECT source, path, arg_max(trim(text), seq) AS t FROM x WHERE role = 'user' GROUP BY source, path)
+SELECT source, path, project, date, time_ms, CASE WHEN length(t) <= 300 THEN t ELSE substr(t, 1, 299) || '…' END AS request, total FROM n LEFT JOIN p USING (source, path)
+""")
+def stores_last(spark, sf_dir):
+    return sessions.last_sessions(A.store_messages(spark, sf_dir), sessions.Legs(since="2024-01-04"), limit=20)
