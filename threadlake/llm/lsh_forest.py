@@ -16,17 +16,20 @@ some of their values in a sequence of its own; documents that share the first
    members meet the one of them that stands in the largest regions (of a group
    of copies mostly their original), which settles stars.
 4. In regions still open members of different components meet, the largest
-   component being met and not meeting. Where that would be more than ``ROOM``
-   meetings a member, the region is split by the next values of its tree's order
-   (depth ``DEPTHS[1]``, then ``DEPTHS[2]``), each piece by itself: crowded regions
-   get deep, sparse ones stay shallow. Pieces of the last depth meet in full.
+   component being met and not meeting. What only one of their sets has bounds
+   what that one can share (its reach), which drops members and pairs of groups
+   that are alike but not near enough. Where members would still meet more than
+   ``ROOM`` others each, the region is split by the next values of its tree's
+   order (depth ``DEPTHS[1]``, then ``DEPTHS[2]``), each piece by itself: crowded
+   regions get deep, sparse ones stay shallow. Pieces of the last depth meet in
+   full.
 5. Every pair is first held against all values of both signatures (linked sets
-   agree in 163 of 192 on average, less than ``AGREE`` has odds below 10^-9) and
+   agree in 163 of 192 on average, less than ``AGREE`` has odds of 7 * 10^-8) and
    their sizes, and what is left is compared on the full sets of whole texts.
 
-A pair of similarity 0.85 shares no region of depth 6 with odds of 6 * 10^-9, of
-depth 8 with 3 * 10^-6, of depth 10 with 2 * 10^-4 (at 0.9: below 10^-12, 2 * 10^-9,
-3 * 10^-7). Links of a group support one another, and nothing is capped.
+A pair of similarity 0.85 shares no region of depth 5 with odds of 4 * 10^-9, of
+depth 7 with 4 * 10^-6, of depth 9 with 2 * 10^-4 (at 0.9: 1 * 10^-12, 4 * 10^-9,
+6 * 10^-7). Links of a group support one another, and nothing is capped.
 
 Edge cases: null, empty and blank texts have empty sets, size 0, and stand alone
 (component_id is their id, kept true); repeated rows are copies of one another
@@ -50,12 +53,12 @@ from threadlake.llm.textgrid import grids, mix
 from threadlake.session import bound_batches, concluded, materialize
 
 HASHES = 192
-TREES = 64
+TREES = 48
 SORTED = 3
-DEPTHS = (6, 8, 10)
+DEPTHS = (5, 7, 9)
 DEPTH = DEPTHS[0]
-ROOM = 32
-AGREE = 125
+ROOM = 8
+AGREE = 135
 MAX_BROADCAST_ROWS = 1_000_000
 
 _rng = np.random.default_rng(20240617)
@@ -236,34 +239,59 @@ def _confirmed(near: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     ends = 2 * near.count()
     if not ends:
         return near.withColumn("linked", F.lit(False))
-    wanted = near.select(F.explode(F.array("a", "b")).alias("row_id")).distinct()
-    keys = classes.select("row_id", F.col("doc_id").alias("id__"), F.col("h1").alias("g1"), F.col("h2").alias("g2")).join(_few(wanted, ends), "row_id", "left_semi")
-    small = _few(keys, ends)
-    same = (docs["h1"] == small["g1"]) & (docs["h2"] == small["g2"]) & docs["doc_id"].eqNullSafe(small["id__"])
-    # Repeated rows are told apart by id and hashes, so one of them is enough.
-    texts = materialize(docs.join(small, same).select("row_id", "text").dropDuplicates(["row_id"]), "forest-texts")
+    wanted = near.select(F.col("a").alias("row_id")).distinct().union(near.select("b").distinct()).distinct()
+    texts = materialize(_fetched(wanted, classes, docs, ends), "forest-texts")
     named = lambda s: texts.select(F.col("row_id").alias(s), F.col("text").alias("text_" + s))
     return materialize(near.join(named("b"), "b").join(named("a"), "a").mapInArrow(_compared, "a long, b long, linked boolean"), "forest-compared")
 
 
+def _fetched(rows: DataFrame, classes: DataFrame, docs: DataFrame, most: int) -> DataFrame:
+    """(row_id, text) of at most ``most`` classes, each once. A row meets the
+    class of its own id and text only; repeated rows are one class."""
+    keys = classes.select("row_id", F.col("doc_id").alias("id__"), F.col("h1").alias("g1"), F.col("h2").alias("g2")).join(_few(rows, most), "row_id", "left_semi")
+    small = _few(keys, most)
+    same = (docs["h1"] == small["g1"]) & (docs["h2"] == small["g2"]) & docs["doc_id"].eqNullSafe(small["id__"])
+    return docs.join(small, same).select("row_id", "text").dropDuplicates(["row_id"])
+
+
+def _hopeful(members: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Members with their reach, the most that a set can share with any other:
+    shingles that no other set in an open region has are shared with none. Those
+    that reach less than 85 percent of themselves go."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, code in zip(batch.column(0).to_pylist(), _sets(batch.column(1))):
+                yield pa.record_batch([pa.array(np.full(len(code), k)), pa.array(code.view(np.int64))], ["row_id", "token"])
+
+    rows = materialize(members.select("row_id").distinct(), "forest-crowd")
+    tokens = _fetched(rows, classes, docs, rows.count()).mapInArrow(run, "row_id long, token long")
+    alone = tokens.groupBy("token").agg(F.min("row_id").alias("row_id"), F.count("*").alias("k")).filter("k = 1").groupBy("row_id").agg(F.count("*").alias("alone"))
+    reach = materialize(alone, "forest-alone")
+    known = members.join(_few(reach, reach.count()), "row_id", "left").withColumn("reach", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+    return materialize(known.filter("100 * reach >= 85 * n"), "forest-hopeful")
+
+
 def _meetings(members: DataFrame) -> list[DataFrame]:
     """Pairs of members of different components in open regions, crowded ones
     split by their trees' next values."""
     found = []
+    may = "100 * least(n, nx) >= 85 * greatest(n, nx) and 185 * least(reach, rx) >= 85 * (n + nx)"
     for level in range(len(DEPTHS)):
         at = members.withColumn("region", F.col("path")[level])
         share = at.groupBy("region", "label").agg(F.count("*").alias("k"))
         whole = share.groupBy("region").agg(F.max_by("label", F.struct("k", "label")).alias("major"), F.sum("k").alias("m"), F.sum(F.col("k").cast("double") * F.col("k")).alias("squares"))
-        whole = materialize(whole.withColumn("apart", (F.col("m").cast("double") * F.col("m") - F.col("squares")) / 2).filter("apart > 0").select("region", "major", "m", "apart"), "forest-open")
+        apart = (F.col("m").cast("double") * F.col("m") - F.col("squares")) / 2
+        crowded = F.lit(False) if level == len(DEPTHS) - 1 else apart > ROOM * F.col("m")
+        whole = materialize(whole.filter(apart > 0).select("region", "major", crowded.alias("crowded")), "forest-open")
         regions = whole.count()
         if not regions:
             break
-        crowded = F.lit(False) if level == len(DEPTHS) - 1 else F.col("apart") > ROOM * F.col("m")
-        sparse = at.join(_few(whole.filter(~crowded), regions), "region")
-        minor = sparse.filter("label <> major").select("region", F.col("row_id").alias("x"), F.col("n").alias("nx"), F.col("label").alias("label_x"))
-        meet = minor.join(sparse, "region").filter("label <> label_x and (label = major or x < row_id) and 100 * least(n, nx) >= 85 * greatest(n, nx)")
-        found.append(meet.select(F.least("x", "row_id").alias("a"), F.greatest("x", "row_id").alias("b")))
-        members = at.join(_few(whole.filter(crowded).select("region"), regions), "region", "left_semi")
+        placed = materialize(at.join(_few(whole, regions), "region"), "forest-placed")
+        sparse, members = placed.filter("not crowded"), placed.filter("crowded").drop("crowded", "major")
+        minor = sparse.filter("label <> major").select("region", F.col("row_id").alias("x"), F.col("n").alias("nx"), F.col("reach").alias("rx"), F.col("label").alias("label_x"))
+        meet = minor.join(sparse, "region").filter(f"label <> label_x and (label = major or x < row_id) and {may}")
+        found.append(meet.select(F.least("x", "row_id").alias("a"), F.greatest("x", "row_id").alias("b")).distinct())
     return found
 
 
@@ -288,8 +316,9 @@ def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     met = materialize(met, "forest-met")
     near = materialize(_agreeing(met, classes), "forest-near")
     links = links.unionByName(_confirmed(near, classes, docs).filter("linked").select("a", "b"))
-    again = materialize(_with_labels(members.select("row_id", "n", "path"), links), "forest-again")
-    if not (meetings := _meetings(again)):
+    again = _with_labels(members.select("row_id", "n", "path", "region"), links)
+    again = materialize(again.join(_open(again).select("region"), "region", "left_semi"), "forest-again")
+    if not (meetings := _meetings(_hopeful(again, classes, docs))):
         return components(links)
     pairs = meetings[0]
     for more in meetings[1:]:
