@@ -218,3 +218,11 @@ def test_language_held_out_accuracy(spark):
 def test_language_edges(spark, odd):
     got = {r.doc_id: r for r in language.identify(odd).collect()}
     assert got[0].lang_pred == got[1].lang_pred == "und" and got[1].score == 0.0
+
+
+def test_quality_beside_columns_named_alike(spark):
+    """Names that differ in case only are the same to Spark."""
+    text = " ".join(f"word{k}" for k in range(40))
+    docs = spark.createDataFrame([(1, text, 5, 6), (2, "short", 5, 6)], "doc_id long, text string, Quality int, QUALITY_ int")
+    kept = quality.filter_documents(docs, "base")
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(1, text, 5, 6)]

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadlake.llm import worker
+from threadlake.llm.mixing import fresh
 from threadlake.llm.textgrid import grids, seen_before
 from threadlake.session import bound_batches, materialize
 
@@ -135,9 +136,7 @@ def filter_documents(docs: DataFrame, policy: str = "v1", text_col: str = "text"
     and no text is shuffled.
     """
     bound_batches(docs.sparkSession)
-    name = "quality"
-    while name in docs.columns:
-        name += "_"
+    name = fresh("quality", docs.columns)
     inner = T.StructType([T.StructField(m.split()[0], T.LongType()) for m in MEASURES.split(", ")])
     at = docs.columns.index(text_col)
 
