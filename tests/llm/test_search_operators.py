@@ -413,6 +413,51 @@ def test_recall_of_second_mentions(field):
     assert found >= 0.9 * total and wrong <= 0.05 * decoys
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Mail info@shop.com for more info",
+        "ask support@acme.org; our support team gives support",
+        "will@corp.com said he will come, and will stay",
+        "paid with 4111 1111 1111 1111; order 1111 shipped in 1111",
+        "host 10.0.0.7 runs version 10.0.0",
+        "call +1 (415) 555-0199 about order 555-0199",
+    ],
+)
+def test_words_and_numbers_that_equal_a_key_are_not_mentions(field, text):
+    base, added = _added(field, text)
+    assert len(base) == 1 and added == []
+
+
+def test_precision_on_equal_tokens(field):
+    """Tokens equal to a second mention that number something else: few are taken."""
+    rng = random.Random(8)
+    wrong = total = 0
+    for _ in range(100):
+        full = _personal(rng)
+        parts = [f"first {v} then" for v in full] + ["in between stand many words of no interest"] * 5
+        for v, k in zip(full, (3, 2, 1)):
+            parts.append(f"{rng.choice(pii.OTHER)} {pii.second_mention(v, k)} there")
+        _, added = _added(field, " ".join(parts))
+        wrong, total = wrong + len(added), total + 3
+    assert wrong <= 0.02 * total
+
+
+def test_beliefs_do_not_depend_on_the_batch(field):
+    """A document's spans are the same alone and beside others, settled or not."""
+    rng = random.Random(12)
+    texts = []
+    for _ in range(40):
+        full = _personal(rng)
+        texts.append(" ".join([*full, *(pii.second_mention(v, k) for v, k in zip(full, (3, 2, 1, 0)))] + [f"{rng.randrange(9999)} and" for _ in range(rng.randrange(60))]))
+    assert pii.find_spans(texts, field) == [pii.find_spans([t], field)[0] for t in texts]
+
+
+def test_pii_with_clashing_columns(spark):
+    d = docs_of(spark, ["mail a@b.co now", None]).selectExpr("doc_id", "text", "'x@y.zz' AS id", "1 AS h", "'q' AS spans", "2 AS n_email")
+    assert [r.n_email for r in pii.scan(d).orderBy("doc_id").collect()] == [1, 0]
+
+
 def test_message_passing_is_exact_on_trees(field):
     """Where no edges form a loop, beliefs are the sums over all labellings."""
     import itertools

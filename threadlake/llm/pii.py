@@ -8,20 +8,24 @@ and skip potentials between distant tokens that are alike: the same name, the
 same last four digits, or the same first three dotted numbers. The tokens of one
 likeness hang on a hub of their own, so evidence goes from any mention to
 any other in two steps however many stand between, and a token repeated n times
-has n edges. Tokens inside base spans are observed, and so is a hub that such tokens hang on:
-it has the label of most of them, as a rule's match names its entity for good,
-however many free tokens look like nothing. Loopy sum-product message
-passing, damped, runs until no message moves by more than ``SETTLED`` or for
-``MOST_ROUNDS`` rounds; free tokens whose belief reaches ``CONFIDENT`` become
-added spans.
+has n edges. Tokens inside base spans are observed, and with them what their hub's
+key names in this document. Whether a free token of that hub is a mention stays
+open: its own evidence counts against the hub's, so a name of letters only, or a
+number behind a word that numbers something else (``OTHER``), is none. (With hubs
+left free, no second mention reaches ``CONFIDENT``: the many tokens that look like
+nothing outvote the one that is observed.) Loopy sum-product message passing,
+damped, runs for each document until no message of it moves by ``SETTLED``; steps
+shrink by ``CALMING`` a round, so every document settles, whatever others are in
+the batch. Free tokens whose belief reaches ``CONFIDENT`` become added spans.
 
 Training is by pseudo-likelihood, at the start of a run, on a bounded sample:
 the ``SAMPLE_DOCS`` documents of smallest hash that hold a digit or an @ and are
 no longer than ``SAMPLE_CHARS``. Its labels are the base spans. As those never
-show a short second mention, each sampled span gets one, and a decoy of the same
-shape with other digits or letters that is labelled none: what a lone token
-looks like cannot tell the two apart, only the skip edges can. Every document is
-then searched whole.
+show a short second mention, each sampled span gets one, and decoys that are
+labelled none: one of the same shape with other digits or letters, which only the
+skip edges tell apart, and one that equals a mention but stands behind a word of
+``OTHER`` or is the name of a mailbox that is a plain word. Every document is then
+searched whole.
 
 Edge cases: a null text is empty and has no spans; matches that fail a check
 are dropped without another try inside them; with nothing to learn from no
@@ -49,12 +53,12 @@ SAMPLE_DOCS = 2000
 SAMPLE_CHARS = 20_000
 SLICE_CHARS = 1 << 20
 CONFIDENT = 0.9
-MOST_ROUNDS = 60
 SETTLED = 1e-3
 DAMPING = 0.3
+CALMING = 0.98
 STEPS = 400
 LIKENESSES = 3
-FEATURES = 16
+FEATURES = 18
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)+")
 NOT_LOCAL = re.compile(r"[^A-Za-z0-9._%+-]")
@@ -65,6 +69,9 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 MARK = re.compile(r"[0-9@]")
 TOKEN = re.compile(r"[^ \t\n\x0b\x0c\r]+")
 EDGE = " \t.,;:!?\"'()[]<>{}"
+#: Words after which a number counts, dates or numbers something else.
+OTHER = ("on", "in", "of", "since", "until", "year", "day", "page", "line", "room", "order", "item", "part", "step", "chapter", "section", "version", "release", "build", "level", "size", "total", "about", "over", "under", "than")
+BEFORE = re.compile(r"([A-Za-z]+)[^A-Za-z0-9]*$")
 GAP = re.compile(r"[\s.,;:!?\"'()\[\]<>{}+-]*")
 
 
@@ -135,6 +142,7 @@ def features(text: str, bounds: list[tuple[int, int]]) -> np.ndarray:
         d = _digits(t)
         parts = t.split(".")
         plus = text[max(0, a - 1) : a + 1]
+        before = BEFORE.search(text, max(0, a - 40), a)
         near = k > 0 and a - bounds[k - 1][1] <= 3
         rows.append(
             (
@@ -154,6 +162,8 @@ def features(text: str, bounds: list[tuple[int, int]]) -> np.ndarray:
                 len(d) > 19,
                 14 <= len(d) <= 19 and luhn(d),
                 "=" in t or "/" in t or '"' in t,
+                t.isalpha(),
+                not t.isalpha() and before is not None and before[1].lower() in OTHER,
             )
         )
     return np.array(rows, dtype=np.float64).reshape(len(bounds), FEATURES)
@@ -241,6 +251,7 @@ class Field:
         total = np.zeros((len(g.hub_kind), LABELS))
         np.add.at(total, g.member[:, 1], y[g.member[:, 0]])
         others = total[g.member[:, 1]] - y[g.member[:, 0]]
+        others[:, 0] = 0  # a hub is about something as soon as one token is
         for kind in range(LIKENESSES):
             at = np.array(g.hub_kind, dtype=np.int64)[g.member[:, 1]] == kind
             sides.append((g.member[at, 0], one[others[at].argmax(axis=1)], 1 + kind, True))
@@ -263,7 +274,9 @@ class Field:
         return cls(node, pair)
 
     def potentials(self, g: Graph) -> np.ndarray:
-        """Node potentials of all tokens and hubs; the observed ones are fixed."""
+        """Node potentials of all tokens and hubs. Observed tokens are fixed, and
+        so is what a hub's key names, where one of its tokens is observed; what
+        each free token of that hub is, its own evidence decides with the hub."""
         named = np.zeros((len(g.hub_kind), LABELS))
         np.add.at(named, (g.member[:, 1], g.observed[g.member[:, 0]]), 1)
         named[:, 0] = 0
@@ -285,17 +298,22 @@ class Field:
         table = np.concatenate([table, table.transpose(0, 2, 1)])
         back = np.concatenate([np.arange(len(g.edges)) + len(g.edges), np.arange(len(g.edges))])
         message = np.zeros((len(source), LABELS))
-        for _ in range(MOST_ROUNDS):
+        doc = np.array([doc for doc, _, _ in g.bounds], dtype=np.int64)[g.edges[:, 0]]
+        doc = np.concatenate([doc, doc])
+        live, step = np.arange(len(source)), 1 - DAMPING
+        while len(live):
             total = unary.copy()
             np.add.at(total, target, message)
-            out = (total[source] - message[back])[:, :, None] + table
+            out = (total[source[live]] - message[back[live]])[:, :, None] + table[live]
             top = out.max(axis=1)
             new = top + np.log(np.exp(out - top[:, None, :]).sum(axis=1))
             new -= new.max(axis=1, keepdims=True)
-            moved = np.abs(new - message).max()
-            message = DAMPING * message + (1 - DAMPING) * new
-            if moved < SETTLED:
-                break
+            change = step * (new - message[live])
+            message[live] += change
+            moving = np.zeros(doc.max() + 1, dtype=bool)
+            moving[doc[live[np.abs(change).max(axis=1) >= SETTLED]]] = True
+            live = live[moving[doc[live]]]
+            step *= CALMING
         total = unary.copy()
         np.add.at(total, target, message)
         return _normal(total[:tokens_])
@@ -322,6 +340,18 @@ def with_second_mentions(texts: list[str], bases: list) -> tuple[list[str], list
         parts, at, more, false = [text], len(text), [], []
         for start, kind, end in base:
             short = second_mention(text[start:end], kind)
+            if kind:
+                parts += [" ", other := rng.choice(OTHER), " ", short]
+                at += len(other) + 2
+                false.append((at, at + len(short)))
+                at += len(short)
+            else:
+                plain = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9)))
+                parts += [" and ", plain, "@example.org and ", plain]
+                more.append((at + 5, kind, at + 17 + len(plain)))
+                at += 22 + len(plain)
+                false.append((at, at + len(plain)))
+                at += len(plain)
             decoy = "".join(rng.choice("0123456789") if c.isdigit() else rng.choice("abcdefghijklmnopqrstuvwxyz") if c.isalpha() else c for c in short)
             for word, into in ((short, more), (decoy + ("" if MARK.search(decoy) else str(rng.randrange(10))), false)):
                 parts += [" and ", word]
