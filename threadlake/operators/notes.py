@@ -9,9 +9,10 @@ from collections.abc import Callable, Iterable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
+from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
 
 from threadlake.functions import text as T
+from threadlake.functions.order import total_order
 
 FLOOR, MARGIN, FUSION_K = 0.65, 0.06, 60
 CHUNK_TARGET, CHUNK_MOST = 1600, 4000
@@ -42,7 +43,8 @@ def keyword(notes: DataFrame, query: str, limit: int = 20, project: str | None =
     if len(terms) > 1:
         score = score + 5 * F.contains(low, F.lit(" ".join(terms))).cast("int")
     scored = kept.select("path", "project", sum(each, F.lit(0)).cast("long").alias("count"), score.cast("long").alias("score"))
-    order = [F.desc("score"), F.desc("count"), F.asc("path")]
+    named = total_order(F.col("path")) if isinstance(scored.schema["path"].dataType, StringType) else F.col("path")
+    order = [F.desc("score"), F.desc("count"), named]
     top = scored.orderBy(*order).limit(limit)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # ``limit`` rows
 

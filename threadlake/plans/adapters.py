@@ -68,3 +68,31 @@ def store_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = dated_messages(spark, sf_dir).withColumn("role", F.when(F.col("role") == "error", "assistant").otherwise("user")).withColumn("project", F.lit("/work/web"))
     docs = notes(spark, sf_dir).select("path", F.lit(0).alias("seq"), F.lit("assistant").alias("role"), "text", F.lit("").alias("date"), "project")
     return shaped(chat, "chat").unionByName(shaped(log, "log")).unionByName(shaped(docs, "docs"))
+
+
+def named_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as notes with a name; one in ninety is its project's index."""
+    label = F.concat("lang", F.lit("-"), "doc_id")
+    name = F.when(F.col("doc_id") % 90 == 4, "MEMORY.md").otherwise(label)
+    return table(spark, sf_dir, "documents").select(label.alias("path"), F.col("source").alias("project"), name.alias("name"))
+
+
+def log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event log as messages in files: errors are in those of helpers,
+    purchases in files of another system."""
+    user, kind = F.col("user_id").cast("string"), F.col("event_type")
+    own = F.concat(F.lit("/log/u-"), user)
+    path = F.when(kind == "error", F.concat(own, F.lit("/subagents/"), F.col("event_id") % 9, F.lit(".jsonl"))).when(kind == "purchase", F.concat(F.lit("C:\\log\\U-"), user, F.lit(".jsonl")))
+    time = (F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long")
+    return table(spark, sf_dir, "events").select(F.coalesce(path, F.concat(own, F.lit(".jsonl"))).alias("path"), F.date_format("ts", "yyyy-MM-dd").alias("date"), time.alias("time_ms"))
+
+
+def nested_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as tool activity: what a user says is a result, the rest are
+    calls with their text and numbers nested in the input."""
+    deep = F.struct(F.array(F.struct(F.col("role").alias("r"))).alias("a"), F.struct(F.col("turn").alias("t"), (2 * F.col("turn") + 0.5).alias("u")).alias("b"))
+    made = F.to_json(F.struct(F.col("text").alias("say"), deep.alias("in"), (F.col("conv_id") % 2 == 0).alias("even")))
+    call = F.col("role") != "user"
+    return table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("path"), F.col("turn").alias("idx"), F.when(call, "tool_call").otherwise("tool_result").alias("kind"), F.col("role").alias("tool"), F.when(call, made).otherwise(F.col("text")).alias("input")
+    )

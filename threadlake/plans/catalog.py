@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from threadlake.functions import order
 from threadlake.functions import text as T
-from threadlake.operators import find, index, notes, profile, said, scrub, search, sessions, stored_index, windows
+from threadlake.operators import calls, find, index, notes, profile, said, scrub, search, selectors, sessions, stored_index, windows
 from threadlake.plans import adapters as A
 from threadlake.session import shared_root
 
@@ -757,3 +758,65 @@ SELECT source, path, project, date, time_ms, CASE WHEN length(t) <= 300 THEN t E
 """)
 def stores_last(spark, sf_dir):
     return sessions.last_sessions(A.store_messages(spark, sf_dir), sessions.Legs(since="2024-01-04"), limit=20)
+
+
+NOTE_SELECTORS = ["fr-1", "src3/en-7", "src0", "src1", "rc", "nowhere"]
+_NOTE_TIER = "CASE WHEN path = s THEN 1 WHEN project = s OR project || '/' || name = s OR contains(project, s) THEN 2 END"
+
+
+@query(f"""
+WITH n AS (SELECT lang || '-' || doc_id AS path, coalesce(source, '') AS project, CASE WHEN doc_id % 90 = 4 THEN 'MEMORY.md' ELSE lang || '-' || doc_id END AS name FROM documents),
+s AS (SELECT unnest({NOTE_SELECTORS}) AS s), m AS (SELECT s, path, name, {_NOTE_TIER} AS tier FROM s, n WHERE {_NOTE_TIER} IS NOT NULL),
+b AS (SELECT s, path, name FROM m JOIN (SELECT s, min(tier) AS tier FROM m GROUP BY s) USING (s, tier))
+SELECT s AS selector, CASE WHEN count(path) = 1 THEN min(path) ELSE min(path) FILTER (name = 'MEMORY.md') END AS path, count(path) AS n FROM s LEFT JOIN b USING (s) GROUP BY s
+""")
+def select_notes(spark, sf_dir):
+    return selectors.select_notes(A.named_notes(spark, sf_dir), NOTE_SELECTORS)
+
+
+SESSION_IDS = ["u-1", "U-22", "u-5", "u-none"]
+_LOG = "CASE event_type WHEN 'error' THEN '/log/u-' || user_id || '/subagents/' || event_id % 9 || '.jsonl' WHEN 'purchase' THEN 'C:\\log\\U-' || user_id || '.jsonl' ELSE '/log/u-' || user_id || '.jsonl' END"
+
+
+@query(f"""
+WITH p AS (SELECT {_LOG} AS path, max(strftime(ts, '%Y-%m-%d')) AS date, max(epoch_us(ts) // 1000) AS time_ms FROM events GROUP BY 1),
+s AS (SELECT unnest({SESSION_IDS}) AS s)
+SELECT s AS selector, (SELECT path FROM p WHERE contains(lower(path), lower(s)) ORDER BY contains(replace(lower(path), chr(92), '/'), '/' || lower(s) || '.jsonl') DESC,
+  NOT contains(replace(path, chr(92), '/'), '/subagents/') DESC, date DESC, time_ms DESC, path DESC LIMIT 1) AS path FROM s
+""")
+def find_by_id(spark, sf_dir):
+    return selectors.sessions_by_id(A.log_files(spark, sf_dir), SESSION_IDS)
+
+
+@query("""
+SELECT conv_id AS path, turn AS idx, length(t) AS n, sha256(t) AS sha FROM (
+  SELECT *, CASE WHEN role = 'user' THEN role || ' result: ' || coalesce(text, '') ELSE concat_ws(' ', role || ':', nullif(text, ''), nullif(role, ''), turn, 2 * turn + 0.5, conv_id % 2 = 0) END AS t FROM conversations)
+""")
+def tool_text(spark, sf_dir):
+    found = calls.texts(A.nested_calls(spark, sf_dir))
+    return found.select("path", "idx", F.length("text").cast("long").alias("n"), F.sha2("text", 256).alias("sha"))
+
+
+@query(f"""
+WITH t AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN role || ' result: ' || coalesce(text, '') ELSE concat_ws(' ', role || ':', nullif(text, ''), nullif(role, ''), turn, 2 * turn + 0.5, conv_id % 2 = 0) END AS text FROM conversations),
+h AS (SELECT *, {_occ("text", TERM)} AS hits, instr(lower(text), '{TERM}') - 1 AS spot FROM t WHERE contains(lower(text), '{TERM}')),
+r AS (SELECT conv_id, sum(hits)::BIGINT AS count, min(turn) AS turn FROM h GROUP BY conv_id ORDER BY count DESC, conv_id LIMIT 10)
+SELECT conv_id AS path, count, turn AS idx, CASE WHEN spot > 100 THEN '...' ELSE '' END || substr(text, greatest(0, spot - 100) + 1, least(length(text), spot + {len(TERM)} + 100) - greatest(0, spot - 100))
+  || CASE WHEN spot + {len(TERM)} + 100 < length(text) THEN '...' ELSE '' END AS snippet
+FROM r JOIN h USING (conv_id, turn)
+""")
+def search_calls(spark, sf_dir):
+    return calls.search(A.nested_calls(spark, sf_dir), TERM)
+
+
+@query("""
+WITH l AS (SELECT lang, source, substr(text, 1, 24) AS label FROM documents WHERE text IS NOT NULL)
+SELECT lang, source, list(label ORDER BY label COLLATE en, label)[1] AS first, list(label ORDER BY label COLLATE en, label)[-1] AS last, min(label) AS least FROM l GROUP BY ALL
+""")
+def labels_in_order(spark, sf_dir):
+    """The first and last opening of a text by collation, and the least by units."""
+    label = F.substring("text", 1, 24)
+    rows = A.table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("lang", "source", label.alias("label"))
+    named = F.struct(order.total_order(F.col("label")), F.col("label"))
+    found = rows.groupBy("lang", "source").agg(F.min(named).alias("a"), F.max(named).alias("z"), F.min(F.struct(order.by_units(F.col("label")), F.col("label"))).alias("u"))
+    return found.select("lang", "source", F.col("a.label").alias("first"), F.col("z.label").alias("last"), F.col("u.label").alias("least"))
