@@ -62,3 +62,26 @@ def source_of(locator: Column) -> Column:
         .when(locator.rlike(r"[/\\]\.factory[/\\]"), "droid")
         .when(locator.rlike(r"[/\\]\.gemini[/\\]"), "agy")
     )
+
+
+def percent_decode(text: Column) -> Column:
+    """%XX as bytes of UTF-8; what is no such pair stays, and so does a plus."""
+    pairs = F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.url_decode(F.replace(pairs, F.lit("+"), F.lit("%2B")))
+
+
+# Characters that a component of an address may hold as they are,
+# next to letters, digits and those that ``url_encode`` leaves.
+PLAIN = {"%21": "!", "%27": "'", "%28": "(", "%29": ")", "%7E": "~", "+": "%20"}
+
+
+def encode_component(text: Column) -> Column:
+    out = F.url_encode(text)
+    for coded, plain in PLAIN.items():
+        out = F.replace(out, F.lit(coded), F.lit(plain))
+    return out
+
+
+def decode_component(text: Column) -> Column:
+    """Null where a percent sign is not followed by two hex digits."""
+    return F.when(~text.rlike("%(?![0-9A-Fa-f]{2})"), percent_decode(text))

@@ -10,6 +10,7 @@ a store that cannot match is read.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlake.functions import text as T
-from threadlake.sources import databases, log_ranges, transcripts
+from threadlake.sources import databases, log_ranges, transcripts, workspaces
 from threadlake.sources.discovery import SOURCES, Store
 
 MESSAGES = "source string, path string, seq long, role string, text string, date string, time_ms long, project string"
@@ -89,8 +90,19 @@ def tables(source: str, read_databases: Callable[[SparkSession, list[str]], Data
     return read
 
 
-for _name in ("claude", "codex", "pi", "omp", "droid", "agy"):
+def conversations(read_logs: Reader) -> Reader:
+    """Reader of logs whose folder is told beside them."""
+
+    def read(spark: SparkSession, stores: Sequence[Store], asked: Asked) -> DataFrame:
+        bases = list(dict.fromkeys(os.path.dirname(s.path.rstrip("/")) for s in stores))
+        return workspaces.with_workspace(read_logs(spark, stores, asked), workspaces.workspaces(spark, bases))
+
+    return read
+
+
+for _name in ("claude", "codex", "pi", "omp", "droid"):
     register(_name, logs(_name))
+register("agy", conversations(logs("agy")))
 register("opencode", tables("opencode", databases.opencode))
 register("openclaw", tables("openclaw", databases.openclaw))
 register("hermes", tables("hermes", databases.hermes))

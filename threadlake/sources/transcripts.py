@@ -9,6 +9,7 @@ DataFrame code.
 
 from __future__ import annotations
 
+import bisect
 import json
 import re
 from collections.abc import Iterable
@@ -19,8 +20,11 @@ from pyspark.sql import functions as F
 
 EVENTS = (
     "path string, line long, block int, node_id string, parent_id string, kind string, role string, text string, tool string, "
-    "input string, call_id string, output string, is_error boolean, ts string, project string"
+    "input string, call_id string, output string, is_error boolean, ts string, project string, place string"
 )
+#: Where a row stands if not in the tree of messages as any other: ``hook`` rows
+#: are never the newest message, ``aside`` rows have no parent and always stay.
+HOOK, ASIDE = "hook", "aside"
 _NAMES = [c.split()[0] for c in EVENTS.split(", ")]
 
 
@@ -72,6 +76,28 @@ def _blocks(row: dict, message: dict, base: dict) -> list[dict]:
     return out
 
 
+def compaction_summary(source: str, row: dict) -> str | None:
+    """What a row that stands for earlier messages says, as a user's message."""
+    kind, removed = _string(row, "type"), None
+    if source == "droid" and kind == "compaction_state" and _string(row, "summaryKind") == "llm_summary":
+        text, removed = _string(row, "summaryText"), row.get("removedCount")
+    elif source == "codex" and kind == "compacted":
+        text = _string(row, "payload", "message")
+    else:
+        return None
+    if not text or not text.strip():
+        return None
+    counted = isinstance(removed, (int, float)) and not isinstance(removed, bool) and removed >= 1
+    return f"[Compaction summary{f' of {removed:g} earlier messages' if counted else ''}]\n\n{text}"
+
+
+def _typed_by_user(text: str) -> str:
+    """A user's own words: a block of the harness has none, one appended is cut."""
+    if text.lstrip().startswith(("<system-reminder>", "<system-notification>")):
+        return ""
+    return re.split(r"\s*\n<system-notification>", text, maxsplit=1)[0]
+
+
 def parse_line(source: str, value: str) -> list[dict]:
     """The events of one line; none if it is no JSON object or holds no event."""
     try:
@@ -87,6 +113,8 @@ def parse_line(source: str, value: str) -> list[dict]:
         "ts": _string(row, "timestamp") or _string(row, "created_at"),
         "project": _string(row, "cwd") or _string(row, "payload", "cwd"),
     }
+    if (summary := compaction_summary(source, row)) is not None:
+        return [base | {"node_id": None, "parent_id": None, "kind": "user", "role": "user", "text": summary, "place": ASIDE}]
     if source == "codex":
         payload = row.get("payload") if isinstance(row.get("payload"), dict) else {}
         what = _string(payload, "type")
@@ -112,15 +140,20 @@ def parse_line(source: str, value: str) -> list[dict]:
             return said + [base | {"kind": "tool_call", "block": k, "tool": _string(c, "name"), "input": json.dumps(c.get("args"), ensure_ascii=False)} for k, c in enumerate(calls)]
         return [base | {"kind": "tool_result", "output": text, "is_error": kind == "ERROR_MESSAGE"}] if kind else []
     message = row.get("message") if isinstance(row.get("message"), dict) else None
-    if source == "droid" and (_string(row, "visibility") == "llm_only" or message is None):
-        return []
+    if source == "droid":
+        if kind != "message":  # bookkeeping is no part of the tree
+            return [base | {"node_id": None, "parent_id": None, "kind": "meta", "place": ASIDE}] if base["project"] else []
+        base["place"] = HOOK if _string(row, "hookEventName") else None
+        if message is None or _string(row, "visibility") == "llm_only":
+            return [base | {"kind": "meta"}]  # not shown, though others hang on it
     if message is None or (source == "claude" and kind not in ("user", "assistant")):
         return [base | {"kind": "meta"}] if base["project"] or base["node_id"] else []
     found = _blocks(row, message, base)
     if source == "droid":
         for event in found:
-            if event.get("text"):
-                event["text"] = re.sub(r"<system-reminder>.*?</system-reminder>\s*", "", event["text"], flags=re.S)
+            if event["kind"] == "user":
+                event["text"] = _typed_by_user(event["text"])
+        found = [e for e in found if e["kind"] != "user" or e["text"].strip()]
     return found or [base | {"kind": "meta"}]
 
 
@@ -143,30 +176,35 @@ def events(lines: DataFrame) -> DataFrame:
 
 def active_branch(rows: DataFrame) -> DataFrame:
     """Rows (path, line, node_id, parent_id, ...) on the path from each session's
-    newest node to its root; rows without an id stay if the session has no tree.
+    newest node to its root, and those that stand aside of the tree; rows without
+    an id stay if the session has no tree.
 
-    A walk along parent links is sequential, but sessions are many and small:
-    each is walked on its own. A link to the newest earlier row of that id wins;
-    cycles end the walk.
+    A walk along parent links is sequential, but sessions are many: each is walked
+    on its own, by its links alone, which say what lines to keep. A link to the
+    newest earlier row of that id wins; cycles end the walk.
     """
 
     def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("line", kind="stable")
-        nodes = frame.dropna(subset=["node_id"]).drop_duplicates("line")
-        if nodes.empty:
-            return frame
-        lines, ids, parents = nodes["line"].tolist(), nodes["node_id"].tolist(), nodes["parent_id"].tolist()
+        nodes = frame.sort_values("line", kind="stable").drop_duplicates("line")
+        lines, ids, parents, places = (nodes[c].tolist() for c in ("line", "node_id", "parent_id", "place"))
         where: dict[str, list[int]] = {}
         for k, name in enumerate(ids):
-            where.setdefault(name, []).append(k)
-        at, keep = len(ids) - 1, set()
-        while at is not None and lines[at] not in keep:
+            if isinstance(name, str):
+                where.setdefault(name, []).append(k)
+        if not where:
+            return nodes[["path", "line"]]
+        at = next((k for k in reversed(range(len(ids))) if isinstance(ids[k], str) and places[k] != HOOK), None)
+        keep = {line for line, place in zip(lines, places) if place == ASIDE}
+        while at is not None:
             keep.add(lines[at])
-            earlier = [k for k in where.get(parents[at], ()) if k < at] if isinstance(parents[at], str) else []
-            at = earlier[-1] if earlier else None
-        return frame[frame["line"].isin(keep)]
-
-    return rows.groupBy("path").applyInPandas(walk, rows.schema)
+            same = where.get(parents[at], []) if isinstance(parents[at], str) else []
+            before = bisect.bisect_left(same, at)  # always an earlier row, so the walk ends
+            at = same[before - 1] if before else None
+        return nodes.loc[nodes["line"].isin(keep), ["path", "line"]]
+
+    place = F.col("place") if "place" in rows.columns else F.lit(None).cast("string").alias("place")
+    kept = rows.select("path", "line", "node_id", "parent_id", place).groupBy("path").applyInPandas(walk, "path string, line long")
+    return rows.join(kept, ["path", "line"], "left_semi")
 
 
 def messages(found: DataFrame) -> DataFrame:
