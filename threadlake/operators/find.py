@@ -18,9 +18,13 @@ MAX_KEYWORDS = 6
 
 # Words that carry no signal in a description of a session.
 STOPWORDS = frozenset(
-    "about after again all also and any are been before being but can chat conversation could did does doing done earlier for from had has have how "
-    "into its just last made make not one our out over previous remember session sessions should some talked than that the their them then there these "
-    "they thing things this those time was were what when where which while who why will with worked would you your".split()
+    (
+        "about", "after", "again", "all", "also", "and", "any", "are", "been", "before", "being", "but", "can", "chat", "conversation", "could",
+        "did", "does", "doing", "done", "earlier", "for", "from", "had", "has", "have", "how", "into", "its", "just", "last", "made", "make", "not",
+        "one", "our", "out", "over", "previous", "remember", "session", "sessions", "should", "some", "talked", "than", "that", "the", "their",
+        "them", "then", "there", "these", "they", "thing", "things", "this", "those", "time", "was", "were", "what", "when", "where", "which",
+        "while", "who", "why", "will", "with", "worked", "would", "you", "your",
+    )
 )
 
 

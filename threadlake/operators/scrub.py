@@ -16,7 +16,10 @@ PLACEHOLDER = "[redacted]"
 
 # Keys that name or link a record and are kept when its event goes.
 STRUCTURE_KEYS = frozenset(
-    "type role id uuid parentId parentUuid logicalParentUuid leafUuid sessionId timestamp cwd version name toolName tool_use_id toolCallId call_id callID is_error isError model".split()
+    (
+        "type", "role", "id", "uuid", "parentId", "parentUuid", "logicalParentUuid", "leafUuid", "sessionId", "timestamp", "cwd", "version", "name",
+        "toolName", "tool_use_id", "toolCallId", "call_id", "callID", "is_error", "isError", "model",
+    )
 )
 
 
