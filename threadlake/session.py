@@ -73,14 +73,15 @@ def bound_batches(spark: SparkSession, size: int = 4 << 20) -> None:
 _written: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 
-def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
+def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None, **options: str) -> DataFrame:
     """Write to the shared folder and read again: later stages start from the
-    table, so a lost executor costs no more than the stage at hand."""
+    table, so a lost executor costs no more than the stage at hand. ``options``
+    are the writer's."""
     spark = df.sparkSession
     path = shared_path(spark, label)
     if (written := _written.get()) is not None:
         written.append(path)
-    writer = df.write.mode("overwrite")
+    writer = df.write.mode("overwrite").options(**options)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
 
