@@ -525,6 +525,26 @@ def test_trigram_index_is_of_all_texts(spark):
     assert got == {(t[k : k + 3].lower(), d) for d, t in enumerate(texts) if t for k in range(len(t) - 2)}
 
 
+def _rows_scanned(df):
+    df.collect()
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    return sum(leaves.apply(k).metrics().apply("numOutputRows").value() for k in range(leaves.size()))
+
+
+def test_lookup_reads_its_pages_alone(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").coalesce(1)
+    index = secrets_scan.trigram_index(docs)
+    rules = (*secrets_scan.BASE_RULES, *secrets_scan.MORE_RULES)
+    wanted = sorted({t for r in rules for condition in trigrams.query(r.pattern) for clause in condition for t in clause})
+    ends = wanted[:5] + wanted[-5:]
+    assert len(wanted) > 50 and index.count() > 500_000
+    assert _rows_scanned(secrets_scan.lookup(index, ends)) < index.count() / 10
+    assert _rows_scanned(secrets_scan.lookup(index, wanted)) <= secrets_scan.PAGE_ROWS * 2 * len(wanted) < index.count()
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(secrets_scan.lookup(index, wanted)) == rows(index.filter(F.col("trigram").isin(wanted)))
+    assert secrets_scan.lookup(index, []).count() == 0
+
+
 def test_candidates_meet_every_condition(spark):
     rule = secrets_scan.Rule("pair", "abc.*(def|ghi)")
     index = secrets_scan.trigram_index(docs_of(spark, ["abc def", "abc", "def ghi", "ABC x GHI", "ghi abc"]))

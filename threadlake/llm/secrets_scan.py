@@ -1,8 +1,10 @@
 """Secret scan through a trigram inverted index.
 
 The index stores every trigram of every text (in lower case) with the document
-it is in: a segment per task, sorted by trigram, so a lookup reads the pages of
-its trigrams alone. It knows nothing of the rules and serves any others.
+it is in: a segment per task, sorted by trigram and cut into small pages. A
+lookup names its trigrams in filters that the scan can hold against the pages'
+bounds, so of each segment it reads the pages of its trigrams alone. The index
+knows nothing of the rules and serves any others.
 
 Each rule's regular expression yields a Boolean trigram query: conditions that
 must all hold, each with alternatives, each of several trigrams. Postings of an
@@ -25,6 +27,7 @@ empty string; an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,6 +72,9 @@ MORE_RULES = (
 )
 
 
+#: Rows of a page of the index: what a lookup reads around a short list.
+PAGE_ROWS = 2000
+
 #: Every place of a text with its three characters.
 ALL_TRIGRAMS = r"(?s)(?=(...))"
 
@@ -79,7 +85,17 @@ def trigram_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     held = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col).cast("string")), F.lit(ALL_TRIGRAMS), F.lit(1)))
     # explode would test the list for being empty first, and so build it twice
     postings = docs.select(F.col(id_col).alias("doc_id"), F.explode_outer(held).alias("trigram")).filter("trigram is not null")
-    return materialize(postings.select("trigram", "doc_id").sortWithinPartitions("trigram"), "trigram-index")
+    sorted_rows = postings.select("trigram", "doc_id").sortWithinPartitions("trigram")
+    return materialize(sorted_rows, "trigram-index", **{"parquet.page.row.count.limit": str(PAGE_ROWS)})
+
+
+def lookup(index: DataFrame, wanted: list[str]) -> DataFrame:
+    """The postings of the wanted trigrams. A list longer than the scan's
+    threshold would be pushed down as its least and greatest value alone, so it
+    is asked for in short lists."""
+    size = max(1, int(index.sparkSession.conf.get("spark.sql.parquet.pushdown.inFilterThreshold")))
+    lists = [F.col("trigram").isin(wanted[k : k + size]) for k in range(0, len(wanted), size)]
+    return index.filter(reduce(Column.__or__, lists, F.lit(False)))
 
 
 def scanning(rules) -> int:
@@ -99,7 +115,7 @@ def candidates(index: DataFrame, rules) -> DataFrame:
     wanted = sorted({a[5] for a in asked})
     table = index.sparkSession.createDataFrame(asked, "rule int, conditions int, condition int, clause int, size int, trigram string")
     return (
-        index.filter(F.col("trigram").isin(wanted))
+        lookup(index, wanted)
         .join(F.broadcast(table), "trigram")  # as many rows as the rules have trigrams
         .groupBy("doc_id", "rule", "conditions", "condition", "clause", "size")
         .agg(F.count_distinct("trigram").alias("n"))
