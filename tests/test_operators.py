@@ -1,3 +1,4 @@
+import json
 import random
 from datetime import date
 
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from threadlake.functions import text as T
 from threadlake.operators import find, index, notes, profile, said, scrub, search, windows
+from threadlake.sources import transcripts
 
 
 def rows(spark, data, schema):
@@ -300,12 +302,52 @@ def test_scrub(spark):
     assert scrub.parse_drops("3, 7-9") == {3, 7, 8, 9}
     with pytest.raises(ValueError):
         scrub.parse_drops("9-7")
-    assert scrub.redact({"type": "user", "message": {"content": "x", "n": 1}}) == {"type": "user", "message": {"content": "[redacted]", "n": 1}}
-    lines = rows(spark, [("p", 1, '{"text":"keep\\nsecret here"}'), ("p", 2, '{"type":"user","text":"b"}'), ("p", 3, "not json secret")], "path string, line long, value string")
-    got = {r.line: r for r in scrub.scrub_lines(lines, rows(spark, [("p", 2)], "path string, line long"), ["secret"]).collect()}
-    assert got[1].value == '{"text":"keep\\n[redacted]"}' and got[1].pattern_lines == 1
-    assert got[2].value == '{"type":"user","text":"[redacted]"}' and got[2].changed
-    assert not got[3].changed
+    lines = rows(spark, [("p", 1, '{"text":"keep\\nSecret here"}'), ("p", 2, '{"type":"user","message":{"role":"user","content":"b"}}'), ("p", 3, "not json secret"), ("p", 4, None), ("p", 5, '["secret"]')], "path string, line long, value string")
+    got = {r.line: r for r in scrub.scrub_lines(lines, rows(spark, [("p", 2)], "path string, line long"), [" sECRET "]).collect()}
+    assert got[1].value == '{"text":"keep"}' and got[1].pattern_lines == 1
+    assert got[2].value == '{"type":"user","message":{"role":"user","content":"[redacted]"}}' and got[2].changed
+    assert not any(got[k].changed or got[k].pattern_lines for k in (3, 4, 5)) and got[4].value is None
+    with pytest.raises(ValueError):
+        scrub.scrub_lines(lines, None, [" ", ""])
+    for refused in ("agy", "hermes", "opencode"):
+        with pytest.raises(ValueError):
+            scrub.scrub_lines(lines, None, ["secret"], refused)
+
+
+def test_scrub_keeps_what_names_a_record():
+    node = {"type": "tool_use", "id": "t1", "name": "Bash", "input": {"command": "ls", "cwd": "/x", "n": 1, "more": ["a", {"note": "b", "text": None}]}, "content": "c"}
+    kept = {"type": "tool_use", "id": "t1", "name": "Bash", "input": {"command": "[redacted]", "cwd": "/x", "n": 1, "more": ["[redacted]", {"note": "b", "text": None}]}, "content": "[redacted]"}
+    assert scrub.redact(node) == kept
+
+
+def test_scrub_literals():
+    found = scrub.Literals(["a.b", "KEY"])
+    assert found.clean({"my key": 1, "Key": "axb", "x": "\u00a0A.B\n \t", "y": ["one\nA.B two\nthree", 5]}) == {"[redacted]": 1, "[redacted]-2": "axb", "x": "[redacted]", "y": ["one\nthree", 5]}
+    assert found.hits == 4
+
+
+def test_scrub_drops_a_block_and_the_result_of_a_call(spark):
+    turn = lambda **more: json.dumps(more, separators=(",", ":"))
+    said = [{"type": "text", "text": "half \ud83d"}, {"type": "tool_use", "id": "c1", "name": "Bash", "input": {"command": "ls"}}]
+    back = [{"type": "tool_result", "tool_use_id": "c1", "content": "out"}]
+    log = [
+        turn(type="user", uuid="1", message={"role": "user", "content": "run it"}),
+        turn(type="assistant", uuid="2", message={"role": "assistant", "content": said}),
+        turn(type="user", uuid="3", message={"role": "user", "content": back}, toolUseResult={"stdout": "out", "code": 0}),
+    ]
+    lines = rows(spark, [("p", "claude", k + 1, v) for k, v in enumerate(log)], "path string, source string, line long, value string")
+    found = windows.numbered(transcripts.events(lines), "line", "block")
+    call = found.filter("kind = 'tool_call'").select("path", "idx")
+    drops = scrub.dropped_events(found, call)
+    assert sorted((r.line, r.block, r.kind) for r in drops.collect()) == [(2, 1, "tool_call"), (3, 0, "tool_result")]
+    got = [r.value for r in scrub.scrub_lines(lines, drops).orderBy("line").collect()]
+    assert got[0] == log[0]
+    assert json.loads(got[1])["message"]["content"] == [said[0], said[1] | {"input": {"command": "[redacted]"}}]
+    assert json.loads(got[2]) == json.loads(log[2]) | {"message": {"role": "user", "content": [back[0] | {"content": "[redacted]"}]}, "toolUseResult": {"stdout": "[redacted]", "code": 0}}
+    with pytest.raises(ValueError):
+        scrub.dropped_events(found, rows(spark, [("p", 99)], "path string, idx long"))
+    codex = rows(spark, [("p", 1, '{"type":"response_item","payload":{"type":"message","role":"user","content":[{"type":"input_text","text":"x"}]}}')], "path string, line long, value string")
+    assert scrub.scrub_lines(codex, codex.select("path", "line"), source="codex").first().value == '{"type":"response_item","payload":{"type":"message","role":"user","content":[{"type":"input_text","text":"[redacted]"}]}}'
 
 
 def test_secret_shapes(spark):

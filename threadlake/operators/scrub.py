@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
@@ -12,13 +13,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadlake.functions.text import TRIM_CLASS
+
 PLACEHOLDER = "[redacted]"
+#: Agents whose sessions are logs and nothing else.
+LOGS = ("claude", "codex", "droid", "omp", "pi")
+
+_EDGES = re.compile(f"^[{TRIM_CLASS}]+|[{TRIM_CLASS}]+\\Z")
+_HALVES = re.compile("[\ud800-\udfff]")
 
-# Keys that name or link a record and are kept when its event goes.
-STRUCTURE_KEYS = frozenset(
+# Keys whose texts are what was said, or what a tool got or gave.
+WORDED_KEYS = frozenset(
     (
-        "type", "role", "id", "uuid", "parentId", "parentUuid", "logicalParentUuid", "leafUuid", "sessionId", "timestamp", "cwd", "version", "name",
-        "toolName", "tool_use_id", "toolCallId", "call_id", "callID", "is_error", "isError", "model",
+        "text", "thinking", "output", "stdout", "stderr", "error", "command", "lastPrompt", "title", "summary", "description",
+        "input", "arguments", "action", "toolUseResult", "content", "metadata",
     )
 )
 
@@ -34,74 +42,137 @@ def parse_drops(spec: str) -> set[int]:
     return out
 
 
-def redact(node, placeholder: str = PLACEHOLDER, key: str | None = None):
-    """The same structure with every text outside the kept keys replaced."""
-    if isinstance(node, dict):
-        return {k: redact(v, placeholder, k) for k, v in node.items()}
-    if isinstance(node, list):
-        return [redact(v, placeholder, key) for v in node]
-    if isinstance(node, str) and key not in STRUCTURE_KEYS:
+def redact(node, placeholder: str = PLACEHOLDER):
+    """The same structure without its words: a text by itself, in a list or under
+    one of ``WORDED_KEYS`` is replaced; ids, types, names and numbers stay."""
+    if isinstance(node, str):
         return placeholder
+    if isinstance(node, list):
+        return [redact(v, placeholder) for v in node]
+    if isinstance(node, dict):
+        return {k: v if isinstance(v, str) and k not in WORDED_KEYS else redact(v, placeholder) for k, v in node.items()}
     return node
 
 
-def mask(node, patterns: list[re.Pattern], placeholder: str = PLACEHOLDER):
-    """The structure with the lines of its texts that match a pattern replaced,
-    and matching keys renamed; and how many lines that were."""
-    if isinstance(node, dict):
-        out, n = {}, 0
-        for k, v in node.items():
-            hit = any(p.search(k) for p in patterns)
-            v, m = mask(v, patterns, placeholder)
-            name, tries = placeholder if hit else k, 1
-            while name in out:
-                tries += 1
-                name = f"{placeholder} {tries}"
-            out[name] = v
-            n += m + hit
-        return out, n
-    if isinstance(node, list):
-        pairs = [mask(v, patterns, placeholder) for v in node]
-        return [v for v, _ in pairs], sum(m for _, m in pairs)
-    if isinstance(node, str):
-        lines = node.split("\n")
-        hits = [any(p.search(line) for p in patterns) for line in lines]
-        return "\n".join(placeholder if h else line for h, line in zip(hits, lines)), sum(hits)
-    return node, 0
+def _places(row: dict, source: str, block: int, is_result: bool):
+    """(holder, key) of what an event of a log's row says; block -1 is the row's only one."""
+    if source == "codex":
+        if isinstance(row.get("payload"), dict):
+            yield row, "payload"
+        return
+    message = row.get("message")
+    content = message.get("content") if isinstance(message, dict) else None
+    if block < 0 or not isinstance(content, list):
+        if content is not None:
+            yield message, "content"
+    elif block < len(content):
+        yield content, block
+    if source == "claude" and is_result and "toolUseResult" in row:
+        yield row, "toolUseResult"
+
+
+class Literals:
+    """Finds any of some literals, whatever their case, one pattern at a time."""
+
+    def __init__(self, patterns: Iterable[str], placeholder: str = PLACEHOLDER):
+        self.needles = [p for p in (_EDGES.sub("", q).lower() for q in patterns) if p]
+        self.placeholder, self.hits = placeholder, 0
+
+    def found(self, text: str) -> bool:
+        low = text.lower()
+        return any(n in low for n in self.needles)
+
+    def cut(self, text: str) -> str:
+        """Without its lines that hold a literal; the placeholder if no word is left."""
+        if not self.found(text):
+            return text
+        lines = text.split("\n")
+        kept = [line for line in lines if not self.found(line)]
+        self.hits += len(lines) - len(kept)
+        left = "\n".join(kept)
+        return left if _EDGES.sub("", left) else self.placeholder
+
+    def clean(self, node):
+        """A structure with all its texts cut and keys that hold a literal renamed."""
+        if isinstance(node, str):
+            return self.cut(node)
+        if isinstance(node, list):
+            return [self.clean(v) for v in node]
+        if not isinstance(node, dict):
+            return node
+        out = {}
+        for key, value in node.items():
+            if self.found(key):
+                self.hits += 1
+                names = itertools.chain([self.placeholder], (f"{self.placeholder}-{k}" for k in itertools.count(2)))
+                key = next(n for n in names if n not in out)
+            out[key] = self.clean(value)
+        return out
+
+
+def _written(node) -> str:
+    """Compact JSON; halves of characters, which no encoding has, as escapes."""
+    text = json.dumps(node, ensure_ascii=False, separators=(",", ":"))
+    return _HALVES.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
+def dropped_events(events: DataFrame, drops: DataFrame) -> DataFrame:
+    """path, line, block, idx, kind: of numbered events (path, line, block, idx,
+    kind, call_id) those that ``drops`` (path, idx) names, and the results of
+    calls among them. A number that no event has is an error."""
+    named = drops.select("path", "idx").distinct()
+    if missing := named.join(events, ["path", "idx"], "left_anti").first():
+        raise ValueError(f"no event {missing.idx} in {missing.path}")
+    taken = events.join(named, ["path", "idx"], "left_semi")
+    calls = taken.filter("kind = 'tool_call' and call_id <> ''").select("path", "call_id").distinct()
+    results = events.filter("kind = 'tool_result'").join(calls, ["path", "call_id"], "left_semi")
+    return taken.unionByName(results).select("path", "line", "block", "idx", "kind").distinct()
 
 
 SCRUBBED = "path string, line long, value string, changed boolean, pattern_lines long"
 
 
-def scrub_lines(lines: DataFrame, drop_lines: DataFrame | None = None, patterns: list[str] = (), placeholder: str = PLACEHOLDER) -> DataFrame:
-    """Transcript lines (path, line, value) with dropped events and patterns
-    masked. ``drop_lines`` names (path, line). Lines that are not JSON are kept
-    and count as not changed; writing back is left to the caller."""
+def scrub_lines(lines: DataFrame, drops: DataFrame | None = None, patterns: Iterable[str] = (), source: str = "claude", placeholder: str = PLACEHOLDER) -> DataFrame:
+    """Lines (path, line, value) of an agent's logs without dropped events and
+    without lines of texts that hold a pattern: a literal, whatever its case.
+
+    ``drops`` has (path, line) and, as from ``dropped_events``, block and kind;
+    without a block all that a row says goes. Rows that are no JSON object stay
+    and count as not changed; writing back is left to the caller. Sessions in
+    databases, and those an agent keeps in several copies, are refused.
+    """
+    if source not in LOGS:
+        raise ValueError(f"sessions of {source} are not kept in logs alone")
+    patterns = list(patterns)
+    if drops is None and not Literals(patterns).needles:
+        raise ValueError("name events to drop or patterns")
     marked = lines.select(F.col("path").cast("string").alias("path"), F.col("line").cast("long").alias("line"), "value")
-    if drop_lines is None:
-        marked = marked.withColumn("drop", F.lit(False))
+    if drops is None:
+        marked = marked.withColumn("drops", F.lit(None).cast("array<int>"))
     else:
-        dropped = drop_lines.select(F.col("path").cast("string").alias("path"), F.col("line").cast("long").alias("line")).distinct().withColumn("drop", F.lit(True))
-        marked = marked.join(dropped, ["path", "line"], "left").withColumn("drop", F.coalesce("drop", F.lit(False)))
+        block = F.coalesce("block", F.lit(-1)) if "block" in drops.columns else F.lit(-1)
+        result = F.coalesce(F.col("kind") == "tool_result", F.lit(False)) if "kind" in drops.columns else F.lit(True)
+        told = drops.select(F.col("path").cast("string").alias("path"), F.col("line").cast("long").alias("line"), (2 * block + result.cast("int")).cast("int").alias("told"))
+        marked = marked.join(told.groupBy("path", "line").agg(F.collect_set("told").alias("drops")), ["path", "line"], "left")
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        compiled = [re.compile(p) for p in patterns]
         for frame in frames:
             rows = []
-            for path, line, value, drop in frame[["path", "line", "value", "drop"]].itertuples(index=False):
-                hits, out = 0, value
+            for path, line, value, drops in frame[["path", "line", "value", "drops"]].itertuples(index=False):
+                literals = Literals(patterns, placeholder)
                 try:
                     node = json.loads(value)
-                except (ValueError, TypeError):
-                    node = None
-                if node is not None:
-                    if drop:
-                        node = redact(node, placeholder)
-                    if compiled:
-                        node, hits = mask(node, compiled, placeholder)
-                    if drop or hits:
-                        out = json.dumps(node, ensure_ascii=False, separators=(",", ":"))
-                rows.append((path, line, out, out != value, hits))
+                    before = _written(node)
+                    if isinstance(node, dict):
+                        for told in drops if drops is not None else ():
+                            for holder, key in _places(node, source, told // 2, bool(told % 2)):
+                                holder[key] = redact(holder[key], placeholder)
+                        node = literals.clean(node)
+                    after = _written(node)
+                except (ValueError, TypeError, RecursionError):
+                    before = after = ""
+                    literals.hits = 0
+                rows.append((path, line, after if after != before else value, after != before, literals.hits))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCRUBBED.split(", ")])
 
     return marked.mapInPandas(run, SCRUBBED)

@@ -685,12 +685,26 @@ def queue_match_batch(spark, sf_dir):
     return notes.match_batch(queue, results).select("id", "sha")
 
 
-@query()
+@query(
+    """
+WITH t AS (
+  SELECT conv_id::VARCHAR AS path, turn AS line, turn % 3 = 2 AS dropped, text,
+    CASE WHEN turn % 3 = 2 THEN ['[redacted]'] ELSE string_split(text, chr(10)) END AS lines
+  FROM conversations
+), k AS (SELECT *, list_filter(lines, lambda l: NOT contains(lower(l), 'tion') AND NOT contains(lower(l), 'that')) AS kept FROM t),
+j AS (SELECT *, coalesce(len(lines) - len(kept), 0) AS cut, array_to_string(kept, chr(10)) AS rest FROM k)
+SELECT path, line, cut AS pattern_lines, text IS NOT NULL AND (cut > 0 OR array_to_string(lines, chr(10)) <> text) AS changed,
+  CASE WHEN text IS NULL THEN NULL WHEN cut > 0 AND trim(rest) = '' THEN '[redacted]' ELSE rest END AS text
+FROM j
+"""
+)
 def scrub_events(spark, sf_dir):
-    """Every tenth turn dropped, lines that name an address masked."""
+    """Every third turn dropped, lines that hold a literal taken out of the others."""
     rows = A.messages(spark, sf_dir)
-    lines = rows.select("path", F.col("seq").alias("line"), F.to_json(F.struct("role", "text")).alias("value"))
-    return scrub.scrub_lines(lines, lines.filter("line % 10 = 9").select("path", "line"), [r"[0-9]{4}"])
+    said = F.struct("role", F.col("text").alias("content")).alias("message")
+    lines = rows.select("path", F.col("seq").alias("line"), F.to_json(F.struct(said)).alias("value"))
+    done = scrub.scrub_lines(lines, lines.filter("line % 3 = 2").select("path", "line"), [" Tion ", "that", "  "])
+    return done.select("path", "line", F.get_json_object("value", "$.message.content").alias("text"), "changed", "pattern_lines")
 
 
 @query("SELECT DISTINCT conv_id AS path FROM conversations WHERE conv_id NOT IN (3, 5, 8)")
