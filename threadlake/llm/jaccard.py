@@ -19,10 +19,11 @@ bound under further orders before their texts are fetched and compared.
 4. In every list of an index all members meet the one that shares most with
    others (of a group of copies mostly their original). Found links are joined
    to components; lists within one component are done. What is left meets
-   across components where that is no more than ``ROOM`` meetings per listing, else
-   in further rounds with twice the meeting members. So a group of G near copies
-   costs some G pairs per shared shingle, and no link between different
-   components is missed. When all meet, the number of lists a pair shares is
+   across components. In crowded lists, of more than ``ROOM`` meetings per
+   listing, a meeting is first held against the parities of both sets, within
+   the join, so members that are alike but not near enough make no pair; beyond
+   ``HELD`` such comparisons per listing further rounds with twice the meeting
+   members come before. No link between different components is missed. When all meet, the number of lists a pair shares is
    known in full and bounds its intersection, which drops most pairs at once.
    Shingles of a single class count towards no intersection, which bounds what a
    set can share at all (its reach) and takes hopeless members off the lists;
@@ -49,12 +50,13 @@ from pyspark.sql import functions as F
 
 from threadlake.llm import worker
 from threadlake.llm.components import components
-from threadlake.llm.textgrid import grids, mix
+from threadlake.llm.textgrid import grids, mix, near_by_parities, parities
 from threadlake.session import bound_batches, concluded, materialize
 
 THETA = np.uint64((1 << 64) // 100 * 26)
 HOT = 64
 ROOM = 32
+HELD = 4096
 MAX_BROADCAST_IDS = 1_000_000
 _SECOND_ORDER = np.uint64(0xD6E8FEB86659FD93)
 
@@ -81,12 +83,12 @@ def _binary(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * 2).astype(np.int64).tobytes()), pa.py_buffer(raw)]).cast(pa.binary())
 
 
-SIGNATURES = "doc_id long, n long, fp1 long, fp2 long, h1 long, h2 long, second binary, third binary, listed array<bigint>"
+SIGNATURES = "doc_id long, n long, fp1 long, fp2 long, h1 long, h2 long, second binary, third binary, listed array<bigint>, odd array<bigint>"
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: set size, set fingerprint, hash of the raw text, prefixes under
-    the second and third order, and the shingles listed in the first index."""
+    the second and third order, the shingles listed in the first index, parities."""
     names = [part.split()[0] for part in SIGNATURES.split(", ")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +114,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 where, values = _list_of(doc[low], code[low].view(np.int64), g.n_docs)
                 listed = pa.ListArray.from_arrays(pa.array(where, pa.int32()), pa.array(values, pa.int64()))
                 ids, h1, h2 = (batch.column(c).slice(at, g.n_docs) for c in (0, 2, 3))
-                yield pa.record_batch([ids, pa.array(n, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), h1, h2, second, third, listed], names)
+                yield pa.record_batch([ids, pa.array(n, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), h1, h2, second, third, listed, parities(doc, code, g.n_docs)], names)
 
     bound_batches(docs.sparkSession)
     return _hashed(docs, id_col, text_col).mapInArrow(run, SIGNATURES)
@@ -308,26 +310,37 @@ def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
         labelled = materialize(labelled, "jaccard-labelled")
         share = labelled.groupBy("list", "label").agg(F.count("*").alias("k"))
         whole = share.groupBy("list").agg(F.max_by("label", F.struct("k", "label")).alias("major"), F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("squares"))
-        whole = materialize(whole.filter("m * m > squares"), "jaccard-whole")
-        rows, apart = whole.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum(F.expr("(double(m) * m - squares) / 2")), F.lit(0.0))).first()
+        whole = whole.filter("m * m > squares").withColumn("apart", F.expr("(double(m) * m - squares) / 2"))
+        whole = materialize(whole.withColumn("crowded", F.col("apart") > ROOM * F.col("m")), "jaccard-whole")
+        rows, crowded, apart = whole.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("crowded"), F.col("m"))), F.lit(0)), F.coalesce(F.sum(F.when(F.col("crowded"), F.col("apart"))), F.lit(0.0))).first()
         if not rows:
             return labels
-        lists = materialize(labelled.join(whole.select("list", "major"), "list"), "jaccard-lists")
-        minor = lists.filter("label <> major").select("list", *other, F.col("label").alias("label_x"))
-        if apart <= ROOM * rows + 100_000:
-            every = minor.join(lists, "list").filter(f"label <> label_x and (label = major or x < row_id) and {may}")
-            counted = every.groupBy(*pair).agg(F.count_if(F.col("list.index") == 1).alias("shared1"), F.count_if(F.col("list.index") == 2).alias("shared2"))
-            # A pair not yet compared meets in every list it shares, so its counts are full.
+        lists = materialize(labelled.join(whole.select("list", "major", "crowded"), "list"), "jaccard-lists")
+        crowd = lists.filter("crowded")
+        if crowded:
+            crowd = materialize(crowd.join(classes.select("row_id", "odd"), "row_id"), "jaccard-crowd")
+        held = f"{may} and {near_by_parities(80, 'odd', 'n', 'ox', 'nx')}"
+        if apart <= HELD * crowded + 1_000_000:
+            met_by = lambda of, *more: of.filter("label <> major").select("list", *other, F.col("label").alias("label_x"), *more)
+            across = "label <> label_x and (label = major or x < row_id)"
+            each = ["list", *pair]
+            sparse = lists.filter("not crowded")
+            every = met_by(sparse).join(sparse, "list").filter(f"{across} and {may}").select(*each)
+            if crowded:
+                every = every.unionByName(met_by(crowd, F.col("odd").alias("ox")).join(crowd, "list").filter(f"{across} and {held}").select(*each))
+            counted = every.groupBy("a", "b").agg(F.count_if(F.col("list.index") == 1).alias("shared1"), F.count_if(F.col("list.index") == 2).alias("shared2"))
+            # A pair not yet compared that may link meets in every list it shares, so its counts are full.
             pairs = materialize(_within_bounds(counted, shape), "jaccard-pairs")
             compared = _verify(pairs, classes, docs)
             return components(links.unionByName(compared.filter("linked").select("a", "b")))
         meeting *= 2
         top = F.row_number().over(Window.partitionBy("list").orderBy(F.desc("score"), F.desc("row_id")))
-        firsts = materialize(lists.withColumn("place", top).filter(F.col("place") <= meeting).drop("place"), "jaccard-firsts")
-        pairs = lists.join(firsts.select("list", *other, F.col("label").alias("label_x")), "list").filter(f"label <> label_x and {may}").select(*pair).distinct()
+        firsts = materialize(crowd.withColumn("place", top).filter(F.col("place") <= meeting).drop("place"), "jaccard-firsts")
+        seen = firsts.select("list", *other, F.col("label").alias("label_x"), F.col("odd").alias("ox"))
+        pairs = crowd.join(seen, "list").filter(f"label <> label_x and {held}").select(*pair).distinct()
         compared = _verify(materialize(pairs, "jaccard-pairs"), classes, docs)
         links = links.unionByName(compared.filter("linked").select("a", "b"))
-        lists, met = lists.drop("label", "major"), firsts.select("list", "row_id")
+        lists, met = lists.drop("label", "major", "crowded"), firsts.select("list", "row_id")
 
 
 def _placed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:

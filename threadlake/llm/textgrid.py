@@ -15,6 +15,7 @@ import pyarrow as pa
 
 SLICE_BYTES = 1 << 18
 SHINGLE = 5
+PARITY_LONGS = 8
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -119,6 +120,23 @@ class Grid:
         return doc[keep], code[keep]
 
 
+def parities(doc: np.ndarray, code: np.ndarray, n_docs: int) -> pa.Array:
+    """Per set of hashes: for each of ``64 * PARITY_LONGS`` ranges of hashes,
+    whether an odd number of its members falls there. Two sets differ in at
+    least as many members as their parities differ in bits."""
+    spread = mix(code ^ np.uint64(0x8E9D5A3C71F02B47))
+    made = np.zeros((n_docs, PARITY_LONGS), dtype=np.uint64)
+    np.bitwise_xor.at(made, (doc, (spread & np.uint64(PARITY_LONGS - 1)).astype(np.int64)), np.uint64(1) << (spread >> np.uint64(58)))
+    flat = pa.array(made.reshape(-1).view(np.int64))
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, PARITY_LONGS, dtype=np.int32)), flat)
+
+
+def near_by_parities(percent: int, odd: str, n: str, other_odd: str, other_n: str) -> str:
+    """SQL: whether parities allow two sets of sizes n a similarity of so many percent."""
+    differ = " + ".join(f"bit_count({odd}[{k}] ^ {other_odd}[{k}])" for k in range(PARITY_LONGS))
+    return f"{100 + percent} * ({differ}) <= {100 - percent} * ({n} + {other_n})"
+
+
 def seen_before(doc: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For (text, hash) entries in order: whether an equal one stands earlier in
     the text, and whether an equal one stands anywhere else in it."""
