@@ -7,7 +7,7 @@ import random
 import pyarrow as pa
 import pytest
 
-from threadlake.llm import jaccard, textgrid
+from threadlake.llm import jaccard, lsh_forest, textgrid
 
 
 def alike(seed: int, copies: int = 90) -> list[str]:
@@ -57,6 +57,20 @@ def test_alike_but_apart_jaccard(spark, monkeypatch):
     assert len(made) == 2 and made[1] < 2 * len(texts)
 
 
+def test_alike_but_apart_forest(spark, monkeypatch):
+    texts, made, keep = alike(4), [], lsh_forest._meetings
+
+    def counted(members):
+        found = keep(members)
+        made.append(sum(df.count() for df in found))
+        return found
+
+    monkeypatch.setattr(lsh_forest, "_meetings", counted)
+    got = {r.doc_id: r.component_id for r in lsh_forest.near_duplicates(docs_of(spark, texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == groups(texts, 85)
+    assert made and made[0] < 2 * len(texts)
+
+
 @pytest.mark.parametrize("percent", [80, 85])
 def test_parities_drop_no_link(spark, percent):
     texts = alike(5, 40) + ["a b", "", "a b c d e f", " ".join(f"v{k}" for k in range(3000)), " ".join(f"v{k}" for k in range(200, 3000))]

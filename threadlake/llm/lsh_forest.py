@@ -17,8 +17,9 @@ some of their values in a sequence of its own; documents that share the first
    of copies mostly their original), which settles stars.
 4. In regions still open members of different components meet, the largest
    component being met and not meeting. What only one of their sets has bounds
-   what that one can share (its reach), which drops members and pairs of groups
-   that are alike but not near enough. Where members would still meet more than
+   what that one can share (its reach), which drops members of groups that are
+   alike but not near enough, and the join itself holds both parities (see
+   ``textgrid``) against each other, so that pairs of such groups are not made. Where members would still meet more than
    ``ROOM`` others each, the region is split by the next values of its tree's
    order (depth ``DEPTHS[1]``, then ``DEPTHS[2]``), each piece by itself: crowded
    regions get deep, sparse ones stay shallow. Pieces of the last depth meet in
@@ -49,7 +50,7 @@ from pyspark.sql import functions as F
 
 from threadlake.llm import worker
 from threadlake.llm.components import components
-from threadlake.llm.textgrid import grids, mix
+from threadlake.llm.textgrid import grids, mix, near_by_parities, parities
 from threadlake.session import bound_batches, concluded, materialize
 
 HASHES = 192
@@ -66,7 +67,7 @@ _FACTORS = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + n
 #: The values that each tree sorts by, in its sequence.
 _SEQUENCE = np.stack([_rng.permutation(HASHES)[: DEPTHS[-1]] for _ in range(TREES)])
 
-SIGNATURES = "doc_id long, n long, fp1 long, fp2 long, h1 long, h2 long, sig binary"
+SIGNATURES = "doc_id long, n long, fp1 long, fp2 long, h1 long, h2 long, sig binary, odd array<bigint>"
 PAIRS = "a long, b long, tree int, key binary, row_id long, n long, sig binary"
 
 
@@ -89,7 +90,7 @@ def _minhash(code: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: set size, set fingerprint, hash of the raw text, signature (null of an empty set)."""
+    """Per row: set size, set fingerprint, hash of the raw text, signature (null of an empty set), parities."""
     names = [part.split()[0] for part in SIGNATURES.split(", ")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +112,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     for k, row in zip(full, _minhash(code, starts[full])):
                         signature[k] = row.tobytes()
                 ids, h1, h2 = (batch.column(c).slice(at, g.n_docs) for c in (0, 2, 3))
-                yield pa.record_batch([ids, pa.array(n, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), h1, h2, pa.array(signature, pa.binary())], names)
+                yield pa.record_batch([ids, pa.array(n, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), h1, h2, pa.array(signature, pa.binary()), parities(doc, code, g.n_docs)], names)
 
     bound_batches(docs.sparkSession)
     return _hashed(docs, id_col, text_col).mapInArrow(run, SIGNATURES)
@@ -255,7 +256,7 @@ def _fetched(rows: DataFrame, classes: DataFrame, docs: DataFrame, most: int) ->
 
 
 def _hopeful(members: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Members with their reach, the most that a set can share with any other:
+    """Members with their parities and their reach, the most that a set can share with any other:
     shingles that no other set in an open region has are shared with none. Those
     that reach less than 85 percent of themselves go."""
 
@@ -269,7 +270,7 @@ def _hopeful(members: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFra
     alone = tokens.groupBy("token").agg(F.min("row_id").alias("row_id"), F.count("*").alias("k")).filter("k = 1").groupBy("row_id").agg(F.count("*").alias("alone"))
     reach = materialize(alone, "forest-alone")
     known = members.join(_few(reach, reach.count()), "row_id", "left").withColumn("reach", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
-    return materialize(known.filter("100 * reach >= 85 * n"), "forest-hopeful")
+    return materialize(known.filter("100 * reach >= 85 * n").join(classes.select("row_id", "odd"), "row_id"), "forest-hopeful")
 
 
 def _meetings(members: DataFrame) -> list[DataFrame]:
@@ -277,6 +278,7 @@ def _meetings(members: DataFrame) -> list[DataFrame]:
     split by their trees' next values."""
     found = []
     may = "100 * least(n, nx) >= 85 * greatest(n, nx) and 185 * least(reach, rx) >= 85 * (n + nx)"
+    may += f" and {near_by_parities(85, 'odd', 'n', 'ox', 'nx')}"
     for level in range(len(DEPTHS)):
         at = members.withColumn("region", F.col("path")[level])
         share = at.groupBy("region", "label").agg(F.count("*").alias("k"))
@@ -289,7 +291,7 @@ def _meetings(members: DataFrame) -> list[DataFrame]:
             break
         placed = materialize(at.join(_few(whole, regions), "region"), "forest-placed")
         sparse, members = placed.filter("not crowded"), placed.filter("crowded").drop("crowded", "major")
-        minor = sparse.filter("label <> major").select("region", F.col("row_id").alias("x"), F.col("n").alias("nx"), F.col("reach").alias("rx"), F.col("label").alias("label_x"))
+        minor = sparse.filter("label <> major").select("region", F.col("row_id").alias("x"), F.col("n").alias("nx"), F.col("reach").alias("rx"), F.col("label").alias("label_x"), F.col("odd").alias("ox"))
         meet = minor.join(sparse, "region").filter(f"label <> label_x and (label = major or x < row_id) and {may}")
         found.append(meet.select(F.least("x", "row_id").alias("a"), F.greatest("x", "row_id").alias("b")).distinct())
     return found
