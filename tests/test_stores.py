@@ -2,7 +2,9 @@
 
 import json
 import os
+import random
 import sqlite3
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -247,3 +249,27 @@ def test_index_of_another_layout_is_built_anew(spark, tmp_path, monkeypatch):
     more = rows.unionByName(spark.createDataFrame([("b", 1, "user", "there too")], rows.schema))
     spark.createDataFrame([("b", 1, "user", "there too")], rows.schema).write.mode("append").parquet(data)
     assert stored_index.of_files(spark, more, data, root).rank(more, "there").count() == 2
+
+
+def test_trigrams_of_long_texts_and_few_files(spark, tmp_path):
+    """Time in proportion to the length, and no file of every task in every bucket."""
+    rng = random.Random(1)
+    long = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz 0123456789") for _ in range(400_000))
+    texts = ["", "ab", None, "a\U0001f600B\u00e9\u0130x", long]
+    rows = spark.createDataFrame([("p", k, t) for k, t in enumerate(texts)], "path string, seq long, text string")
+    began = time.time()
+    got = {(r.seq, r.trigram) for r in search.trigram_index(rows).collect()}
+    assert time.time() - began < 60
+    lows = [r[0] or "" for r in rows.orderBy("seq").selectExpr("lower(text)").collect()]
+    assert got == {(k, low[i : i + 3]) for k, low in enumerate(lows) for i in range(len(low) - 2)}
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        kept = stored_index.StoredIndex(spark, str(tmp_path / "kept"))
+        kept.sync(rows.withColumn("batch", F.lit("b")), ["b"])
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    files = [n for _, _, names in os.walk(tmp_path / "kept" / "postings") for n in names if n.endswith(".parquet")]
+    assert 0 < len(files) <= 40 + stored_index.BUCKETS

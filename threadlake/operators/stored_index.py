@@ -47,7 +47,8 @@ class StoredIndex:
         for batch in missing:
             grams = search.trigram_index(messages.filter(F.col("batch") == batch))
             grams = grams.withColumn("bucket", (F.crc32(F.col("trigram").cast("binary")) % BUCKETS).cast("int"))
-            spread = grams.repartition("bucket", "trigram").sortWithinPartitions("bucket", "trigram")
+            # By range a task writes the few buckets of its own, not a file in each.
+            spread = grams.repartitionByRange("bucket", "trigram").sortWithinPartitions("bucket", "trigram")
             spread.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/postings/batch={batch}")
         self.manifest.publish(self.spark.createDataFrame([(b, LAYOUT) for b in sorted(batches)], MANIFEST), version)
         return missing
