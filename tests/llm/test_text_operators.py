@@ -1,6 +1,8 @@
 """Counts, ids, quality and language against plain Python and the libraries."""
 
+import itertools
 import random
+import time
 import zlib
 
 import numpy as np
@@ -58,6 +60,40 @@ def test_every_code_point_counts_alike(counter):
         assert ends == [e for _, (_, e) in counter.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
 
 
+def test_spaces_part_texts_as_the_library_does(counter):
+    for n in range(1, 6):
+        for some in itertools.product(["a", " ", "\n", "'s", "\u3000", "<|endoftext|>"], repeat=n):
+            text = "".join(some)
+            assert counter.count(text) == len(counter.tokenizer.encode(text, add_special_tokens=False).ids), text
+
+
+def test_a_word_seen_is_not_split_again(counter, monkeypatch):
+    text = "Wörter that ereatshly, 'll be 12 seen\nagain " * 3 + "end"
+    want, seen, split = counter.count(text), [], counter.split
+    monkeypatch.setattr(counter, "split", lambda part: seen.append(part) or split(part))
+    assert counter.count(text) == want
+    assert seen == ["Wörter"]
+
+
+def test_unassigned_are_found_fast(counter):
+    spent = time.process_time()
+    assert not counter.unassigned.search("é" * 2_000_000)
+    assert time.process_time() - spent < 0.5
+    for at in (0, 1, 65_535, 65_536, 70_000):
+        assert counter.unassigned.search("é" * at + "\u0378" + "é")
+        assert counter.unassigned.search("é" * at + "\U000e0fff" + "é")
+    assert not counter.unassigned.search("")
+
+
+def test_memory_holds_short_words_alone(monkeypatch):
+    monkeypatch.setattr(token_counts, "CACHE_WORDS", 5)
+    counter = token_counts.PieceCounter(BYTE_PATH)
+    for text in ["q" * 30_000 + " " + "z" * 30_000, " ".join(f"w{k}é" for k in range(50))]:
+        assert counter.count(text) == len(counter.tokenizer.encode(text, add_special_tokens=False).ids)
+    assert len(counter.words) <= 5
+    assert all(len(w) <= 64 for w in [*counter.words, *counter.merged])
+
+
 @given(st.lists(st.integers(0, (1 << 32) - 1)))
 def test_values_round_trip(values):
     array = np.array(values, dtype=np.uint32)

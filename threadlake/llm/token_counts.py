@@ -3,7 +3,12 @@
 Offline, every string of the vocabulary is run through the merges once; those
 that come back as a single token are *whole*. A text is split into pre-tokens;
 a whole pre-token counts one token with no merging, and only the rest are
-merged (each distinct one once while the task remembers it).
+merged (each distinct one once while the worker remembers it).
+
+A space begins a pre-token wherever the white space around it does not run on
+over it, so a text is taken apart at spaces first, and what lies between two is
+split, looked up and merged once while the worker remembers its count. Texts
+with longer runs of white space are split as a whole.
 
 The split follows the tokenizer's own byte-level pattern with its white-space
 class written out, and special strings inside a text are one token each and
@@ -17,7 +22,8 @@ table gives none; extra columns are ignored.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable, Iterator
+import re
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,9 +35,26 @@ from threadlake.session import bound_batches
 
 TOKEN_LIMIT = 1024
 CACHE_PIECES = 300_000
+CACHE_WORDS = 500_000
+LONGEST_KEPT = 64  # characters; longer pieces and words are not remembered
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
 
+class WordCounts(dict):
+    """Tokens of a space and the word behind it, counted when first asked for."""
+
+    def __init__(self, count: Callable[[str], int]):
+        self.count = count
+
+    def __missing__(self, word: str) -> int:
+        n = self.count(" " + word)
+        if len(word) <= LONGEST_KEPT:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = n
+        return n
+
+
 class PieceCounter:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -47,6 +70,9 @@ class PieceCounter:
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.whole = self._whole_tokens(tokenizer)
         self.merged: dict[str, int] = {}
+        self.words = WordCounts(self._pieces)
+        # White space on both sides of a space, or before the last one.
+        self.runs_on = re.compile(rf"[{SPACE}] (?:[{SPACE}]|\Z)").search
 
     def _whole_tokens(self, tokenizer) -> frozenset[str]:
         """Strings of the vocabulary that the merges leave as one token."""
@@ -64,28 +90,34 @@ class PieceCounter:
     def _rest(self, piece: str) -> int:
         n = self.merged.get(piece)
         if n is None:
-            if len(self.merged) >= CACHE_PIECES:
-                self.merged.clear()
-            n = self.merged[piece] = len(self.merge(stand_in(piece)))
+            n = len(self.merge(stand_in(piece)))
+            if len(piece) <= LONGEST_KEPT:
+                if len(self.merged) >= CACHE_PIECES:
+                    self.merged.clear()
+                self.merged[piece] = n
         return n
 
+    def _pieces(self, text: str) -> int:
+        pieces = self.split(text)
+        whole = self.whole
+        rest = [p for p in pieces if p not in whole]
+        return len(pieces) - len(rest) + sum(map(self._rest, rest))
+
+    def _words(self, text: str) -> int:
+        if self.runs_on(text):
+            return self._pieces(text)
+        first, *words = text.split(" ")
+        return self._pieces(first) + sum(map(self.words.__getitem__, words))
+
     def count(self, text: str | None) -> int:
         if not text:
             return 0
         if not text.isascii() and self.unassigned.search(text):
             return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        total = 0
         if self.special and self.special.search(text):
             parts = self.special.split(text)
-            total = len(parts) - 1
-        else:
-            parts = (text,)
-        whole = self.whole
-        for part in parts:
-            pieces = self.split(part)
-            rest = [p for p in pieces if p not in whole]
-            total += len(pieces) - len(rest) + sum(map(self._rest, rest))
-        return total
+            return len(parts) - 1 + sum(map(self._words, parts))
+        return self._words(text)
 
 
 def piece_counter(path: str) -> PieceCounter:

@@ -2,28 +2,40 @@
 
 from __future__ import annotations
 
-import re
 import sys
 import unicodedata
+from collections.abc import Iterable
 from functools import lru_cache
 
+import numpy as np
+
 #: White space of the tokenizers' patterns, as a regex class body.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+class CodePoints:
+    """A set of code points, looked up by number: a pattern's class tries its
+    ranges beyond U+FFFF one by one at every character."""
+
+    SLICE = 1 << 16
+
+    def __init__(self, members: Iterable[bool]):
+        self.table = np.fromiter(members, dtype=bool, count=sys.maxunicode + 1)
+
+    def search(self, text: str) -> bool:
+        """Whether a member is in the text."""
+        for at in range(0, len(text), self.SLICE):
+            points = np.frombuffer(text[at : at + self.SLICE].encode("utf-32-le", "surrogatepass"), dtype="<u4")
+            if self.table[points].any():
+                return True
+        return False
+
+
 @lru_cache(maxsize=1)
-def unassigned() -> re.Pattern:
+def unassigned() -> CodePoints:
     """Code points that are unassigned in this Python's Unicode tables. Later
     versions of Unicode class them, and libraries differ in which they know."""
-    ranges, start = [], None
-    for c in range(sys.maxunicode + 2):
-        free = c <= sys.maxunicode and unicodedata.category(chr(c)) == "Cn"
-        if free and start is None:
-            start = c
-        elif not free and start is not None:
-            ranges.append(f"\\U{start:08x}-\\U{c - 1:08x}")
-            start = None
-    return re.compile(f"[{''.join(ranges)}]")
+    return CodePoints(unicodedata.category(chr(c)) == "Cn" for c in range(sys.maxunicode + 1))
 
 
 @lru_cache(maxsize=1)
