@@ -56,6 +56,21 @@ def test_contamination_without_broadcasts(spark, monkeypatch):
     test_contamination(spark)
 
 
+def test_contamination_broadcasts_only_what_it_counted(spark, monkeypatch):
+    """Tables that are not small by count never pass through the driver, though
+    the session lets Spark broadcast by itself what is small as files."""
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "10485760b"
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty()
+    before = store.executionsCount()
+    test_contamination_without_broadcasts(spark, monkeypatch)
+    bus.waitUntilEmpty()
+    ran = store.executionsList(before, store.executionsCount() - before)
+    plans = [ran.apply(k).physicalPlanDescription() for k in range(ran.size())]
+    assert any("SortMergeJoin" in p for p in plans)
+    assert not [p for p in plans if "Broadcast" in p]
+
+
 def test_clean_documents_keeps_rows_and_columns(spark):
     """Rows without an id are judged by their own text; columns keep their names."""
     item = " ".join(f"w{k}" for k in range(20))
